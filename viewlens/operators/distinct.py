@@ -1,0 +1,41 @@
+"""Exact distinct users next to other aggregates of the same group."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def aggregate_with_users(
+    df: DataFrame,
+    keys: list[str],
+    metrics: list[Column],
+    alias: str,
+    user: str = "USER_ID",
+    narrow_shuffle: bool = False,
+) -> DataFrame:
+    """``groupBy(keys)`` with ``metrics`` and the exact number of distinct users.
+
+    Batch uses Spark's distinct aggregate: one scan, shuffled by (keys, user) and only then
+    by keys, so a key holding a third of the rows is spread over its users. Streams refuse
+    distinct aggregates, and a per-key set of users would put a hot key into one state row;
+    there each (keys, user) pair is de-duplicated as its own state row and marks the group
+    once. ``metrics`` must ignore null inputs, as the marker rows carry nothing but keys.
+
+    ``narrow_shuffle`` takes the second form in batch too. It scans the (few) key and user
+    columns twice, but the wide shuffle then carries pairs alone: worth it when the metrics
+    are many and ``keys`` few.
+    """
+    if not (df.isStreaming or narrow_shuffle):
+        return df.groupBy(*keys).agg(*metrics, F.count_distinct(user).alias(alias))
+    first_seen = (
+        df.filter(F.col(user).isNotNull())
+        .select(*keys, user)
+        .dropDuplicates()
+        .select(*keys, F.lit(1).alias("first_seen"))
+    )
+    return (
+        df.unionByName(first_seen, allowMissingColumns=True)
+        .groupBy(*keys)
+        .agg(*metrics, F.count("first_seen").alias(alias))
+    )

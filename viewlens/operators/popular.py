@@ -1,0 +1,53 @@
+"""Most watched value and busiest hour per day."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def viewing_cells(timed: DataFrame) -> DataFrame:
+    """Views and watch time per (day, hour, title, genres): the one pass over the events.
+
+    ``timed`` has ``view_date`` and ``hour``. Everything below works on this table, whose
+    size follows the catalogue and the calendar, not the number of events.
+    """
+    return timed.groupBy("view_date", "hour", "TITLE", "GENRES").agg(
+        F.count("DURATION").alias("views"), F.sum(F.col("DURATION").cast("bigint")).alias("watch_time")
+    )
+
+
+def daily_favourites(cells: DataFrame) -> DataFrame:
+    """Totals, most watched title and genre, and peak hour per day.
+
+    Ranked by views, then watch time, then the smaller value; the peak hour by views, then
+    the earlier hour. Rows without a title or genre do not compete for it. The three
+    rankings share one exchange through grouping sets, and each winner is a ``min`` over a
+    struct, which pre-aggregates: no window ever collects a day's titles in one task.
+    """
+    sliced = cells.groupingSets(
+        [("view_date", "TITLE"), ("view_date", "GENRES"), ("view_date", "hour")],
+        "view_date",
+        "TITLE",
+        "GENRES",
+        "hour",
+    ).agg(
+        F.sum("views").alias("views"),
+        F.sum("watch_time").alias("watch_time"),
+        (F.grouping("TITLE") == 0).alias("by_title"),
+        (F.grouping("GENRES") == 0).alias("by_genre"),
+        (F.grouping("hour") == 0).alias("by_hour"),
+    )
+
+    def winner(name: str, mine: str):
+        rank = F.struct((-F.col("views")).alias("v"), (-F.col("watch_time")).alias("w"), F.col(name).alias("value"))
+        return F.min(F.when(F.col(mine) & F.col(name).isNotNull(), rank)).getField("value")
+
+    peak = F.struct((-F.col("views")).alias("v"), F.col("hour").alias("value"))
+    return sliced.groupBy("view_date").agg(
+        F.sum(F.when(F.col("by_hour"), F.col("views"))).alias("total_views"),
+        F.sum(F.when(F.col("by_hour"), F.col("watch_time"))).alias("total_watch_time"),
+        winner("TITLE", "by_title").alias("most_watched_title"),
+        winner("GENRES", "by_genre").alias("most_watched_genre"),
+        F.min(F.when(F.col("by_hour"), peak)).getField("value").alias("peak_hour"),
+    )
