@@ -1,0 +1,33 @@
+"""Small hand-written activity relations."""
+
+from pyspark.sql.types import LongType, StructField, StructType
+
+from viewlens.schema import ACTIVITY_COLUMNS, ACTIVITY_SCHEMA, POSITION
+
+SCHEMA = StructType([*ACTIVITY_SCHEMA.fields, StructField(POSITION, LongType())])
+
+
+def record(user="u1", time="2024-01-01 10:00:00", duration=10, title="A", genres="g", release="2000-01-01", arrival=0):
+    values = dict.fromkeys(ACTIVITY_COLUMNS)
+    values.update(
+        USER_ID=user,
+        TIMESTAMP=time,
+        ACTIVITY_TYPE="view",
+        TITLE_ID=title,
+        MOVIE_ID=title,
+        DURATION=duration,
+        TITLE=title,
+        GENRES=genres,
+        RELEASE_DATE=release,
+    )
+    return (*values.values(), arrival)
+
+
+def activity(spark, rows):
+    """Records with positions in the order given, unless a record names its own."""
+    numbered = [r if r[-1] else (*r[:-1], i + 1) for i, r in enumerate(rows)]
+    return spark.createDataFrame(numbered, SCHEMA)
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)

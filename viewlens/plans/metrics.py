@@ -55,9 +55,12 @@ def _max_attributes() -> list[Column]:
 
 
 def _with_users(df: DataFrame, keys: list[str], metrics: list[Column], exact: bool) -> DataFrame:
-    """Group with the exact distinct user count, or with its fixed-size estimate."""
+    """Group with the exact distinct user count, or with its fixed-size estimate.
+
+    Days and hours are few, so the exact form keeps the metrics out of the user shuffle.
+    """
     if exact:
-        return aggregate_with_users(df, keys, metrics, "total_unique_users")
+        return aggregate_with_users(df, keys, metrics, "total_unique_users", narrow_shuffle=True)
     return df.groupBy(*keys).agg(*metrics, A.approx_users().alias("total_unique_users"))
 
 

@@ -7,16 +7,33 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
+def columns(text: str) -> T.StructType:
+    """A schema from ``"name type, name type"``; unlike ``fromDDL`` it needs no session."""
+    pairs = [part.split() for part in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind.lower()]) for name, kind in pairs])
+
 
 # The unnamed leading column holds the file's row index and is dropped after the read.
 INDEX_COLUMN = "row_index"
-RAW_SCHEMA = StructType.fromDDL(
+RAW_SCHEMA = columns(
     f"{INDEX_COLUMN} STRING, datetime STRING, duration STRING, title STRING, genres STRING, "
     "release_date STRING, movie_id STRING, user_id STRING"
 )
 
-ACTIVITY_SCHEMA = StructType.fromDDL(
+ACTIVITY_SCHEMA = columns(
     "USER_ID STRING, TIMESTAMP STRING, ACTIVITY_TYPE STRING, TITLE_ID STRING, DURATION INT, "
     "DEVICE_TYPE STRING, LOCATION STRING, TITLE STRING, GENRES STRING, RELEASE_DATE STRING, "
     "MOVIE_ID STRING"
@@ -46,7 +63,7 @@ class ResultTable:
     """A result's declared columns and its (not enforced) primary key."""
 
     name: str
-    schema: StructType
+    schema: T.StructType
     key: tuple[str, ...]
 
     def conform(self, df: DataFrame) -> DataFrame:
@@ -65,7 +82,7 @@ class ResultTable:
 
 
 def _table(name: str, ddl: str, *key: str) -> ResultTable:
-    return ResultTable(name, StructType.fromDDL(ddl), key)
+    return ResultTable(name, columns(ddl), key)
 
 
 _TITLE = "title STRING, total_views BIGINT, avg_duration DOUBLE, total_duration BIGINT, genres STRING, release_date STRING"

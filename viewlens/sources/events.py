@@ -12,14 +12,13 @@ import os.path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from viewlens.functions.scalar import SPACE_FORMAT
 from viewlens.operators.record import with_event_time
-from viewlens.schema import POSITION
+from viewlens.schema import POSITION, columns
 from viewlens.session import pin_utc
 
-EVENTS_SCHEMA = StructType.fromDDL(
+EVENTS_SCHEMA = columns(
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 )
 

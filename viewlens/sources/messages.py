@@ -11,12 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from viewlens.schema import ACTIVITY_COLUMNS, ACTIVITY_SCHEMA, POSITION, avro_schema
+from viewlens.schema import ACTIVITY_COLUMNS, ACTIVITY_SCHEMA, POSITION, avro_schema, columns
 
 LOG_PARTITIONS = 6
-MESSAGE_SCHEMA = StructType.fromDDL("key STRING, value STRING, partition INT, offset BIGINT, timestamp TIMESTAMP")
+MESSAGE_SCHEMA = columns("key STRING, value STRING, partition INT, offset BIGINT, timestamp TIMESTAMP")
 
 # A registry-framed Avro value starts with one zero byte and a four-byte schema id.
 FRAME_BYTES = 5
