@@ -131,6 +131,26 @@ def title_metrics_latest(activity: DataFrame) -> DataFrame:
     return RESULTS["title_metrics_latest"].conform(grouped)
 
 
+def title_metrics_with_viewers(activity: DataFrame) -> DataFrame:
+    """Per title over all time, with the latest attributes and exact viewers."""
+    return aggregate_with_users(
+        keep_viewed(activity).withColumnRenamed("TITLE", "title"),
+        ["title"],
+        _title_metrics() + _latest_attributes(),
+        "unique_viewers",
+    )
+
+
+def title_days_max(activity: DataFrame) -> DataFrame:
+    """Per title and tumbling day, with the largest attributes."""
+    grouped = (
+        keep_viewed(activity)
+        .groupBy(day_window().alias("day"), F.col("TITLE").alias("title"))
+        .agg(*_title_metrics(), *_max_attributes())
+    )
+    return grouped.withColumn("window_start", format_time("day.start", SECOND)).drop("day")
+
+
 def hourly_engagement(activity: DataFrame, exact_users: bool = False, expire: bool = False) -> DataFrame:
     """Per date and hour of day.
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from viewlens.functions import aggregates as A
 from viewlens.functions import scalar as S
 from viewlens.operators import record
-from viewlens.operators.distinct import aggregate_with_users
 from viewlens.operators.popular import daily_favourites, viewing_cells
 from viewlens.plans import metrics as M
 from viewlens.plans.query_files import run_query_file
@@ -41,9 +40,10 @@ def _viewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record.keep_viewed(E.load_timed_activity(spark, sf_dir))
 
 
-def _by_title(*aggregates: Column) -> Query:
+def _by_title(aggregates: Callable[[], list[Column]]) -> Query:
+    """Aggregates per title. They come as a function: columns need a running session."""
     return lambda spark, sf_dir: (
-        _viewed(spark, sf_dir).groupBy(F.col("TITLE").alias("title")).agg(*aggregates)
+        _viewed(spark, sf_dir).groupBy(F.col("TITLE").alias("title")).agg(*aggregates())
     )
 
 
@@ -182,38 +182,6 @@ def _stream(metric: Callable[[DataFrame], DataFrame], table: str, watermark: boo
     return lambda spark, sf_dir: _replay(spark, sf_dir, metric, RESULTS[table].key, watermark).read()
 
 
-def title_metrics_with_viewers(activity: DataFrame) -> DataFrame:
-    """Per title with the latest attributes and exact viewers."""
-    return aggregate_with_users(
-        record.keep_viewed(activity).withColumnRenamed("TITLE", "title"),
-        ["title"],
-        [
-            A.view_count().alias("total_views"),
-            A.average_duration().alias("avg_duration"),
-            A.total_duration().alias("total_duration"),
-            A.latest("GENRES").alias("genres"),
-            A.latest("RELEASE_DATE").alias("release_date"),
-        ],
-        "unique_viewers",
-    )
-
-
-def title_days_max(activity: DataFrame) -> DataFrame:
-    """Per title and tumbling day with the largest attributes."""
-    grouped = (
-        record.keep_viewed(activity)
-        .groupBy(M.day_window().alias("day"), F.col("TITLE").alias("title"))
-        .agg(
-            A.view_count().alias("total_views"),
-            A.average_duration().alias("avg_duration"),
-            A.total_duration().alias("total_duration"),
-            F.max("GENRES").alias("genres"),
-            F.max("RELEASE_DATE").alias("release_date"),
-        )
-    )
-    return grouped.withColumn("window_start", S.format_time("day.start", M.SECOND)).drop("day")
-
-
 def _changelog_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subscribe to a result's changelog with a second stream and return what it received."""
     table = _replay(spark, sf_dir, M.title_metrics_max, RESULTS["title_metrics_max"].key)
@@ -259,16 +227,18 @@ QUERIES: dict[str, Query] = {
     "scalar_epoch_roundtrip": _scalar_epoch_roundtrip,
     "scalar_duration": _scalar_duration,
     # aggregates
-    "agg_count": _by_title(A.view_count().alias("total_views")),
-    "agg_avg": _by_title(A.average_duration().alias("avg_duration")),
-    "agg_sum": _by_title(A.total_duration().alias("total_duration")),
-    "agg_max_string": _by_title(F.max("GENRES").alias("genres"), F.max("RELEASE_DATE").alias("release_date")),
-    "agg_latest_by_offset": _by_title(A.latest("GENRES").alias("genres"), A.latest("RELEASE_DATE").alias("release_date")),
-    "agg_count_distinct": _by_title(F.count_distinct("USER_ID").alias("unique_viewers")),
+    "agg_count": _by_title(lambda: [A.view_count().alias("total_views")]),
+    "agg_avg": _by_title(lambda: [A.average_duration().alias("avg_duration")]),
+    "agg_sum": _by_title(lambda: [A.total_duration().alias("total_duration")]),
+    "agg_max_string": _by_title(lambda: [F.max("GENRES").alias("genres"), F.max("RELEASE_DATE").alias("release_date")]),
+    "agg_latest_by_offset": _by_title(
+        lambda: [A.latest("GENRES").alias("genres"), A.latest("RELEASE_DATE").alias("release_date")]
+    ),
+    "agg_count_distinct": _by_title(lambda: [F.count_distinct("USER_ID").alias("unique_viewers")]),
     "agg_approx_distinct": _approx_distinct,
     "agg_approx_distinct_bound": _approx_distinct_bound,
     "agg_rowtime": lambda spark, sf_dir: _text_time(
-        _by_title(A.row_time().alias("update_time"))(spark, sf_dir), "update_time"
+        _by_title(lambda: [A.row_time().alias("update_time")])(spark, sf_dir), "update_time"
     ),
     "agg_most_watched": _most_watched,
     "agg_peak_hour": _peak_hour,
@@ -287,10 +257,10 @@ QUERIES: dict[str, Query] = {
     "daily_engagement_documented": _batch(M.daily_engagement_documented),
     # the same on streams
     "stream_title_metrics": lambda spark, sf_dir: _replay(
-        spark, sf_dir, title_metrics_with_viewers, ("title",)
+        spark, sf_dir, M.title_metrics_with_viewers, ("title",)
     ).read(),
     "stream_tumbling_day": lambda spark, sf_dir: _replay(
-        spark, sf_dir, title_days_max, ("title", "window_start"), watermark=True
+        spark, sf_dir, M.title_days_max, ("title", "window_start"), watermark=True
     ).read(),
     "stream_title_metrics_windowed": _stream(M.title_metrics_windowed, "title_metrics_windowed", watermark=True),
     "stream_daily_engagement_windowed": _stream(

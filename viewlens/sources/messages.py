@@ -61,10 +61,11 @@ def log_position() -> Column:
 
     Offsets do not compare across partitions. Thirteen digits of milliseconds, five of
     partition and nineteen of offset fit one decimal, which is fixed-width aggregation
-    state, unlike a struct.
+    state, unlike a struct. A time past those digits (after the year 2286, so a producer's
+    mistake) gives a null position, which orders before all others.
     """
     return F.expr(
-        "CAST(CAST(unix_millis(timestamp) AS DECIMAL(13,0)) * 1000000000000000000000000BD"
+        "CAST(TRY_CAST(unix_millis(timestamp) AS DECIMAL(13,0)) * 1000000000000000000000000BD"
         " + CAST(partition AS DECIMAL(5,0)) * 10000000000000000000BD"
         " + CAST(offset AS DECIMAL(19,0)) AS DECIMAL(38,0))"
     )
