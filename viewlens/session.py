@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_local_roots: dict[str, str] = {}
+_local_roots: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(app_name: str = "viewlens", **conf: str) -> SparkSession:
@@ -38,7 +38,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
     Only a local master may go without the setting; it then gets one temporary folder
-    per application.
+    per application, gone when the process ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -50,8 +50,8 @@ def shared_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="viewlens-")
-    return _local_roots[app]
+        _local_roots[app] = tempfile.TemporaryDirectory(prefix="viewlens-", ignore_cleanup_errors=True)
+    return _local_roots[app].name
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:

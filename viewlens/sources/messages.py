@@ -60,8 +60,8 @@ def log_position() -> Column:
     """A total order over messages: broker time, then partition, then offset.
 
     Offsets do not compare across partitions. Thirteen digits of milliseconds, five of
-    partition and nineteen of offset fit one decimal, which is fixed-width aggregation
-    state, unlike a struct. A time past those digits (after the year 2286, so a producer's
+    partition and nineteen of offset fit one decimal, so the order is a single column like
+    any other position. A time past those digits (after the year 2286, so a producer's
     mistake) gives a null position, which orders before all others.
     """
     return F.expr(
@@ -156,3 +156,17 @@ def write_topic(messages: DataFrame, servers: str, topic: str, **options: str) -
         .options(**options)
         .save()
     )
+
+
+def stream_to_topic(messages: DataFrame, servers: str, topic: str, checkpoint: str, name: str, **options: str):
+    """Publish every change of a streaming result as it happens."""
+    return (
+        messages.writeStream.queryName(name)
+        .outputMode("update")
+        .format("kafka")
+        .option("kafka.bootstrap.servers", servers)
+        .option("topic", topic)
+        .option("checkpointLocation", checkpoint)
+        .options(**options)
+        .start()
+    )
