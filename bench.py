@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 ``BENCH_SF_DIR`` names the data folder, ``BENCH_CPUS`` the local cores, ``BENCH_RUNS`` the
-timed runs per query after one warm-up; the median counts.
+timed runs per query after one warm-up run of all of them; the median counts.
 """
 
 from __future__ import annotations
@@ -57,9 +57,10 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {}
     for name in names:
         run(spark, name, sf_dir)
+    seconds = {}
+    for name in names:
         seconds[name] = round(statistics.median(run(spark, name, sf_dir) for _ in range(runs)), 3)
     scale = re.search(r"sf([0-9.]+)", sf_dir)
     print(
