@@ -1,0 +1,124 @@
+"""Near-duplicates against a brute force over all pairs."""
+
+import itertools
+import random
+import re
+
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+
+from viewlens.llm import registry, simhash
+from viewlens.llm.bktree import Forest
+from viewlens.llm.tables import load
+
+SCHEMA = "doc_id bigint, text string"
+
+
+def plain_fingerprint(text, shingle):
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    parts = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(rows, radius, shingle=4):
+    """[(id, fingerprint, component)] by comparing all fingerprints."""
+    prints = [plain_fingerprint(t, shingle) for _, t in rows]
+    values = sorted(set(prints))
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    array = np.array(values, np.uint64)
+    for i, v in enumerate(values):
+        for j in np.flatnonzero(np.bitwise_count(array ^ array[i]) <= radius):
+            a, b = find(v), find(values[j])
+            root[max(a, b)] = min(a, b)
+    least = {}
+    for (i, _), p in zip(rows, prints):
+        r = find(p)
+        if i is not None and (r not in least or i < least[r]):
+            least[r] = i
+        least.setdefault(r, None) if i is None else None
+    return sorted(((i, p, least.get(find(p))) for (i, _), p in zip(rows, prints)), key=str)
+
+
+def unsigned(rows):
+    return sorted(((r[0], r[1] % (1 << 64), r[2]) for r in rows), key=str)
+
+
+def varied_rows(seed, n):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    bases = [[rng.choice(words) for _ in range(rng.randint(30, 120))] for _ in range(12)]
+    rows = []
+    for i in range(n):
+        base = list(rng.choice(bases)) if rng.random() < 0.7 else [rng.choice(words) for _ in range(40)]
+        for _ in range(rng.randint(0, 3)):
+            base[rng.randrange(len(base))] = rng.choice(words)
+        rows.append((i, " ".join(base)))
+    return rows
+
+
+def test_query_equals_brute_force_on_the_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    got = registry.op10_simhash(spark, sf_dir).collect()
+    rows = [tuple(r) for r in load(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    assert sorted((r[0], int(r[1], 16), r[2]) for r in got) == sorted(plain_components(rows, 4))
+    assert all(len(r["fingerprint"]) == 16 for r in got)
+
+
+def test_awkward_rows(spark):
+    long = " ".join(f"word{k % 977}" for k in range(400_000))
+    rows = [(5, None), (3, ""), (None, " \t\n"), (4, "one"), (4, "ONE"), (9, "a b c"), (None, "alone here"), (8, long), (7, long + " end"), (7, long + " end"), (2, "É é x"), (6, "\x0b\x0cA  b\rc")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert unsigned(got) == plain_components(rows, 4)
+
+
+def test_empty_table_and_clashing_columns(spark):
+    none = spark.createDataFrame([], SCHEMA + ", fingerprint string, component_id int")
+    assert simhash.near_duplicates(none).collect() == []
+    rows = spark.createDataFrame([(1, "a b c d", "x", 7), (2, "a b c d", "y", 8)], none.schema)
+    assert {(r[0], r[2]) for r in simhash.near_duplicates(rows).collect()} == {(1, 1), (2, 1)}
+
+
+def test_split_shards_and_more_blocks_lose_no_link(spark):
+    rows = varied_rows(3, 400)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = plain_components(rows, 4)
+    assert unsigned(simhash.near_duplicates(df, max_shard=7).collect()) == want
+    assert unsigned(simhash.near_duplicates(df, mean_shard=0, max_shard=50).collect()) == want
+
+
+def test_forest_finds_all_within_the_radius():
+    rng = np.random.default_rng(0)
+    values = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    values[150:] = values[:150] ^ np.uint64(0b1011)
+    tree = np.sort(rng.integers(0, 4, 300))
+    forest = Forest(values, tree)
+    found = {
+        (int(q), int(n))
+        for query, node in forest.near(values, np.searchsorted(tree[forest.roots], tree), 4)
+        for q, n in zip(query, node)
+    }
+    near = lambda a, b: tree[a] == tree[b] and int(values[a] ^ values[b]).bit_count() <= 4
+    assert found == {(a, b) for a, b in itertools.product(range(300), repeat=2) if near(a, b)}
+
+
+def test_a_long_chain_is_one_component(spark):
+    chain = spark.range(0, 300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    more = spark.createDataFrame([(1000, 1001), (1002, 1001), (7, 7)], "a bigint, b bigint")
+    got = {(r[0], r[1]) for r in simhash.components(chain.unionByName(more)).collect()}
+    assert got == {(k, 0) for k in range(1, 301)} | {(1001, 1000), (1002, 1000)}
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = [(1, "a b c d"), (2, "a b c d"), (3, "other words than these"), (3, "other words than these"), (None, "a b c d"), (None, "lone row of words")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = simhash.drop_copies(df, simhash.near_duplicates(df)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, "a b c d"), (3, "other words than these"), (None, "a b c d"), (None, "lone row of words")], key=str)

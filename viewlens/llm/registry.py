@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlens.llm import bpe, decontaminate, token_counts
+from viewlens.llm import bpe, decontaminate, simhash, token_counts
 from viewlens.llm.oracle import ORACLE as ORACLE
 from viewlens.llm.tables import load
 
@@ -48,8 +48,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(load(spark, sf_dir, "documents"), MODEL, "text", ["doc_id"])
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
+    "op10_simhash": op10_simhash,
 }
