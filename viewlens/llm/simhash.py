@@ -17,7 +17,6 @@ joins over those links.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +27,13 @@ from pyspark.sql import functions as F
 
 from viewlens.llm.bktree import Forest, Groups
 from viewlens.llm.tables import appended, pieces, without, written
+from viewlens.llm.words import stretches
 
 BITS, SEED = 64, 42
 SHINGLE_WORDS, RADIUS = 4, 4
 #: Fingerprints in a shard: as many as blocks are chosen for, and the most that one cell takes.
 MEAN_SHARD, MAX_SHARD = 1024, 16384
 CELL = ["choice", "bits", "part", "other"]
-#: Characters read at a time from one text.
-_STRETCH = 1 << 20
-_GAP = re.compile(r"[\x20\x09-\x0D]")
 
 
 # --- fingerprints -------------------------------------------------------------------------
@@ -45,15 +42,11 @@ _GAP = re.compile(r"[\x20\x09-\x0D]")
 def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
     """XXH64 of the shingles, stretch by stretch; of all words if there are fewer."""
     carried: list[bytes] = []
-    start, any_yet, digest = 0, False, xxhash.xxh64_intdigest
-    while start < len(text):
-        end = start + _STRETCH
-        if end < len(text):
-            gap = _GAP.search(text, end)
-            end = gap.start() if gap else len(text)
-        # bytes know only ASCII's letters and white space
-        words = carried + text[start:end].encode().lower().split()
-        start, carried = end, words[max(0, len(words) - shingle + 1) :]
+    any_yet, digest = False, xxhash.xxh64_intdigest
+    for stretch in stretches(text):
+        # lower() on bytes knows only ASCII's letters
+        words = carried + stretch.encode().lower().split()
+        carried = words[max(0, len(words) - shingle + 1) :]
         if len(words) >= shingle:
             joined = b" ".join(words)
             ends = np.cumsum([len(w) + 1 for w in words]) - 1
