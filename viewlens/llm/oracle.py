@@ -36,6 +36,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
 """
 
+#: Lines without white space at their ends; distinct texts are pages.
+LINE_DEDUP = r"""
+WITH page AS (
+    SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL
+), total AS (
+    SELECT source, count(*) AS pages FROM page GROUP BY source
+), line AS (
+    SELECT DISTINCT source, text, trim(unnest(string_split(text, chr(10))), concat(' ', chr(9), chr(11), chr(12), chr(13))) AS l
+    FROM page
+), boilerplate AS (
+    SELECT l.source, list(DISTINCT l.l) AS bad
+    FROM (SELECT source, l, count(*) AS n FROM line WHERE l <> '' GROUP BY ALL) l
+    JOIN total t ON l.source IS NOT DISTINCT FROM t.source
+    WHERE n >= 5 AND n >= 0.05 * pages
+    GROUP BY l.source
+), cut AS (
+    SELECT doc_id, d.source, text, string_split(text, chr(10)) AS ls,
+           list_filter(string_split(text, chr(10)),
+                       lambda x: NOT coalesce(list_contains(bad, trim(x, concat(' ', chr(9), chr(11), chr(12), chr(13)))), false)) AS kept
+    FROM documents d LEFT JOIN boilerplate b ON d.source IS NOT DISTINCT FROM b.source
+), judged AS (
+    SELECT *, len(list_filter(kept, lambda x: trim(x, concat(' ', chr(9), chr(11), chr(12), chr(13))) <> '')) > 0 AS cuts FROM cut
+)
+SELECT doc_id, source, CASE WHEN cuts THEN array_to_string(kept, chr(10)) ELSE text END AS text,
+       CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines,
+       CAST(CASE WHEN cuts THEN len(ls) - len(kept) ELSE 0 END AS BIGINT) AS n_dropped
+FROM judged
+"""
+
 ORACLE: dict[str, str] = {
     "op1_decontaminate": DECONTAMINATE,
+    "op4_line_dedup": LINE_DEDUP,
 }

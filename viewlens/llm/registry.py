@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlens.llm import bpe, decontaminate, quality, simhash, token_counts
+from viewlens.llm import bpe, decontaminate, line_dedup, quality, simhash, token_counts
 from viewlens.llm.oracle import ORACLE as ORACLE
 from viewlens.llm.tables import load
 
@@ -41,6 +41,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, keep_text=False).drop("lang")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes")
@@ -61,6 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_quality": op3_quality,
+    "op4_line_dedup": op4_line_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
