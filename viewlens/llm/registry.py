@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlens.llm import bpe, decontaminate, line_dedup, quality, simhash, token_counts
+from viewlens.llm import bpe, decontaminate, line_dedup, quality, simhash, token_counts, warc
 from viewlens.llm.oracle import ORACLE as ORACLE
-from viewlens.llm.tables import load
+from viewlens.llm.tables import load, shared_folder
 
 #: The vocabulary file; installed with its package on every machine.
 MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +37,21 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    pages = load(spark, sf_dir, "pages")
+    warc.write_records(pages, path, "page_id", "html", "url")
+    found = warc.read_records(spark.read.parquet(path))
+    kind = pages.schema["page_id"].dataType
+    return found.select(
+        F.col("id").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.judge(documents, keep_text=False).drop("lang")
@@ -64,6 +80,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op8_token_counts": op8_token_counts,
