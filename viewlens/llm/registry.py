@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlens.llm import bpe, decontaminate, line_dedup, quality, simhash, token_counts, warc
+from viewlens.llm import bpe, decontaminate, hilbert, line_dedup, quality, simhash, token_counts, warc
 from viewlens.llm.oracle import ORACLE as ORACLE
 from viewlens.llm.tables import load, shared_folder
 
@@ -61,6 +61,35 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    documents = load(spark, sf_dir, "documents").select(
+        "doc_id",
+        "lang",
+        "source",
+        (F.octet_length(text) + F.lit(16).cast("bigint")).alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
+    )
+    dimensions = {
+        "lang": hilbert.category_cell(F.col("lang")),
+        "source": hilbert.category_cell(F.col("source")),
+        "size": hilbert.size_cell(F.col("size")),
+    }
+    # equal texts of one cell stand side by side
+    order = [F.col(c) for c in ("text_crc32", "text_hash", "doc_id")]
+    return hilbert.assign(documents, dimensions, order).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "hilbert",
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes")
@@ -83,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
+    "op6_hilbert": op6_hilbert,
     "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
