@@ -117,7 +117,7 @@ def test_blocks_give_the_broadcast_models_scores(spark, documents):
 
 def test_unseen_texts_get_backed_off_probabilities(spark):
     texts = [("en", "abracadabra abba cad"), ("en", "a bad cab"), ("de", "ebbe")]
-    model = K.sorted_arrays(K.train(spark.createDataFrame(texts, "lang string, text string")).toArrow())
+    model = K.sorted_arrays(K.entries(K.train(spark.createDataFrame(texts, "lang string, text string"))).toArrow())
     plain = PlainModel([symbols(t) for lang, t in texts if lang == "en"], K.ORDER)
     for text in ("abba", "zzz", "cadab xq ra"):
         s = symbols(text)

@@ -107,7 +107,7 @@ def scored(df: DataFrame, model: DataFrame, text_col: str, lang_col: str, max_en
     the texts are dealt into blocks, and each block meets the n-grams of the model that occur in
     it and no others."""
     if model.count() <= max_entries:
-        arrays = df.sparkSession.sparkContext.broadcast(K.sorted_arrays(model.toArrow()))
+        arrays = df.sparkSession.sparkContext.broadcast(K.sorted_arrays(K.entries(model).toArrow()))
         return df.mapInArrow(
             lambda batches: score_batches(batches, text_col, lang_col, arrays.value), _declared(df, SCORES)
         )
@@ -116,7 +116,7 @@ def scored(df: DataFrame, model: DataFrame, text_col: str, lang_col: str, max_en
     df = written(df.withColumn("_block", block), "blocks")
     texts = df.select("_block", F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     grams = texts.mapInArrow(lambda b: block_grams(b, K.ORDER), "_block bigint, lang string, gram string").distinct()
-    own = written(grams.join(model, ["lang", "gram"]), "own")
+    own = written(K.entries(grams.join(model, ["lang", "gram"]), "_block"), "own")
 
     def of_block(rows: pa.Table, entries: pa.Table) -> pa.Table:
         out = score_batches(iter(rows.to_batches()), text_col, lang_col, K.sorted_arrays(entries))
