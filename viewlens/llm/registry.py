@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlens.llm import bpe, decontaminate, hilbert, line_dedup, quality, simhash, token_counts, warc
+from viewlens.llm import bpe, decontaminate, hilbert, line_dedup, main_text, quality, secrets, simhash, token_counts, warc
 from viewlens.llm.oracle import ORACLE as ORACLE
 from viewlens.llm.tables import load, shared_folder
 
@@ -61,6 +61,19 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda *kinds: F.size(secrets.of_kind(F.col("secrets"), *kinds)).cast("bigint")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.as_text(secrets.of_kind(F.col("secrets"), 0, 1, 2)), 256).alias("base_sha256"),
+        secrets.as_text(F.col("secrets")).alias("spans"),
+    )
+
+
 def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     documents = load(spark, sf_dir, "documents").select(
@@ -90,6 +103,12 @@ def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = main_text.extract(pages).withColumnRenamed("main_text", "text")
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes")
@@ -112,7 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
+    "op5_secrets": op5_secrets,
     "op6_hilbert": op6_hilbert,
+    "op7_main_text": op7_main_text,
     "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
