@@ -7,7 +7,6 @@ from builders import SCHEMA, activity, record, rows
 from pyspark.sql import functions as F
 
 from viewlens.functions.scalar import T_FORMAT, duration_seconds
-from viewlens.operators.popular import daily_favourites, viewing_cells
 from viewlens.operators.record import event_time_rejects, keep_viewed, with_event_time
 from viewlens.plans import metrics as M
 from viewlens.plans.query_files import run_query_file
@@ -101,9 +100,7 @@ def test_most_watched_breaks_ties_by_watch_time_then_value(spark):
     )
     assert got.most_watched_title == "D"
     assert got.most_watched_genre == "y"
-    tied = daily_favourites(
-        viewing_cells(M.by_day_and_hour(timed(spark, record(title="B"), record(title="A"))))
-    )
+    tied = M.daily_engagement_documented(timed(spark, record(title="B"), record(title="A")))
     assert one(tied).most_watched_title == "A"
 
 
@@ -152,7 +149,14 @@ def test_days_without_users(spark):
     df = timed(spark, record(user=None))
     for metric in (M.daily_engagement_documented, M.daily_engagement_rowtime):
         assert one(metric(df)).total_unique_users == 0
-    assert one(M.daily_engagement_windowed(df, exact_users=True)).total_unique_users == 0
+    assert one(M.daily_engagement_exact(df)).total_unique_users == 0
+
+
+def test_users_of_several_cells_count_once(spark):
+    at = ("2024-01-01 10:00:00", "2024-01-01 11:00:00", "2024-01-01 11:30:00")
+    df = timed(spark, *[record(user=u, time=t, title=t[-8:]) for u in ("u", "v", None) for t in at])
+    for metric in (M.daily_engagement_documented, M.daily_engagement_rowtime):
+        assert (one(metric(df)).total_unique_users, one(metric(df)).total_views, one(metric(df)).peak_hour) == (2, 9, 11)
 
 
 def test_window_hour_is_always_midnight(spark):
@@ -160,9 +164,10 @@ def test_window_hour_is_always_midnight(spark):
 
 
 def test_hour_of_day_is_two_digits(spark):
-    for expire in (False, True):
-        got = one(M.hourly_engagement(timed(spark, record(time="2024-01-01 07:30:00")), expire=expire))
-        assert (got.view_date, got.hour_of_day) == ("2024-01-01", "07")
+    df = timed(spark, record(time="2024-01-01 07:30:00"))
+    exact = M.hourly_engagement_exact
+    for result in (M.hourly_engagement(df), exact(df), exact.finish(exact.cells.of(df, expire=True))):
+        assert (one(result).view_date, one(result).hour_of_day) == ("2024-01-01", "07")
 
 
 def test_row_time_is_the_newest_event_not_the_newest_arrival(spark):
@@ -177,9 +182,9 @@ ALL = {
     "daily_engagement_rowtime": M.daily_engagement_rowtime,
     "title_metrics_latest": M.title_metrics_latest,
     "hourly_engagement": M.hourly_engagement,
-    "title_metrics_max": lambda a: M.title_metrics_max(a, stamp=True),
-    "daily_title_engagement": lambda a: M.daily_title_engagement(a, stamp=True),
-    "daily_engagement_documented": lambda a: M.daily_engagement_documented(a, stamp=True),
+    "title_metrics_max": M.title_metrics_max,
+    "daily_title_engagement": M.daily_title_engagement,
+    "daily_engagement_documented": M.daily_engagement_documented,
 }
 
 
@@ -191,7 +196,7 @@ def test_empty_input_gives_the_declared_schema(spark, name):
 
 
 def test_processing_time_is_now_in_milliseconds(spark):
-    row = one(M.title_metrics_max(timed(spark, record()), stamp=True).withColumn("us", F.unix_micros("update_time")))
+    row = one(M.title_metrics_max(timed(spark, record())).withColumn("us", F.unix_micros("update_time")))
     assert row.us % 1000 == 0
     assert abs(row.us / 1e6 - datetime.datetime.now().timestamp()) < 120
 

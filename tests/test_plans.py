@@ -3,20 +3,24 @@
 import re
 
 import pytest
-from builders import activity, record
+from builders import SCHEMA, activity, record
 
+from viewlens.operators.cells import UserMetric
 from viewlens.operators.record import with_event_time
 from viewlens.plans import metrics as M
 from viewlens.session import new_run_dir
-from viewlens.streaming import upsert
+from viewlens.sources import files
+from viewlens.streaming import continuous, upsert
 
 METRICS = {
     "title_metrics_windowed": M.title_metrics_windowed,
-    "daily_engagement_windowed": lambda a: M.daily_engagement_windowed(a, exact_users=True),
+    "daily_engagement_windowed": M.daily_engagement_windowed,
+    "daily_engagement_exact": M.daily_engagement_exact,
     "title_metrics_rowtime": M.title_metrics_rowtime,
     "daily_engagement_rowtime": M.daily_engagement_rowtime,
     "title_metrics_latest": M.title_metrics_latest,
-    "hourly_engagement": lambda a: M.hourly_engagement(a, exact_users=True),
+    "hourly_engagement": M.hourly_engagement,
+    "hourly_engagement_exact": M.hourly_engagement_exact,
     "title_metrics_max": M.title_metrics_max,
     "daily_title_engagement": M.daily_title_engagement,
     "daily_engagement_documented": M.daily_engagement_documented,
@@ -53,31 +57,57 @@ def test_no_python_no_windows_no_cross_joins_no_single_partition(table, name):
         assert bad not in text, bad
 
 
+def assert_shuffles_are_combined(text):
+    """Directly below every exchange stands an aggregate, or a projection or sort of one."""
+    lines = text.splitlines()
+    exchanges = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert exchanges
+    for i in exchanges:
+        below = iter(lines[i + 1 :])
+        line = next(below)
+        while re.search(r"[ +*-](\(\d+\) )?(Project|Sort|WholeStageCodegen|InputAdapter)\b", line):
+            line = next(below)
+        assert re.search(r"(Hash|Sort|ObjectHash)Aggregate|StateStore", line), line
+
+
 @pytest.mark.parametrize("name", sorted(METRICS))
 def test_every_shuffle_follows_a_partial_aggregate(table, name):
     """Rows are combined on the map side before they move, so a hot key stays small."""
-    lines = plan(METRICS[name](table)).splitlines()
-    for i, line in enumerate(lines):
-        if "Exchange hashpartitioning" in line:
-            below = next(x for x in lines[i + 1 :] if not re.search(r"\bSort \[", x))
-            assert "Aggregate" in below or "Project" in below, below
-            if "Project" in below:
-                assert any("Aggregate" in x for x in lines[i + 1 :]), below
+    assert_shuffles_are_combined(plan(METRICS[name](table)))
+
 
+CELLS = {name: m for name, m in METRICS.items() if isinstance(m, UserMetric)} | {"viewers": M.title_metrics_with_viewers}
 
-def test_exact_distinct_spreads_a_hot_key_over_its_users(table):
-    text = plan(M.daily_title_engagement(table))
+
+@pytest.mark.parametrize("name", sorted(CELLS))
+def test_streams_read_once_and_combine_before_their_one_shuffle(spark, tmp_path, name):
+    path = str(tmp_path / "in")
+    activity(spark, [record(title=f"t{i}") for i in range(10)]).write.parquet(path)
+    stream = with_event_time(spark.readStream.schema(SCHEMA).parquet(path))
+    table = continuous.maintain_cells(CELLS[name], stream, str(tmp_path / "out"), f"plan-{name}", replay=True).wait()
+    text = table.query._jsq.explainInternal(False)
+    physical = text[text.index("== Physical Plan ==") :]
+    assert physical.count("FileScan") == 1
+    assert len(re.findall("Exchange hashpartitioning", physical)) == 1
+    assert_shuffles_are_combined(physical)
+
+
+@pytest.mark.parametrize("name", sorted(CELLS))
+def test_exact_users_spread_a_hot_key_and_read_once(table, name):
+    text = plan(CELLS[name](table))
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
     assert any("USER_ID" in k for k in keys)
-    assert "Expand" not in text
+    # the documented result has two branches over one set of cells, which the plan reuses
+    assert text.count("FileScan") == 1 or name == "daily_engagement_documented"
 
 
-def test_user_shuffle_of_daily_metrics_carries_pairs_only(table):
-    text = plan(M.daily_engagement_rowtime(table))
-    shuffles = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "USER_ID" in line]
-    assert len(shuffles) == 1
-    after = text.split(shuffles[0])[1].splitlines()[1]
-    assert "HashAggregate" in after and "functions=[]" in after
+def test_stored_activity_prunes_days_and_pushes_filters(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    days = [record(time=f"2024-01-0{d} 10:00:00") for d in (1, 2, 3)]
+    files.write_activity_table(with_event_time(activity(spark, days)), path)
+    text = plan(M.title_metrics_windowed(files.read_activity_table(spark, path, "2024-01-02", "2024-01-03")))
+    assert re.search(r"PushedFilters: \[[^\]]*IsNotNull\(DURATION\)", text), text
+    assert "PartitionFilters: [isnotnull(view_date" in text
 
 
 def test_latest_per_key_combines_before_the_shuffle(spark):

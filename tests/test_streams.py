@@ -12,7 +12,7 @@ from viewlens.plans import metrics as M
 from viewlens.schema import RESULTS, columns
 from viewlens.session import new_run_dir
 from viewlens.streaming import continuous, paths, pipeline, upsert
-from viewlens.streaming.settings import OUT_OF_ORDERNESS, state_partitions, stream_settings, with_watermark
+from viewlens.streaming.settings import GRACE, OUT_OF_ORDERNESS, state_partitions, stream_settings, with_watermark
 
 
 class Replay:
@@ -20,7 +20,7 @@ class Replay:
 
     def __init__(self, spark):
         self.spark = spark
-        self.root = new_run_dir(spark, "replay")
+        self.root = new_run_dir(spark, "replay").removeprefix("file:")
         self.added = 0
 
     def add(self, *records):
@@ -47,6 +47,13 @@ class Replay:
         name = f"{self.root.rsplit('/', 1)[-1]}-{table}"
         return continuous.maintain(metric(self.stream()), key, f"{self.root}/{table}", name, replay=True, **kw).wait()
 
+    def cells(self, metric, expire=False, delay=GRACE, **kw):
+        stream = with_watermark(self.stream(), delay) if expire else self.stream()
+        root = f"{self.root}/cells-{expire}"
+        table = continuous.maintain_cells(metric, stream, root, root, expire, replay=True, **kw).wait()
+        object.__setattr__(table, "input_rows", sum(p["numInputRows"] for p in table.query.recentProgress))
+        return table
+
 
 def three_days(replay):
     for day in (1, 2, 3):
@@ -70,14 +77,25 @@ CASES = {
     "title_metrics_windowed": (M.title_metrics_windowed, True),
     "daily_engagement_windowed": (M.daily_engagement_windowed, True),
     "title_metrics_rowtime": (M.title_metrics_rowtime, False),
-    "daily_engagement_rowtime": (M.daily_engagement_rowtime, False),
     "title_metrics_latest": (M.title_metrics_latest, False),
     "hourly_engagement": (M.hourly_engagement, False),
-    "title_metrics_max": (M.title_metrics_max, False),
-    "daily_title_engagement": (M.daily_title_engagement, False),
+    "title_metrics_max": (lambda a: M.title_metrics_max(a, stamp=False), False),
+}
+USER_CASES = {
+    "daily_engagement_exact": M.daily_engagement_exact,
+    "daily_engagement_rowtime": M.daily_engagement_rowtime,
+    "hourly_engagement_exact": M.hourly_engagement_exact,
+    "daily_title_engagement": M.daily_title_engagement,
+    "daily_engagement_documented": M.daily_engagement_documented,
+    "title_metrics_with_viewers": M.title_metrics_with_viewers,
 }
 
 
+def compared(result):
+    """Without processing time; the newest event time of Q4's result stays."""
+    return rows(M.unstamped(result))
+
+
 @pytest.mark.parametrize("name", sorted(CASES))
 def test_three_batches_equal_one_batch_job(spark, name):
     metric, watermark = CASES[name]
@@ -86,25 +104,34 @@ def test_three_batches_equal_one_batch_job(spark, name):
     assert rows(table.read()) == rows(metric(replay.batch()))
 
 
-@pytest.mark.parametrize("metric", [M.hourly_engagement, M.daily_title_engagement])
-def test_expiring_groups_equal_the_batch_job(spark, metric):
+@pytest.mark.parametrize("expire", [False, True])
+@pytest.mark.parametrize("name", sorted(USER_CASES))
+def test_cells_of_three_batches_equal_one_batch_job(spark, name, expire):
+    metric = USER_CASES[name]
     replay = three_days(Replay(spark))
-    kw = {"exact_users": True} if metric is M.hourly_engagement else {}
-    table = replay.run(lambda a: metric(with_watermark(a), expire=True, **kw), RESULTS[metric.__name__].key)
-    assert rows(table.read()) == rows(metric(replay.batch(), **kw))
+    table = replay.cells(metric, expire and bool(metric.cells.bucket))
+    assert compared(metric.finish(table.read())) == compared(metric(replay.batch()))
+    assert table.input_rows == replay.batch().count()
 
 
 def test_exact_viewers_across_batches(spark):
     replay = Replay(spark).add(record(user="u1"), record(user="u2")).add(record(user="u1"), record(user="u3"), record(user=None))
-    (row,) = replay.run(M.title_metrics_with_viewers, ("title",)).read().collect()
+    metric = M.title_metrics_with_viewers
+    (row,) = metric.finish(replay.cells(metric).read()).collect()
     assert (row.unique_viewers, row.total_views) == (3, 5)
 
 
-def test_documented_daily_result_from_two_tables(spark):
+def test_state_of_closed_buckets_goes(spark):
+    """Days 1 to 3 with a watermark of five minutes: only the last day stays in the state."""
     replay = three_days(Replay(spark))
-    cells, users = continuous.daily_engagement_tables(replay.stream(), f"{replay.root}/daily", replay.root, replay=True)
-    got = continuous.read_daily_engagement(cells.wait(), users.wait())
-    assert rows(got) == rows(M.daily_engagement_documented(replay.batch()))
+    kept = {}
+    for expire in (False, True):
+        table = replay.cells(M.daily_engagement_documented, expire, delay=OUT_OF_ORDERNESS)
+        state = continuous.read_state(spark, table.root).select("key.*")
+        start = "bucket.start" if expire else "bucket"
+        kept[expire] = {r[0].day for r in state.select(start).collect()}
+        assert {r.bucket.day for r in table.read().collect()} == {1, 2, 3}
+    assert kept == {False: {1, 2, 3}, True: {3}}
 
 
 def late_replay(spark):
@@ -125,9 +152,7 @@ def test_late_row_counts_without_a_window(spark):
     replay = late_replay(spark)
     (row,) = replay.run(lambda a: M.title_metrics_latest(with_watermark(a)), ("title",)).read().collect()
     assert (row.total_views, row.total_duration) == (5, 130)
-    by_date = replay.run(
-        lambda a: M.daily_title_engagement(with_watermark(a)), ("view_date", "title"), table="dates"
-    ).read()
+    by_date = M.daily_title_engagement.finish(replay.cells(M.daily_title_engagement).read())
     assert sorted(r.daily_views for r in by_date.collect()) == [2, 3]
 
 
@@ -173,34 +198,80 @@ def test_replayed_batch_changes_nothing(spark):
     before = rows(table.read())
     again = upsert.read_changelog(spark, table.root, table.schema).filter("batch_id = 1").drop(upsert.BATCH)
     again = spark.createDataFrame(again.collect(), again.schema)
-    write = upsert.changelog_writer(table.root, files=2)
+    write = upsert.changelog_writer(table.root, table.key, files=2)
     write(again, 1)
     write(again, 1)
     assert rows(table.read()) == before
 
 
 def test_resume_continues_from_stored_state(spark):
+    metric = M.title_metrics_with_viewers
     replay = Replay(spark).add(record(user="u1"), record(user="u2"))
-    replay.run(M.title_metrics_with_viewers, ("title",))
+    replay.cells(metric)
     replay.add(record(user="u2"), record(user="u3"))
-    table = replay.run(M.title_metrics_with_viewers, ("title",))
-    (row,) = table.read().collect()
+    table = replay.cells(metric)
+    (row,) = metric.finish(table.read()).collect()
     assert (row.total_views, row.unique_viewers) == (4, 3)
-    assert table.query.lastProgress["numInputRows"] in (0, 2, 4)
+    assert table.input_rows == 2
+
+
+def test_half_written_batches_do_not_count(spark):
+    replay = three_days(Replay(spark))
+    table = replay.run(lambda a: M.title_metrics_max(a, stamp=False), ("title",))
+    before = rows(table.read())
+    half = f"{upsert.changelog_path(table.root)}/batch_id=3"
+    extra = spark.createDataFrame([("t0", 1, 1.0, 1, "x", "y")], table.schema)
+    extra.write.parquet(half)
+    assert rows(table.read()) != before
+    os.remove(f"{half}/_SUCCESS".removeprefix("file:"))
+    assert rows(table.read()) == before
+
+
+def test_a_table_without_batches_has_no_rows(spark):
+    replay = Replay(spark).add(record())
+    root = f"{replay.root}/later"
+    paths.create(spark, upsert.changelog_path(root))
+    schema = M.title_metrics_max(replay.batch()).schema
+    table = upsert.read_table(spark, root, schema, ("title",))
+    assert table.schema.fieldNames() == schema.fieldNames() and table.collect() == []
+    assert upsert.subscribe(spark, root, schema).isStreaming
+    assert upsert.compact(spark, root, schema, ("title",)) is None
+
+
+def test_compaction_and_pruning_run_with_the_job(spark):
+    replay = Replay(spark)
+    for i in range(5):
+        replay.add(record(title=f"t{i % 2}", duration=i))
+    table = replay.run(lambda a: M.title_metrics_max(a, stamp=False), ("title",), snapshot_every=2)
+    assert sorted(upsert._complete(spark, upsert.snapshots_path(table.root))) == [1, 3]
+    assert sorted(upsert._complete(spark, upsert.changelog_path(table.root))) == [0, 1, 2, 3, 4]
+    assert rows(table.read()) == rows(M.title_metrics_max(replay.batch(), stamp=False))
+    upsert.prune(spark, table.root, kept=1)
+    assert sorted(upsert._complete(spark, upsert.changelog_path(table.root))) == [3, 4]
+    assert rows(table.read()) == rows(M.title_metrics_max(replay.batch(), stamp=False))
+
+
+def test_a_running_query_keeps_one_root(spark):
+    replay = Replay(spark).add(record())
+    start = lambda root: continuous.maintain(M.title_metrics_max(replay.stream()), ("title",), root, "one-root")
+    table = start(f"{replay.root}/a")
+    with pytest.raises(ValueError, match="one-root"):
+        start(f"{replay.root}/b")
+    table.query.stop()
 
 
 def test_compaction_keeps_the_table_and_later_changes(spark):
     replay = three_days(Replay(spark))
-    table = replay.run(M.title_metrics_max, ("title",))
+    table = replay.run(lambda a: M.title_metrics_max(a, stamp=False), ("title",))
     before = rows(table.read())
     assert upsert.compact(spark, table.root, table.schema, table.key) == 2
     assert upsert.compact(spark, table.root, table.schema, table.key) == 2
     assert rows(table.read()) == before
     replay.add(record(title="t0", duration=1000, time="2024-01-04 00:00:00"))
-    after = replay.run(M.title_metrics_max, ("title",))
-    assert rows(after.read()) == rows(M.title_metrics_max(replay.batch()))
+    after = replay.run(lambda a: M.title_metrics_max(a, stamp=False), ("title",))
+    assert rows(after.read()) == rows(M.title_metrics_max(replay.batch(), stamp=False))
     assert upsert.compact(spark, table.root, table.schema, table.key) == 3
-    assert rows(after.read()) == rows(M.title_metrics_max(replay.batch()))
+    assert rows(after.read()) == rows(M.title_metrics_max(replay.batch(), stamp=False))
 
 
 def test_upsert_keys_may_be_null(spark):

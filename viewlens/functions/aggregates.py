@@ -1,8 +1,6 @@
 """Aggregate expressions of the metric queries.
 
-Each is a plain ``Column`` so one definition serves batch and streaming group-bys. All of
-them ignore rows whose inputs are null, which lets ``operators.distinct`` add marker rows
-to a group without changing its other metrics.
+Each is a plain ``Column`` so one definition serves batch and streaming group-bys.
 """
 
 from __future__ import annotations
@@ -31,14 +29,13 @@ def total_duration() -> Column:
 
 def latest(column: str, position: str = POSITION) -> Column:
     """Last non-null value by log position; equal positions resolve to the larger value."""
+    return newest(column, position).getField("value")
+
+
+def newest(column: str, position: str = POSITION) -> Column:
+    """The same with its position, so that newest values can be compared again."""
     value = F.col(column)
-    newest = F.max(
-        F.when(
-            value.isNotNull(),
-            F.struct(F.col(position).alias("position"), value.alias("value")),
-        )
-    )
-    return newest.getField("value")
+    return F.max(F.when(value.isNotNull(), F.struct(F.col(position).alias("position"), value.alias("value"))))
 
 
 def approx_users(column: str = "USER_ID") -> Column:

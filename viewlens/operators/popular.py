@@ -6,19 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def viewing_cells(timed: DataFrame) -> DataFrame:
-    """Views and watch time per (day, hour, title, genres): the one pass over the events.
-
-    ``timed`` has ``view_date`` and ``hour``. Everything below works on this table, whose
-    size follows the catalogue and the calendar, not the number of events.
-    """
-    return timed.groupBy("view_date", "hour", "TITLE", "GENRES").agg(
-        F.count("DURATION").alias("views"), F.sum(F.col("DURATION").cast("bigint")).alias("watch_time")
-    )
-
-
 def daily_favourites(cells: DataFrame) -> DataFrame:
-    """Totals, most watched title and genre, and peak hour per day.
+    """Totals, most watched title and genre, and peak hour per day, from cells of views and watch
+    time with ``view_date``, ``hour``, ``TITLE`` and ``GENRES``.
 
     Ranked by views, then watch time, then the smaller value; the peak hour by views, then
     the earlier hour. Rows without a title or genre do not compete for it. The three

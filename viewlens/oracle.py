@@ -143,9 +143,17 @@ ORACLE: dict[str, str] = {
     "activity_record": _activity(
         f"""SELECT * REPLACE ('view' AS "ACTIVITY_TYPE") FROM (SELECT {_RECORD} FROM activity)"""
     ),
-    "activity_source": _activity(f'SELECT {_RECORD}, CAST(0 AS INTEGER) AS "partition", arrival AS "offset" FROM activity'),
+    "activity_source": _activity(
+        f'SELECT {_RECORD}, CAST(event_id % 6 AS INTEGER) AS "partition", event_id AS "offset" FROM activity'
+    ),
     "keyed_messages": _activity(f'SELECT "USER_ID" AS key, CAST({_JSON_RECORD} AS VARCHAR) AS value FROM activity'),
     "log_replay": _TITLE_MAX,
+    "latest_by_log_position": _titles(_LATEST_ATTRIBUTES),
+    "dead_letters": _activity(
+        f"""SELECT "USER_ID" AS key, left(CAST({_JSON_RECORD} AS VARCHAR), 20) AS value,
+       CAST(event_id % 6 AS INTEGER) AS "partition", event_id AS "offset"
+FROM activity WHERE event_id % 13 = 0"""
+    ),
     "metrics_json": _viewed(
         """SELECT CAST(to_json({'view_date': strftime(view_date, '%Y-%m-%d'), 'title': title}) AS VARCHAR) AS key,
        CAST(to_json({'view_date': strftime(view_date, '%Y-%m-%d'), 'title': title, 'daily_views': daily_views,
@@ -196,6 +204,9 @@ FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN event_type
     "agg_max_string": _titles(_MAX_ATTRIBUTES),
     "agg_latest_by_offset": _titles(_LATEST_ATTRIBUTES),
     "agg_count_distinct": _titles(f"{_USERS} AS unique_viewers"),
+    "agg_approx_distinct": _viewed(
+        f"SELECT day AS view_date, {_USERS} AS total_unique_users, TRUE AS within_bound FROM viewed GROUP BY day"
+    ),
     "agg_approx_distinct_bound": _viewed(
         f"SELECT day AS view_date, {_USERS} AS exact_users, TRUE AS within_bound FROM viewed GROUP BY day"
     ),
@@ -213,13 +224,19 @@ FROM viewed GROUP BY day"""
     ),
     "title_metrics_windowed": _TITLE_WINDOWED,
     "daily_engagement_windowed": _DAILY_WINDOWED,
+    "daily_engagement_windowed_approx": f"SELECT *, TRUE AS within_bound FROM ({_DAILY_WINDOWED})",
     "title_metrics_rowtime": _titles(f"{_TITLE}, {_LATEST_ATTRIBUTES}, {_ROW_TIME} AS update_time"),
     "daily_engagement_rowtime": _DAILY_ROWTIME,
     "title_metrics_latest": _titles(f"{_TITLE}, {_LATEST_ATTRIBUTES}"),
     "hourly_engagement": _HOURLY,
+    "hourly_engagement_approx": f"SELECT *, TRUE AS within_bound FROM ({_HOURLY})",
     "title_metrics_max": _TITLE_MAX,
     "daily_title_engagement": _viewed(_DAILY_TITLE_SELECT),
     "daily_engagement_documented": _DOCUMENTED,
+    "stored_title_metrics_windowed": _TITLE_WINDOWED,
+    "stored_daily_title_engagement": _viewed(
+        _DAILY_TITLE_SELECT.replace("FROM viewed", "FROM viewed WHERE day BETWEEN '2024-01-08' AND '2024-01-14'")
+    ),
     "stream_title_metrics": _titles(f"{_TITLE}, {_LATEST_ATTRIBUTES}, {_USERS} AS unique_viewers"),
     "stream_tumbling_day": _viewed(
         f"""SELECT "TITLE" AS title, {_TITLE}, {_MAX_ATTRIBUTES}, {_WINDOW_START} AS window_start
@@ -231,4 +248,16 @@ FROM viewed GROUP BY day, "TITLE\""""
     "stream_hourly_engagement": _HOURLY,
     "stream_daily_title_engagement": _viewed(_DAILY_TITLE_SELECT),
     "stream_daily_engagement_documented": _DOCUMENTED,
+    "stream_title_metrics_max": _TITLE_MAX,
+    "stream_json_changelog": f"""SELECT CAST(to_json({{'title': title}}) AS VARCHAR) AS key,
+       CAST(to_json({{'title': title, 'total_views': total_views, 'avg_duration': avg_duration,
+                      'total_duration': total_duration, 'genres': genres, 'release_date': release_date}}) AS VARCHAR) AS value
+FROM ({_TITLE_MAX})""",
+    # a late row is kept if its day ends after the watermark, a day behind the newest time in order
+    "stream_late_rows": _viewed(
+        """SELECT CAST(count(*) FILTER (WHERE NOT late OR day + 1 > mark) AS BIGINT) AS kept,
+       CAST(count(*) FILTER (WHERE late AND day + 1 <= mark) AS BIGINT) AS dropped
+FROM (SELECT day, event_id % 50 = 7 AS late,
+             max(event_timestamp) FILTER (WHERE event_id % 50 <> 7) OVER () - INTERVAL 1 DAY AS mark FROM viewed)"""
+    ),
 }

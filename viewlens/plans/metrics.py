@@ -1,8 +1,9 @@
 """The metric queries: activity in, one declared result table out.
 
 ``activity`` carries the record columns, ``event_timestamp`` and ``arrival`` (the log
-position). Every function runs on batch and on streaming input; where a form exists only
-for one of them, the docstring says so.
+position). The functions run on batch and on streaming input. Results with exact users are a
+:class:`viewlens.operators.cells.UserMetric`: called on a batch it gives the result; on a stream
+its cells are kept, and finished on read.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewlens.functions import aggregates as A
-from viewlens.functions.scalar import format_time, processing_time, view_date
-from viewlens.operators.distinct import aggregate_with_users
-from viewlens.operators.popular import daily_favourites, viewing_cells
+from viewlens.functions.scalar import format_time, processing_time
+from viewlens.operators import cells as C
+from viewlens.operators.popular import daily_favourites
 from viewlens.operators.record import keep_viewed
 from viewlens.schema import EVENT_TIME, RESULTS
 
@@ -54,16 +55,6 @@ def _max_attributes() -> list[Column]:
     return [F.max("GENRES").alias("genres"), F.max("RELEASE_DATE").alias("release_date")]
 
 
-def _with_users(df: DataFrame, keys: list[str], metrics: list[Column], exact: bool) -> DataFrame:
-    """Group with the exact distinct user count, or with its fixed-size estimate.
-
-    Days and hours are few, so the exact form keeps the metrics out of the user shuffle.
-    """
-    if exact:
-        return aggregate_with_users(df, keys, metrics, "total_unique_users", narrow_shuffle=True)
-    return df.groupBy(*keys).agg(*metrics, A.approx_users().alias("total_unique_users"))
-
-
 def title_metrics_windowed(activity: DataFrame) -> DataFrame:
     """Per title and tumbling day, with the latest attributes."""
     grouped = (
@@ -76,22 +67,64 @@ def title_metrics_windowed(activity: DataFrame) -> DataFrame:
     )
 
 
-def daily_engagement_windowed(activity: DataFrame, exact_users: bool = False) -> DataFrame:
-    """Per tumbling day. ``most_watched_*`` is the latest value and ``window_hour`` the hour
-    a day window starts at, both as the query states them."""
-    grouped = _with_users(
-        keep_viewed(activity).withColumn("day", day_window()),
-        ["day"],
-        _engagement() + _latest_watched(),
-        exact_users,
+def daily_engagement_windowed(activity: DataFrame) -> DataFrame:
+    """Per tumbling day, with estimated users. ``most_watched_*`` is the latest value and
+    ``window_hour`` the hour a day window starts at, both as the query states them."""
+    grouped = (
+        keep_viewed(activity)
+        .groupBy(day_window().alias("day"))
+        .agg(*_engagement(), *_latest_watched(), A.approx_users().alias("total_unique_users"))
     )
+    return _daily_windowed(grouped, "day.start")
+
+
+def _daily_windowed(grouped: DataFrame, start: str, *more: str) -> DataFrame:
     return RESULTS["daily_engagement_windowed"].conform(
-        grouped.withColumn("view_date", format_time("day.start", DAY)).withColumn(
-            "window_hour", format_time("day.start", HOUR)
-        )
+        grouped.withColumn("view_date", format_time(start, DAY)).withColumn("window_hour", format_time(start, HOUR)),
+        *more,
     )
 
 
+def _watched_users() -> list[Column]:
+    return [
+        C.views().alias("total_views"),
+        C.watch_time().alias("total_watch_time"),
+        C.average_watch_time().alias("avg_watch_time"),
+        C.newest("TITLE").alias("most_watched_title"),
+        C.newest("GENRES").alias("most_watched_genre"),
+    ]
+
+
+def _checked_users() -> list[Column]:
+    """Exact users, and whether the estimate of them is within four standard deviations."""
+    bound = 4 * A.APPROX_RSD * C.users()
+    return [
+        C.users().alias("total_unique_users"),
+        (F.abs(A.approx_users() - C.users()) <= bound).alias("within_bound"),
+    ]
+
+
+def daily_users_checked(activity: DataFrame) -> DataFrame:
+    """Exact users per date, with ``within_bound``."""
+    cells = C.Cells(bucket="1 day").of(activity)
+    return cells.groupBy(C.day().alias("view_date")).agg(*_checked_users())
+
+
+def _finish_daily_windowed(cells: DataFrame) -> DataFrame:
+    users = C.users().alias("total_unique_users")
+    return _daily_windowed(cells.groupBy(C.BUCKET).agg(*_watched_users(), users), C.BUCKET)
+
+
+def daily_engagement_checked(activity: DataFrame) -> DataFrame:
+    """Per tumbling day, with exact users and whether their estimate is ``within_bound``."""
+    cells = daily_engagement_exact.cells.of(activity)
+    return _daily_windowed(cells.groupBy(C.BUCKET).agg(*_watched_users(), *_checked_users()), C.BUCKET, "within_bound")
+
+
+#: Per tumbling day, with exact users.
+daily_engagement_exact = C.UserMetric(C.Cells(bucket="1 day", newest=("TITLE", "GENRES")), _finish_daily_windowed)
+
+
 def title_metrics_rowtime(activity: DataFrame) -> DataFrame:
     """Per title over all time, stamped with the newest contributing event time."""
     grouped = (
@@ -102,23 +135,20 @@ def title_metrics_rowtime(activity: DataFrame) -> DataFrame:
     return RESULTS["title_metrics_rowtime"].conform(grouped)
 
 
-def daily_engagement_rowtime(activity: DataFrame) -> DataFrame:
-    """Per date, with exact users, the busiest hour and the newest event time."""
-    timed = (
-        keep_viewed(activity).withColumn("view_date", view_date(EVENT_TIME)).withColumn("hour", F.hour(EVENT_TIME))
-    )
-    grouped = aggregate_with_users(
-        timed,
-        ["view_date"],
-        _engagement()
-        + _latest_watched()
-        + [A.busiest_hour("hour").alias("peak_hour"), A.row_time().alias("update_time")],
-        "total_unique_users",
-        narrow_shuffle=True,
-    )
-    return RESULTS["daily_engagement_rowtime"].conform(
-        grouped.withColumn("view_date", format_time("view_date", DAY))
+def _finish_daily_rowtime(cells: DataFrame) -> DataFrame:
+    grouped = cells.groupBy(C.day().alias("view_date")).agg(
+        *_watched_users(),
+        C.users(finer=True).alias("total_unique_users"),
+        C.busiest_hour().alias("peak_hour"),
+        C.row_time().alias("update_time"),
     )
+    return RESULTS["daily_engagement_rowtime"].conform(grouped.withColumn("view_date", format_time("view_date", DAY)))
+
+
+#: Per date, with exact users, the busiest hour and the newest event time.
+daily_engagement_rowtime = C.UserMetric(
+    C.Cells(bucket="1 hour", newest=("TITLE", "GENRES"), row_time=True), _finish_daily_rowtime
+)
 
 
 def title_metrics_latest(activity: DataFrame) -> DataFrame:
@@ -131,16 +161,23 @@ def title_metrics_latest(activity: DataFrame) -> DataFrame:
     return RESULTS["title_metrics_latest"].conform(grouped)
 
 
-def title_metrics_with_viewers(activity: DataFrame) -> DataFrame:
-    """Per title over all time, with the latest attributes and exact viewers."""
-    return aggregate_with_users(
-        keep_viewed(activity).withColumnRenamed("TITLE", "title"),
-        ["title"],
-        _title_metrics() + _latest_attributes(),
-        "unique_viewers",
+def _finish_title_viewers(cells: DataFrame) -> DataFrame:
+    return cells.groupBy(F.col("TITLE").alias("title")).agg(
+        C.views().alias("total_views"),
+        C.average_watch_time().alias("avg_duration"),
+        C.watch_time().alias("total_duration"),
+        C.newest("GENRES").alias("genres"),
+        C.newest("RELEASE_DATE").alias("release_date"),
+        C.users().alias("unique_viewers"),
     )
 
 
+#: Per title over all time, with the latest attributes and exact viewers.
+title_metrics_with_viewers = C.UserMetric(
+    C.Cells(columns=("TITLE",), newest=("GENRES", "RELEASE_DATE")), _finish_title_viewers
+)
+
+
 def title_days_max(activity: DataFrame) -> DataFrame:
     """Per title and tumbling day, with the largest attributes."""
     grouped = (
@@ -151,26 +188,40 @@ def title_days_max(activity: DataFrame) -> DataFrame:
     return grouped.withColumn("window_start", format_time("day.start", SECOND)).drop("day")
 
 
-def hourly_engagement(activity: DataFrame, exact_users: bool = False, expire: bool = False) -> DataFrame:
-    """Per date and hour of day.
-
-    ``expire`` groups by the same hours as tumbling windows, so that a watermarked stream
-    can drop closed hours from its state; the plain form keeps every hour for late rows.
-    """
-    viewed = keep_viewed(activity)
-    if expire:
-        timed = viewed.withColumn("bucket", F.window(EVENT_TIME, "1 hour"))
-        start = "bucket.start"
-    else:
-        timed = viewed.withColumn("bucket", F.date_trunc("HOUR", EVENT_TIME))
-        start = "bucket"
-    grouped = _with_users(timed, ["bucket"], _engagement() + _latest_watched(), exact_users)
+def hourly_engagement(activity: DataFrame) -> DataFrame:
+    """Per date and hour of day, with estimated users."""
+    grouped = (
+        keep_viewed(activity)
+        .groupBy(F.date_trunc("HOUR", EVENT_TIME).alias(C.BUCKET))
+        .agg(*_engagement(), *_latest_watched(), A.approx_users().alias("total_unique_users"))
+    )
+    return _hourly(grouped)
+
+
+def _hourly(grouped: DataFrame, *more: str) -> DataFrame:
     return RESULTS["hourly_engagement"].conform(
-        grouped.withColumn("view_date", format_time(start, DAY)).withColumn("hour_of_day", format_time(start, HOUR))
+        grouped.withColumn("view_date", format_time(C.BUCKET, DAY)).withColumn(
+            "hour_of_day", format_time(C.BUCKET, HOUR)
+        ),
+        *more,
     )
 
 
-def title_metrics_max(activity: DataFrame, stamp: bool = False) -> DataFrame:
+def _finish_hourly(cells: DataFrame) -> DataFrame:
+    return _hourly(cells.groupBy(C.BUCKET).agg(*_watched_users(), C.users().alias("total_unique_users")))
+
+
+def hourly_engagement_checked(activity: DataFrame) -> DataFrame:
+    """Per date and hour of day, with exact users and whether their estimate is ``within_bound``."""
+    cells = hourly_engagement_exact.cells.of(activity)
+    return _hourly(cells.groupBy(C.BUCKET).agg(*_watched_users(), *_checked_users()), "within_bound")
+
+
+#: Per date and hour of day, with exact users.
+hourly_engagement_exact = C.UserMetric(C.Cells(bucket="1 hour", newest=("TITLE", "GENRES")), _finish_hourly)
+
+
+def title_metrics_max(activity: DataFrame, stamp: bool = True) -> DataFrame:
     """Per title over all time, with the largest attributes; ``stamp`` adds processing time."""
     grouped = (
         keep_viewed(activity)
@@ -180,64 +231,48 @@ def title_metrics_max(activity: DataFrame, stamp: bool = False) -> DataFrame:
     return RESULTS["title_metrics_max"].conform(_stamped(grouped, stamp))
 
 
-def daily_title_engagement(activity: DataFrame, stamp: bool = False, expire: bool = False) -> DataFrame:
-    """Per date and title, with exact viewers; ``stamp`` adds processing time.
-
-    ``expire`` as in :func:`hourly_engagement`, by day.
-    """
-    viewed = keep_viewed(activity)
-    if expire:
-        timed = viewed.withColumn("bucket", day_window())
-        date = view_date("bucket.start")
-    else:
-        timed = viewed.withColumn("bucket", view_date(EVENT_TIME))
-        date = F.col("bucket")
-    grouped = aggregate_with_users(
-        timed,
-        ["bucket", "TITLE"],
-        [
-            A.view_count().alias("daily_views"),
-            A.total_duration().alias("total_watch_time"),
-            A.average_duration().alias("avg_watch_time"),
-            *_max_attributes(),
-        ],
-        "unique_viewers",
+def _finish_daily_titles(cells: DataFrame, stamp: bool = True) -> DataFrame:
+    grouped = cells.groupBy(C.day().alias("view_date"), F.col("TITLE").alias("title")).agg(
+        C.views().alias("daily_views"),
+        C.watch_time().alias("total_watch_time"),
+        C.average_watch_time().alias("avg_watch_time"),
+        C.users().alias("unique_viewers"),
+        C.largest("GENRES").alias("genres"),
+        C.largest("RELEASE_DATE").alias("release_date"),
     )
-    return RESULTS["daily_title_engagement"].conform(_stamped(grouped.withColumn("view_date", date), stamp))
+    return RESULTS["daily_title_engagement"].conform(_stamped(grouped, stamp))
 
 
-def by_day_and_hour(activity: DataFrame) -> DataFrame:
-    return (
-        keep_viewed(activity).withColumn("view_date", view_date(EVENT_TIME)).withColumn("hour", F.hour(EVENT_TIME))
-    )
-
-
-def daily_users(timed: DataFrame) -> DataFrame:
-    """Exact distinct users per day."""
-    pairs = timed.filter(F.col("USER_ID").isNotNull()).select("view_date", "USER_ID").dropDuplicates()
-    return pairs.groupBy("view_date").agg(F.count("USER_ID").alias("total_unique_users"))
+#: Per date and title, with exact viewers, stamped with processing time.
+daily_title_engagement = C.UserMetric(
+    C.Cells(columns=("TITLE",), bucket="1 day", largest=("GENRES", "RELEASE_DATE")), _finish_daily_titles
+)
 
 
-def finish_daily_engagement(cells: DataFrame, users: DataFrame, stamp: bool = False) -> DataFrame:
-    """Per-day result from viewing cells and daily users, both small by now."""
+def _finish_daily_documented(cells: DataFrame, stamp: bool = True) -> DataFrame:
+    timed = cells.withColumn("view_date", C.day()).withColumn("hour", F.hour(C.BUCKET))
+    users = timed.groupBy("view_date").agg(C.users(finer=True).alias("total_unique_users"))
+    viewing = timed.groupBy("view_date", "hour", "TITLE", "GENRES").agg(
+        C.views().alias("views"), C.watch_time().alias("watch_time")
+    )
     days = (
-        daily_favourites(cells)
+        daily_favourites(viewing)
         .withColumn("avg_watch_time", F.col("total_watch_time").cast("double") / F.col("total_views"))
-        .join(users, "view_date", "left")
-        .withColumn("total_unique_users", F.coalesce("total_unique_users", F.lit(0).cast("bigint")))
+        .join(users, "view_date")
     )
     return RESULTS["daily_engagement_documented"].conform(_stamped(days, stamp))
 
 
-def daily_engagement_documented(activity: DataFrame, stamp: bool = False) -> DataFrame:
-    """Per date: exact users, most watched title and genre, peak hour.
+#: Per date: exact users, most watched title and genre, peak hour; stamped with processing time.
+#: Users and views come from the same cells, so on a stream from the same position of the log.
+daily_engagement_documented = C.UserMetric(
+    C.Cells(columns=("TITLE", "GENRES"), bucket="1 hour"), _finish_daily_documented
+)
+
 
-    Batch. On a stream, keep ``viewing_cells`` and ``daily_users`` as two continuous tables
-    and apply :func:`finish_daily_engagement` to them
-    (``streaming.continuous.daily_engagement_tables``).
-    """
-    timed = by_day_and_hour(activity)
-    return finish_daily_engagement(viewing_cells(timed), daily_users(timed), stamp)
+def unstamped(result: DataFrame) -> DataFrame:
+    """Without processing time, to compare results."""
+    return result.drop("update_time")
 
 
 def _stamped(df: DataFrame, stamp: bool) -> DataFrame:

@@ -1,7 +1,7 @@
 """Every registered query, over the ``events`` table of a data folder.
 
-Streams run as replays: they read the whole table as a stream, keep their result as an
-upsert table below the shared folder, and return that table.
+Streams run as replays: the whole table lands in parts, each is read by a run that resumes the one
+before, the result is kept as an upsert table below the shared folder, and that table is returned.
 """
 
 from __future__ import annotations
@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 from viewlens.functions import aggregates as A
 from viewlens.functions import scalar as S
 from viewlens.operators import record
-from viewlens.operators.popular import daily_favourites, viewing_cells
+from viewlens.operators.cells import UserMetric
 from viewlens.plans import metrics as M
 from viewlens.plans.query_files import run_query_file
 from viewlens.schema import ACTIVITY_COLUMNS, EVENT_TIME, POSITION, RESULTS
 from viewlens.session import new_run_dir
 from viewlens.sources import events as E
 from viewlens.sources import messages
+from viewlens.sources.files import read_activity_table, write_activity_table
 from viewlens.streaming import continuous, upsert
-from viewlens.streaming.settings import with_watermark
+from viewlens.streaming.settings import GRACE, OUT_OF_ORDERNESS, with_watermark
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,24 +51,47 @@ def _by_title(aggregates: Callable[[], list[Column]]) -> Query:
 # --- rows and messages --------------------------------------------------------------------
 
 
+def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activity as messages of six partitions, whose broker times give the order of arrival."""
+    activity = E.activity(E.read_events(spark, sf_dir), "event_id")
+    headers = {
+        "partition": F.pmod("event_id", F.lit(6)).cast("int"),
+        "offset": F.col("event_id"),
+        "timestamp": F.timestamp_micros(F.col(POSITION)),
+    }
+    return messages.encode_activity(activity, headers=tuple(c.alias(name) for name, c in headers.items()))
+
+
+def _stored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_run_dir(spark, "messages")
+    messages.write_messages(_logged(spark, sf_dir), path)
+    return messages.read_messages(spark, path)
+
+
 def _activity_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    activity = E.load_activity(spark, sf_dir)
-    logged = messages.encode_activity(
-        activity,
-        headers=(
-            F.lit(0).alias("partition"),
-            F.col(POSITION).alias("offset"),
-            F.lit("2024-02-01 00:00:00").cast("timestamp").alias("timestamp"),
-        ),
-    )
-    return messages.decode_activity(logged).select(*ACTIVITY_COLUMNS, "partition", "offset")
+    decoded = messages.decode_activity(_stored_messages(spark, sf_dir))
+    return decoded.select(*ACTIVITY_COLUMNS, "partition", "offset")
 
 
 def _log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publish to a file log, read it back from the start, and aggregate what was logged."""
-    path = new_run_dir(spark, "log")
-    messages.append_to_log(messages.encode_activity(E.load_activity(spark, sf_dir)), path)
-    return M.title_metrics_max(record.with_event_time(messages.decode_activity(messages.read_log(spark, path))))
+    """Write messages, read them back from the start, and aggregate what was logged."""
+    timed = record.with_event_time(messages.decode_activity(_stored_messages(spark, sf_dir)))
+    return M.title_metrics_max(timed, stamp=False)
+
+
+def _latest_by_log_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest values by time, partition and offset of messages."""
+    timed = record.with_event_time(messages.decode_activity(_stored_messages(spark, sf_dir)))
+    latest = [A.latest("GENRES").alias("genres"), A.latest("RELEASE_DATE").alias("release_date")]
+    return record.keep_viewed(timed).groupBy(F.col("TITLE").alias("title")).agg(*latest)
+
+
+def _dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every thirteenth message is cut short; those come back with their key and text."""
+    cut = F.expr("CASE WHEN offset % 13 = 0 THEN left(value, 20) ELSE value END")
+    return messages.undecodable(_stored_messages(spark, sf_dir).withColumn("value", cut)).select(
+        "key", "value", "partition", "offset"
+    )
 
 
 def _event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +132,7 @@ def _param_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = M.daily_title_engagement(E.load_timed_activity(spark, sf_dir))
+    result = M.unstamped(M.daily_title_engagement(E.load_timed_activity(spark, sf_dir)))
     return messages.encode_result(result, RESULTS["daily_title_engagement"].key)
 
 
@@ -123,33 +147,18 @@ def _upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _most_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = daily_favourites(viewing_cells(M.by_day_and_hour(E.load_timed_activity(spark, sf_dir))))
+    days = M.daily_engagement_documented(E.load_timed_activity(spark, sf_dir))
     return days.select("view_date", "most_watched_title", "most_watched_genre")
 
 
 def _peak_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = M.by_day_and_hour(E.load_timed_activity(spark, sf_dir))
-    return timed.groupBy("view_date").agg(A.busiest_hour("hour").alias("peak_hour"))
-
-
-def _approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _viewed(spark, sf_dir)
-        .groupBy(S.view_date(EVENT_TIME).alias("view_date"))
-        .agg(A.approx_users().alias("total_unique_users"))
-    )
+    timed = _viewed(spark, sf_dir).withColumn("hour", F.hour(EVENT_TIME))
+    return timed.groupBy(S.view_date(EVENT_TIME).alias("view_date")).agg(A.busiest_hour("hour").alias("peak_hour"))
 
 
 def _approx_distinct_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact users per day, and whether the estimate is within four standard deviations."""
-    viewed = _viewed(spark, sf_dir).withColumn("view_date", S.view_date(EVENT_TIME))
-    exact = M.daily_users(viewed).withColumnRenamed("total_unique_users", "exact_users")
-    error = F.abs(F.col("total_unique_users") - F.col("exact_users"))
-    return (
-        _approx_distinct(spark, sf_dir)
-        .join(exact, "view_date")
-        .select("view_date", "exact_users", (error <= 4 * A.APPROX_RSD * F.col("exact_users")).alias("within_bound"))
-    )
+    days = M.daily_users_checked(E.load_timed_activity(spark, sf_dir))
+    return days.withColumnRenamed("total_unique_users", "exact_users")
 
 
 def _tumbling_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,50 +170,92 @@ def _tumbling_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stored(metric: Callable[[DataFrame], DataFrame], first_day: str | None = None, last_day: str | None = None) -> Query:
+    """Over the activity table at rest, written by day, or a range of its days."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = new_run_dir(spark, "activity")
+        write_activity_table(E.load_timed_activity(spark, sf_dir), path)
+        return metric(read_activity_table(spark, path, first_day, last_day))
+
+    return query
+
+
 # --- streams ------------------------------------------------------------------------------
 
+#: Parts in which a replay's events land, each read by a run of its own that resumes the one before.
+PARTS = 3
+
+Start = Callable[[DataFrame, str, str], continuous.ContinuousTable]
+
 
-def _replay(
-    spark: SparkSession,
-    sf_dir: str,
-    metric: Callable[[DataFrame], DataFrame],
-    key: tuple[str, ...],
-    watermark: bool = False,
-) -> continuous.ContinuousTable:
-    source = E.stream_timed_activity(spark, sf_dir)
-    if watermark:
-        source = with_watermark(source)
+def _replay(spark: SparkSession, sf_dir: str, start: Start, late: Column | None = None) -> continuous.ContinuousTable:
+    """The whole table as a stream of several micro-batches, in event-time order but for what is
+    late. ``start`` gets the stream, the table's root and the query's name."""
     root = new_run_dir(spark, "stream")
-    return continuous.maintain(metric(source), key, root, root.rsplit("/", 1)[-1], replay=True).wait()
+    landed = f"{root}/events"
+    table = None
+    for part in E.in_order(E.read_events(spark, sf_dir), PARTS, late):
+        part.write.mode("append").parquet(landed)
+        table = start(E.stream_timed_activity(spark, landed), f"{root}/table", root.rsplit("/", 1)[-1]).wait()
+    return table
+
+
+def _start(metric: Callable[[DataFrame], DataFrame], key: tuple[str, ...], watermark: str | None = None) -> Start:
+    def start(stream: DataFrame, root: str, name: str) -> continuous.ContinuousTable:
+        stream = with_watermark(stream, watermark) if watermark else stream
+        return continuous.maintain(metric(stream), key, root, name, replay=True, snapshot_every=2)
+
+    return start
+
+
+def _stream(metric: Callable[[DataFrame], DataFrame], table: str, watermark: str | None = None) -> Query:
+    return lambda spark, sf_dir: _replay(spark, sf_dir, _start(metric, RESULTS[table].key, watermark)).read()
+
 
+def _stream_users(metric: UserMetric, watermark: str | None = None) -> Query:
+    """A result with exact users from the cells that a stream keeps. With a watermark the cells'
+    state expires."""
 
-def _stream(metric: Callable[[DataFrame], DataFrame], table: str, watermark: bool = False) -> Query:
-    return lambda spark, sf_dir: _replay(spark, sf_dir, metric, RESULTS[table].key, watermark).read()
+    def start(stream: DataFrame, root: str, name: str) -> continuous.ContinuousTable:
+        stream = with_watermark(stream, watermark) if watermark else stream
+        return continuous.maintain_cells(metric, stream, root, name, expire=bool(watermark), replay=True)
+
+    return lambda spark, sf_dir: metric.finish(_replay(spark, sf_dir, start).read())
 
 
 def _changelog_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subscribe to a result's changelog with a second stream and return what it received."""
-    table = _replay(spark, sf_dir, M.title_metrics_max, RESULTS["title_metrics_max"].key)
+    """Subscribe to a result's changelog with a second stream, and return the newest of what it
+    received for each key."""
+    key = RESULTS["title_metrics_max"].key
+    table = _replay(spark, sf_dir, _start(lambda a: M.title_metrics_max(a, stamp=False), key))
     root = new_run_dir(spark, "subscriber")
     received = f"{root}/received"
     (
         table.subscribe()
-        .drop(upsert.BATCH)
         .writeStream.format("parquet")
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start(received)
         .awaitTermination()
     )
-    return spark.read.schema(table.schema).parquet(received)
+    return upsert.latest_per_key(spark.read.parquet(received), key)
 
 
-def _stream_daily_engagement_documented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = new_run_dir(spark, "stream")
-    cells, users = continuous.daily_engagement_tables(
-        E.stream_timed_activity(spark, sf_dir), root, root.rsplit("/", 1)[-1], replay=True
-    )
-    return continuous.read_daily_engagement(cells.wait(), users.wait())
+def _stream_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result's changes as JSON keys and values, batch by batch: the newest value of each key."""
+    result = lambda a: messages.encode_result(M.title_metrics_max(a, stamp=False), ("title",))
+    return _replay(spark, sf_dir, _start(result, ("key",))).read()
+
+
+def _stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows kept and rows dropped behind the watermark, when every fiftieth event lands last."""
+    late = F.col("event_id") % 50 == 7
+    key = ("title", "window_start")
+    table = _replay(spark, sf_dir, _start(M.title_days_max, key, GRACE), late)
+    viewed = _viewed(spark, sf_dir).agg(F.count("*").alias("viewed"))
+    kept = table.read().agg(F.sum("total_views").alias("kept"))
+    return kept.join(viewed).select("kept", (F.col("viewed") - F.col("kept")).alias("dropped"))
 
 
 QUERIES: dict[str, Query] = {
@@ -213,9 +264,11 @@ QUERIES: dict[str, Query] = {
     "activity_source": _activity_source,
     "keyed_messages": lambda spark, sf_dir: messages.encode_activity(E.load_activity(spark, sf_dir)),
     "log_replay": _log_replay,
+    "latest_by_log_position": _latest_by_log_position,
+    "dead_letters": _dead_letters,
     "metrics_json": _metrics_json,
     "param_query": _param_query,
-    "upsert_latest": _stream(M.title_metrics_max, "title_metrics_max"),
+    "upsert_latest": _stream(lambda a: M.title_metrics_max(a, stamp=False), "title_metrics_max"),
     "upsert_latest_rows": _upsert_rows,
     "changelog_read": _changelog_read,
     # rows and scalars
@@ -235,7 +288,7 @@ QUERIES: dict[str, Query] = {
         lambda: [A.latest("GENRES").alias("genres"), A.latest("RELEASE_DATE").alias("release_date")]
     ),
     "agg_count_distinct": _by_title(lambda: [F.count_distinct("USER_ID").alias("unique_viewers")]),
-    "agg_approx_distinct": _approx_distinct,
+    "agg_approx_distinct": _batch(M.daily_users_checked),
     "agg_approx_distinct_bound": _approx_distinct_bound,
     "agg_rowtime": lambda spark, sf_dir: _text_time(
         _by_title(lambda: [A.row_time().alias("update_time")])(spark, sf_dir), "update_time"
@@ -243,35 +296,43 @@ QUERIES: dict[str, Query] = {
     "agg_most_watched": _most_watched,
     "agg_peak_hour": _peak_hour,
     "tumbling_day": _tumbling_day,
-    # the metric queries
+    # the metric queries; estimated users come with the exact ones and their bound
     "title_metrics_windowed": _batch(M.title_metrics_windowed),
-    "daily_engagement_windowed": _batch(lambda a: M.daily_engagement_windowed(a, exact_users=True)),
-    "daily_engagement_windowed_approx": _batch(M.daily_engagement_windowed),
+    "daily_engagement_windowed": _batch(M.daily_engagement_exact),
+    "daily_engagement_windowed_approx": _batch(M.daily_engagement_checked),
     "title_metrics_rowtime": _batch(lambda a: _text_time(M.title_metrics_rowtime(a), "update_time")),
     "daily_engagement_rowtime": _batch(lambda a: _text_time(M.daily_engagement_rowtime(a), "update_time")),
     "title_metrics_latest": _batch(M.title_metrics_latest),
-    "hourly_engagement": _batch(lambda a: M.hourly_engagement(a, exact_users=True)),
-    "hourly_engagement_approx": _batch(M.hourly_engagement),
-    "title_metrics_max": _batch(M.title_metrics_max),
-    "daily_title_engagement": _batch(M.daily_title_engagement),
-    "daily_engagement_documented": _batch(M.daily_engagement_documented),
-    # the same on streams
-    "stream_title_metrics": lambda spark, sf_dir: _replay(
-        spark, sf_dir, M.title_metrics_with_viewers, ("title",)
-    ).read(),
+    "hourly_engagement": _batch(M.hourly_engagement_exact),
+    "hourly_engagement_approx": _batch(M.hourly_engagement_checked),
+    "title_metrics_max": _batch(lambda a: M.title_metrics_max(a, stamp=False)),
+    "daily_title_engagement": _batch(lambda a: M.unstamped(M.daily_title_engagement(a))),
+    "daily_engagement_documented": _batch(lambda a: M.unstamped(M.daily_engagement_documented(a))),
+    # over the stored activity table
+    "stored_title_metrics_windowed": _stored(M.title_metrics_windowed),
+    "stored_daily_title_engagement": _stored(
+        lambda a: M.unstamped(M.daily_title_engagement(a)), "2024-01-08", "2024-01-14"
+    ),
+    # the same on streams of several micro-batches
+    "stream_title_metrics": _stream_users(M.title_metrics_with_viewers),
     "stream_tumbling_day": lambda spark, sf_dir: _replay(
-        spark, sf_dir, M.title_days_max, ("title", "window_start"), watermark=True
+        spark, sf_dir, _start(M.title_days_max, ("title", "window_start"), GRACE)
     ).read(),
-    "stream_title_metrics_windowed": _stream(M.title_metrics_windowed, "title_metrics_windowed", watermark=True),
-    "stream_daily_engagement_windowed": _stream(
-        lambda a: M.daily_engagement_windowed(a, exact_users=True), "daily_engagement_windowed", watermark=True
+    "stream_title_metrics_windowed": _stream(M.title_metrics_windowed, "title_metrics_windowed", GRACE),
+    "stream_title_metrics_max": _stream(
+        lambda a: M.title_metrics_max(a, stamp=False), "title_metrics_max", OUT_OF_ORDERNESS
     ),
+    "stream_daily_engagement_windowed": _stream_users(M.daily_engagement_exact, GRACE),
     "stream_daily_engagement_rowtime": lambda spark, sf_dir: _text_time(
-        _stream(M.daily_engagement_rowtime, "daily_engagement_rowtime")(spark, sf_dir), "update_time"
+        _stream_users(M.daily_engagement_rowtime, GRACE)(spark, sf_dir), "update_time"
+    ),
+    "stream_hourly_engagement": _stream_users(M.hourly_engagement_exact, GRACE),
+    "stream_daily_title_engagement": lambda spark, sf_dir: M.unstamped(
+        _stream_users(M.daily_title_engagement, OUT_OF_ORDERNESS)(spark, sf_dir)
     ),
-    "stream_hourly_engagement": _stream(
-        lambda a: M.hourly_engagement(a, exact_users=True, expire=True), "hourly_engagement", watermark=True
+    "stream_daily_engagement_documented": lambda spark, sf_dir: M.unstamped(
+        _stream_users(M.daily_engagement_documented, GRACE)(spark, sf_dir)
     ),
-    "stream_daily_title_engagement": _stream(M.daily_title_engagement, "daily_title_engagement"),
-    "stream_daily_engagement_documented": _stream_daily_engagement_documented,
+    "stream_json_changelog": _stream_json,
+    "stream_late_rows": _stream_late_rows,
 }

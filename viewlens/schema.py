@@ -66,8 +66,8 @@ class ResultTable:
     schema: T.StructType
     key: tuple[str, ...]
 
-    def conform(self, df: DataFrame) -> DataFrame:
-        """Project and cast to the declared columns, in the declared order.
+    def conform(self, df: DataFrame, *more: str) -> DataFrame:
+        """Project and cast to the declared columns, in the declared order, and ``more``.
 
         ``update_time`` may be missing: it is processing time, and callers that compare
         results leave it out.
@@ -77,7 +77,8 @@ class ResultTable:
                 F.col(f.name).cast(f.dataType).alias(f.name)
                 for f in self.schema
                 if f.name in df.columns or f.name != "update_time"
-            ]
+            ],
+            *more,
         )
 
 

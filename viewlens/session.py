@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import SparkSession
 
-_local_roots: dict[str, tempfile.TemporaryDirectory] = {}
-
 
 def build_session(app_name: str = "viewlens", **conf: str) -> SparkSession:
     """A session with the settings every metric relies on; ``conf`` adds or overrides."""
@@ -24,36 +22,31 @@ def build_session(app_name: str = "viewlens", **conf: str) -> SparkSession:
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:
-    """Dates are cut at UTC midnight: ``to_date`` follows the session zone, ``window`` does not."""
+    """Dates are cut at UTC midnight: ``to_date`` follows the session zone, ``window`` does not.
+    The session stays in UTC afterwards."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local master may go without the setting; it then gets one temporary folder
-    per application, gone when the process ends.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        checkpoint_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        configured = checkpoint_dir.get() if checkpoint_dir.isDefined() else None
-    if configured:
-        return configured.rstrip("/")
-    if not is_local(spark):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.TemporaryDirectory(prefix="viewlens-", ignore_cleanup_errors=True)
-    return _local_roots[app].name
+    """The folder all executors can reach: ``spark.checkpoint.dir`` as the cluster names it, else
+    a folder below the warehouse, on the file system that the warehouse is on."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    path = named or f"{spark.conf.get('spark.sql.warehouse.dir')}/viewlens-runs"
+    handle = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return handle.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(handle).toString()
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
-    """A path no other run uses, below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path no other run uses, below the shared folder. What a run leaves there goes when the
+    driver's Python ends; results read from it are readable until then."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        handle = spark._jvm.org.apache.hadoop.fs.Path(path)
+        handle.getFileSystem(spark._jsc.hadoopConfiguration()).delete(handle, True)

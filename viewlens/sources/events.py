@@ -8,9 +8,8 @@ for the filters and the rejects to find.
 
 from __future__ import annotations
 
-import os.path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from viewlens.functions.scalar import SPACE_FORMAT
 from viewlens.operators.record import with_event_time
@@ -30,16 +29,20 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pin_utc(spark).read.schema(EVENTS_SCHEMA).parquet(events_path(sf_dir))
 
 
-def stream_events(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
-    """The same table as a stream, from its first file. The table may be a file or a folder."""
-    path = events_path(sf_dir)
-    reader = pin_utc(spark).readStream.schema(EVENTS_SCHEMA)
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).isFile():
-        return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
-    return reader.parquet(path)
+def stream_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events that land as files in a folder, from the first one."""
+    return pin_utc(spark).readStream.schema(EVENTS_SCHEMA).parquet(path)
+
+
+def in_order(events: DataFrame, parts: int, late: Column | None = None) -> list[DataFrame]:
+    """The whole table in parts that follow each other in event time, each a range of whole
+    days; rows that are ``late`` come in a part of their own after all others."""
+    day = F.to_date("ts")
+    first, last = events.agg(F.min(day), F.max(day)).first()
+    days = (last - first).days + 1 if first else 1
+    number = F.coalesce(F.floor(F.datediff(day, F.lit(first)) * parts / days), F.lit(0))
+    number = number if late is None else F.when(late, parts).otherwise(number)
+    return [events.filter(number == k) for k in range(parts + (late is not None))]
 
 
 # As SQL text: one call per column builds in a fraction of the time that the same
@@ -96,5 +99,5 @@ def load_timed_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_event_time(load_activity(spark, sf_dir))
 
 
-def stream_timed_activity(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
-    return with_event_time(activity(stream_events(spark, sf_dir, files_per_batch)))
+def stream_timed_activity(spark: SparkSession, path: str) -> DataFrame:
+    return with_event_time(activity(stream_events(spark, path)))

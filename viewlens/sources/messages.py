@@ -4,7 +4,7 @@ A message has ``key`` and ``value``; read back from a log it also has ``partitio
 ``offset`` and ``timestamp``. The Kafka functions are thin adapters over that contract.
 They need the Kafka package on the class path, and the Avro value format needs the Avro
 package; neither is bundled with PySpark, so in this repository both have not been run.
-The same contract over Parquet files (``append_to_log``/``read_log``) is what the tests run.
+The same contract over Parquet files (``write_messages``/``read_messages``) is what the tests run.
 """
 
 from __future__ import annotations
@@ -12,11 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StringType, StructField, StructType
+
 from viewlens.schema import ACTIVITY_COLUMNS, ACTIVITY_SCHEMA, POSITION, avro_schema, columns
+from viewlens.streaming import settings
 
-LOG_PARTITIONS = 6
 MESSAGE_SCHEMA = columns("key STRING, value STRING, partition INT, offset BIGINT, timestamp TIMESTAMP")
 
+_BROKEN = "_broken"
+
 # A registry-framed Avro value starts with one zero byte and a four-byte schema id.
 FRAME_BYTES = 5
 
@@ -57,34 +61,39 @@ def encode_activity(
 
 
 def log_position() -> Column:
-    """A total order over messages: broker time, then partition, then offset.
-
-    Offsets do not compare across partitions. Thirteen digits of milliseconds, five of
-    partition and nineteen of offset fit one decimal, so the order is a single column like
-    any other position. A time past those digits (after the year 2286, so a producer's
-    mistake) gives a null position, which orders before all others.
-    """
-    return F.expr(
-        "CAST(TRY_CAST(unix_millis(timestamp) AS DECIMAL(13,0)) * 1000000000000000000000000BD"
-        " + CAST(partition AS DECIMAL(5,0)) * 10000000000000000000BD"
-        " + CAST(offset AS DECIMAL(19,0)) AS DECIMAL(38,0))"
-    )
+    """A total order over messages: broker time, then partition, then offset, as offsets do not
+    compare across partitions. A message without a time orders before all others."""
+    return F.struct("timestamp", "partition", "offset")
 
 
-def decode_activity(messages: DataFrame, value_format: str = "json", framed: bool = False) -> DataFrame:
-    """Messages to the activity record and its log position. Works on streams."""
+def _decoded(messages: DataFrame, value_format: str, framed: bool) -> DataFrame:
+    """Messages with ``record``, null where the value cannot be decoded."""
     if value_format == "json":
-        record = F.from_json(F.col("value").cast("string"), ACTIVITY_SCHEMA)
-    elif value_format == "avro":
+        schema = StructType([*ACTIVITY_SCHEMA.fields, StructField(_BROKEN, StringType())])
+        parsed = F.from_json(F.col("value").cast("string"), schema, {"columnNameOfCorruptRecord": _BROKEN})
+        messages = messages.withColumn("parsed", parsed)
+        fields = F.struct(*(F.col(f"parsed.{c}").alias(c) for c in ACTIVITY_COLUMNS))
+        return messages.withColumn("record", F.when(F.col(f"parsed.{_BROKEN}").isNull() & F.col("parsed").isNotNull(), fields))
+    if value_format == "avro":
         from pyspark.sql.avro.functions import from_avro
 
         payload = unframe_avro(F.col("value")) if framed else F.col("value")
-        record = from_avro(payload, avro_schema())
-    else:
-        raise ValueError(f"unknown value format: {value_format}")
-    return messages.select(
-        record.alias("record"), log_position().alias(POSITION), "partition", "offset", "timestamp"
-    ).select("record.*", POSITION, "partition", "offset", F.col("timestamp").alias("logged_at"))
+        return messages.withColumn("record", from_avro(payload, avro_schema(), {"mode": "PERMISSIVE"}))
+    raise ValueError(f"unknown value format: {value_format}")
+
+
+def decode_activity(messages: DataFrame, value_format: str = "json", framed: bool = False) -> DataFrame:
+    """Messages to the activity record and its log position. Works on streams. What cannot be
+    decoded is left to :func:`undecodable`."""
+    decoded = _decoded(messages, value_format, framed).filter(F.col("record").isNotNull())
+    return decoded.select(
+        "record.*", log_position().alias(POSITION), "partition", "offset", F.col("timestamp").alias("logged_at")
+    )
+
+
+def undecodable(messages: DataFrame, value_format: str = "json", framed: bool = False) -> DataFrame:
+    """The messages that :func:`decode_activity` leaves out, as they came, for a dead-letter table."""
+    return _decoded(messages, value_format, framed).filter(F.col("record").isNull()).select(*messages.columns)
 
 
 def encode_result(result: DataFrame, key: tuple[str, ...], key_format: str = "json", key_in_value: bool = True) -> DataFrame:
@@ -101,32 +110,16 @@ def encode_result(result: DataFrame, key: tuple[str, ...], key_format: str = "js
     return result.select(key_column.alias("key"), _json(fields).alias("value"))
 
 
-# --- the log as Parquet files -------------------------------------------------------------
+# --- messages as Parquet files ------------------------------------------------------------
 
 
-def append_to_log(messages: DataFrame, path: str, partitions: int = LOG_PARTITIONS) -> None:
-    """Append messages to a file log of hash partitions.
+def write_messages(messages: DataFrame, path: str) -> None:
+    """Append messages with their log headers to a folder."""
+    messages.select(*(F.col(f.name).cast(f.dataType) for f in MESSAGE_SCHEMA)).write.mode("append").parquet(path)
 
-    Partition numbers are labels computed in place: no shuffle, so a key with a third of
-    the messages does not become one task. Offsets rise within a task and need not be
-    dense; appends are ordered by their time stamp.
-    """
-    (
-        messages.select(
-            F.col("key").cast("string").alias("key"),
-            F.col("value").cast("string").alias("value"),
-            F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int").alias("partition"),
-            F.monotonically_increasing_id().alias("offset"),
-            F.current_timestamp().alias("timestamp"),
-        )
-        .write.mode("append")
-        .partitionBy("partition")
-        .parquet(path)
-    )
 
-
-def read_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """The file log from its beginning."""
+def read_messages(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """All messages of a folder, and as a stream those to come."""
     reader = spark.readStream if streaming else spark.read
     return reader.schema(MESSAGE_SCHEMA).parquet(path)
 
@@ -158,15 +151,16 @@ def write_topic(messages: DataFrame, servers: str, topic: str, **options: str) -
     )
 
 
-def stream_to_topic(messages: DataFrame, servers: str, topic: str, checkpoint: str, name: str, **options: str):
-    """Publish every change of a streaming result as it happens."""
-    return (
-        messages.writeStream.queryName(name)
-        .outputMode("update")
+def stream_to_topic(
+    messages: DataFrame, servers: str, topic: str, checkpoint: str, name: str, replay: bool = False, **options: str
+) -> StreamingQuery:
+    """Publish every change of a streaming result as it happens, unless a query of that name runs."""
+    writer = (
+        messages.writeStream.outputMode("update")
         .format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("topic", topic)
         .option("checkpointLocation", checkpoint)
         .options(**options)
-        .start()
     )
+    return settings.start(writer, messages.sparkSession, name, replay)

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from viewlens.operators.popular import viewing_cells
-from viewlens.plans.metrics import by_day_and_hour, daily_users, finish_daily_engagement
-from viewlens.streaming import upsert
-from viewlens.streaming.settings import TRIGGER_INTERVAL, stream_settings
+from viewlens.operators.cells import UserMetric
+from viewlens.streaming import paths, upsert
+from viewlens.streaming.settings import active_query, start
+
+#: Where the queries started here keep their tables, by the query's id.
+_roots: dict[str, str] = {}
 
 
 @dataclass(frozen=True)
@@ -36,10 +38,6 @@ class ContinuousTable:
         return self
 
 
-def active_query(spark: SparkSession, name: str) -> StreamingQuery | None:
-    return next((q for q in spark.streams.active if q.name == name), None)
-
-
 def maintain(
     result: DataFrame,
     key: tuple[str, ...],
@@ -49,44 +47,39 @@ def maintain(
     output_mode: str = "update",
     files: int | None = None,
     state_partitions: int | None = None,
+    snapshot_every: int = upsert.SNAPSHOT_EVERY,
 ) -> ContinuousTable:
     """Start keeping ``result`` as an upsert table, unless a query of that name is running.
 
     Each micro-batch emits the rows that changed. ``replay`` reads what is there and ends;
     otherwise a micro-batch starts every trigger interval. Starting again on the same root
-    resumes from the stored progress and state.
+    resumes from the stored progress and state. A running query of that name that keeps another
+    root is an error.
     """
     spark = result.sparkSession
-    query = active_query(spark, name)
-    if query is None:
-        writer = (
-            result.writeStream.queryName(name)
-            .outputMode(output_mode)
-            .foreachBatch(upsert.changelog_writer(root, files))
-            .option("checkpointLocation", upsert.checkpoint_path(root))
-        )
-        writer = writer.trigger(availableNow=True) if replay else writer.trigger(processingTime=TRIGGER_INTERVAL)
-        with stream_settings(spark, state_partitions):
-            query = writer.start()
+    running = active_query(spark, name)
+    if running is not None and _roots.get(running.id) != root:
+        raise ValueError(f"query {name} keeps its table at {_roots.get(running.id)}, not at {root}")
+    paths.create(spark, upsert.changelog_path(root))
+    writer = (
+        result.writeStream.outputMode(output_mode)
+        .foreachBatch(upsert.changelog_writer(root, key, files, snapshot_every))
+        .option("checkpointLocation", upsert.checkpoint_path(root))
+    )
+    query = start(writer, spark, name, replay, state_partitions)
+    _roots[query.id] = root
     return ContinuousTable(spark, root, result.schema, key, query)
 
 
-def daily_engagement_tables(activity: DataFrame, root: str, name: str, replay: bool = False) -> tuple[ContinuousTable, ContinuousTable]:
-    """The two continuous tables behind the documented daily result.
+def maintain_cells(
+    metric: UserMetric, activity: DataFrame, root: str, name: str, expire: bool = False, **options
+) -> ContinuousTable:
+    """Keep the cells of a result with exact users; ``metric.finish(table.read())`` is the result.
 
-    Ranking needs a second grouping, which update-mode streams refuse, so the stream keeps
-    viewing cells and daily users, and :func:`read_daily_engagement` ranks them on read.
+    With ``expire`` on a watermarked stream, cells leave the state once their bucket has closed;
+    the table keeps them.
     """
-    timed = by_day_and_hour(activity)
-    cells = maintain(
-        viewing_cells(timed), ("view_date", "hour", "TITLE", "GENRES"), f"{root}/cells", f"{name}_cells", replay
-    )
-    users = maintain(daily_users(timed), ("view_date",), f"{root}/users", f"{name}_users", replay)
-    return cells, users
-
-
-def read_daily_engagement(cells: ContinuousTable, users: ContinuousTable, stamp: bool = False) -> DataFrame:
-    return finish_daily_engagement(cells.read(), users.read(), stamp)
+    return maintain(metric.cells.of(activity, expire), metric.cells.key, root, name, **options)
 
 
 def read_state(spark: SparkSession, root: str, operator_id: int = 0) -> DataFrame:

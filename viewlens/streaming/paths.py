@@ -1,4 +1,7 @@
-"""Folder operations on whatever file system a path names. Metadata only, no data."""
+"""Folder operations on whatever file system a path names. Metadata only, no data.
+
+They go through the session's JVM, so they need a classic session and not a Connect one.
+"""
 
 from __future__ import annotations
 
@@ -15,14 +18,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(handle)
 
 
+def create(spark: SparkSession, path: str) -> None:
+    fs, handle = _open(spark, path)
+    fs.mkdirs(handle)
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     """Delete a folder; false when there was none."""
     fs, handle = _open(spark, path)
     return fs.exists(handle) and fs.delete(handle, True)
 
 
-def children(spark: SparkSession, path: str) -> list[str]:
-    fs, handle = _open(spark, path)
-    if not fs.exists(handle):
-        return []
-    return sorted(status.getPath().getName() for status in fs.listStatus(handle))
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Full paths for a pattern, in one call to the file system."""
+    fs, handle = _open(spark, pattern)
+    return sorted(status.getPath().toString() for status in fs.globStatus(handle) or [])

@@ -6,9 +6,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from viewlens.schema import EVENT_TIME
-from viewlens.session import is_local, pin_utc
+from viewlens.session import pin_utc
 
 # Fixed values of the pipeline's declared configuration.
 TRIGGER_INTERVAL = "30 seconds"
@@ -26,15 +27,8 @@ _STATE_CONF = {
 
 
 def state_partitions(spark: SparkSession) -> int:
-    """State partitions are fixed when a query first starts, and not coalesced at run time.
-
-    A session that sets its shuffle partitions gets them. The untouched default of 200
-    suits a cluster but not one machine, which gets its core count.
-    """
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if configured == 200 and is_local(spark):
-        return spark.sparkContext.defaultParallelism
-    return configured
+    """State partitions are fixed when a query first starts, and not coalesced at run time."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 @contextmanager
@@ -56,6 +50,26 @@ def stream_settings(spark: SparkSession, partitions: int | None = None) -> Itera
                 spark.conf.set(key, value)
 
 
+def active_query(spark: SparkSession, name: str) -> StreamingQuery | None:
+    return next((q for q in spark.streams.active if q.name == name), None)
+
+
+def start(
+    writer: DataStreamWriter, spark: SparkSession, name: str, replay: bool = False, partitions: int | None = None
+) -> StreamingQuery:
+    """Start a query, unless one of that name is running, which is returned then.
+
+    ``replay`` reads what is there and ends; otherwise a micro-batch starts every interval.
+    """
+    query = active_query(spark, name)
+    if query is None:
+        writer = writer.queryName(name)
+        writer = writer.trigger(availableNow=True) if replay else writer.trigger(processingTime=TRIGGER_INTERVAL)
+        with stream_settings(spark, partitions):
+            query = writer.start()
+    return query
+
+
 def with_watermark(activity: DataFrame, delay: str = GRACE) -> DataFrame:
     """Bound lateness. Only groups with a window in their key drop late rows and expire."""
     return activity.withWatermark(EVENT_TIME, delay)
