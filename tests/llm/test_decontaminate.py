@@ -1,0 +1,92 @@
+"""Benchmark passages against a plain search."""
+
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from viewlens.llm import decontaminate, registry
+from viewlens.llm.tables import load
+
+SCHEMA = "doc_id bigint, text string"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain(rows, items):
+    windows = {}
+    for i, t in items:
+        w = words(t)
+        for k in range(max(len(w) - 12, 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + 13]), set()).add("null" if i is None else str(i))
+    sizes = {len(w) for w in windows}
+    out = []
+    for i, t in rows:
+        w = words(t)
+        hit, found = set(), set()
+        for size in sizes:
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in windows:
+                    hit |= set(range(k, k + size))
+                    found |= windows[tuple(w[k : k + size])]
+        out.append((i, len(w), len(hit), sorted(found)))
+    return sorted(out, key=str)
+
+
+def judged(found):
+    n_hit = decontaminate.hit_words(F.col("hits")).alias("n_hit")
+    return sorted(((r[0], r[1], r[2], r[3]) for r in found.select("doc_id", "n_words", n_hit, "items").collect()), key=str)
+
+
+def varied(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(30)] + ["É", "ß9", "𝄞x"]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 3, 5, 12, 13, 14, 40])))) for k in range(40)]
+    items += [(None, "null item words"), (7, "Same, ID twice!"), (8, None), (9, "--")]
+    rows = []
+    for k in range(150):
+        parts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 60)))]
+        for _ in range(rng.randint(0, 3)):
+            parts.append(rng.choice(items)[1] or "")
+            parts.append(" ".join(rng.choices(["own", "filler", "W3"], k=rng.randint(0, 30))))
+        rows.append((k, ", ".join(parts).upper() if k % 2 else "\n".join(parts)))
+    return rows + [(None, None), (3, ""), (3, ""), (5, "w1 " * 400_000)], items
+
+
+def test_varied_rows_in_one_set_and_in_several(spark):
+    rows, items = varied(1)
+    df = spark.createDataFrame([(*r, "old", 1) for r in rows], SCHEMA + ", ITEMS string, n_words int")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    want = plain(rows, items)
+    for most in (decontaminate.MAX_WINDOWS, 60):
+        assert judged(decontaminate.find_benchmark(df, benchmark, max_windows=most)) == want
+    assert decontaminate.find_benchmark(df.limit(0), benchmark).collect() == []
+    assert {r[2] for r in judged(decontaminate.find_benchmark(df, benchmark.limit(0)))} == {0}
+
+
+def test_query_equals_brute_force_on_the_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    table = lambda name, *c: [tuple(r) for r in load(spark, sf_dir, name).select(*c).collect()]
+    want = plain(table("documents", "doc_id", "text"), table("benchmark", "item_id", "text"))
+    got = registry.op1_decontaminate(spark, sf_dir).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        (
+            (i, n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and 20 * hit >= n)
+            for i, n, hit, items in want
+        ),
+        key=str,
+    )
+
+
+def test_spans_and_documents_are_removed(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(1, f"Before, {passage.upper()}! After."), (2, f"{passage}"), (3, "clean text"), (4, f"{passage} {'x ' * 500}")]
+    found = decontaminate.find_benchmark(
+        spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, passage)], "item_id int, text string")
+    )
+    assert {r[0]: r[1] for r in decontaminate.cut_hits(found).collect()} == {1: "Before, ! After.", 2: "", 3: "clean text", 4: " " + "x " * 500}
+    assert [tuple(r) for r in decontaminate.drop_contaminated(found).orderBy("doc_id").collect()] == [rows[2], rows[3]]

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.tables import without, written
+from viewlens.llm.tables import settled, without, written
 
 #: Boilerplate stands on this share of a host's pages, and on this many at least.
 RATIO, MIN_PAGES = 0.05, 5
@@ -59,8 +59,8 @@ def drop_boilerplate(
     """
     df = without(df, "n_lines", "n_dropped")
     text = F.col(f"`{text_col}`")
-    found = boilerplate(df, F.col(f"`{host_col}`"), text, ratio, min_pages)
-    found = written(found.withColumnsRenamed({"host": "_host", "keys": "_keys"}), "boilerplate")
+    found = settled(lambda: boilerplate(df, F.col(f"`{host_col}`"), text, ratio, min_pages), "boilerplate")
+    found = found.withColumnsRenamed({"host": "_host", "keys": "_keys"})
     rows = df.join(found, F.col(f"`{host_col}`").eqNullSafe(F.col("_host")), "left")
     kept = F.filter(lines_of(text), lambda x: ~F.coalesce(F.array_contains("_keys", line_key(x)), F.lit(False)))
     rows = rows.withColumn("_kept", F.when(F.col("_keys").isNotNull(), kept))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewlens.llm import kneser_ney as K
-from viewlens.llm.tables import appended, pieces, without, written
+from viewlens.llm.tables import appended, pieces, settled, without, written
 from viewlens.llm.words import stretches, words
 
 MIN_WORDS, WINDOW_WORDS, REPEAT_PERCENT = 20, 8, 30
@@ -103,14 +103,17 @@ def _declared(df: DataFrame, added: str) -> str:
 
 
 def scored(df: DataFrame, model: DataFrame, text_col: str, lang_col: str, max_entries: int) -> DataFrame:
-    """``df`` with ``SCORES``. A model of up to ``max_entries`` is broadcast. A larger one is not:
-    the texts are dealt into blocks, and each block meets the n-grams of the model that occur in
-    it and no others."""
+    """``df`` with ``FEATURES`` and ``SCORES``. A model of up to ``max_entries`` is broadcast. A
+    larger one is not: the texts are dealt into blocks, and each block meets the n-grams of the
+    model that occur in it and no others."""
+    features = lambda batches: feature_batches(batches, text_col)
     if model.count() <= max_entries:
         arrays = df.sparkSession.sparkContext.broadcast(K.sorted_arrays(K.entries(model).toArrow()))
         return df.mapInArrow(
-            lambda batches: score_batches(batches, text_col, lang_col, arrays.value), _declared(df, SCORES)
+            lambda batches: score_batches(features(batches), text_col, lang_col, arrays.value),
+            _declared(df, f"{FEATURES}, {SCORES}"),
         )
+    df = df.mapInArrow(features, _declared(df, FEATURES))
     blocks = df.agg(F.sum(F.length(text_col))).first()[0] // BLOCK_CHARS + 1
     block = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in (text_col, lang_col)), F.monotonically_increasing_id()), F.lit(blocks))
     df = written(df.withColumn("_block", block), "blocks")
@@ -181,15 +184,18 @@ def judge(
     """
     df = without(df, *ADDED)
     texts = df.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    model = K.train(texts.filter(F.col("text").isNotNull()))
-    with_features = df.mapInArrow(lambda batches: feature_batches(batches, text_col), _declared(df, FEATURES))
-    rows = scored(with_features, model, text_col, lang_col, max_entries)
-    rows = written(rows if keep_text else rows.drop(text_col), "scored")
+
+    def score() -> DataFrame:
+        model = K.train(texts.filter(F.col("text").isNotNull()))
+        rows = scored(df, model, text_col, lang_col, max_entries)
+        return rows if keep_text else rows.drop(text_col)
+
+    rows = settled(score, "scored")
     lang = F.coalesce(F.col(lang_col), F.lit("")).alias("lang")
     log_perplexity = -F.col("sum_log_p") / F.col("n_scored")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     passed = rows.filter(~failed).select(lang, log_perplexity.alias("log_perplexity"), "n_scored")
-    limits = written(bands(passed), "bands").withColumnRenamed("lang", "_lang")
+    limits = settled(lambda: bands(passed), "bands").withColumnRenamed("lang", "_lang")
     off = (log_perplexity - F.col("middle")) / _scatter(F.col("n_scored"))
     inside = F.when(F.col("n_scored") > 0, off.between(-F.col("below"), F.col("above")))
     judged = rows.join(limits, F.coalesce(F.col(lang_col), F.lit("")) == F.col("_lang"), "left")

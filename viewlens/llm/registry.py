@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 
 from viewlens.llm import bpe, decontaminate, hilbert, line_dedup, main_text, quality, secrets, simhash, token_counts, warc
 from viewlens.llm.oracle import ORACLE as ORACLE
-from viewlens.llm.tables import load, shared_folder
+from viewlens.llm.tables import load
+from viewlens.session import new_run_dir
 
 #: The vocabulary file; installed with its package on every machine.
 MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -38,7 +38,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_run_dir(spark, "warc")
     pages = load(spark, sf_dir, "pages")
     warc.write_records(pages, path, "page_id", "html", "url")
     found = warc.read_records(spark.read.parquet(path))

@@ -16,6 +16,7 @@ joins over those links.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewlens.llm.bktree import Forest, Groups
-from viewlens.llm.tables import appended, pieces, without, written
+from viewlens.llm.tables import appended, pieces, settled, without, written
 from viewlens.llm.words import stretches
 
 BITS, SEED = 64, 42
@@ -198,16 +199,19 @@ def components(pairs: DataFrame) -> DataFrame:
 
     edges = pairs.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v <> u").distinct()
     edges = written(edges, "edges")
-    before = mark(edges)
-    while before[0]:
+    def stars(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = smallest(both).select("v", F.least("v", "m").alias("m"))
         large = both.join(low, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         # every edge keeps its larger end; the smaller ends of one node hang on the least of them
         large = written(large.filter("v <> u").distinct(), "edges")
         small = large.join(smallest(large), "v")
-        ends = F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u"))))
-        edges = written(small.select(ends.alias("e")).select("e.*").filter("v <> u").distinct(), "edges")
+        own, other = F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u"))
+        return small.select(F.explode(F.array(own, other)).alias("e")).select("e.*").filter("v <> u").distinct()
+
+    before = mark(edges)
+    while before[0]:
+        edges = settled(functools.partial(stars, edges), "edges")
         after = mark(edges)
         if after == before:
             break
@@ -231,14 +235,17 @@ def near_duplicates(
     their row. Null ids never name a component; where a component has no other, its id is null.
     """
     rows = written(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text", shingle), "fingerprints")
-    distinct = written(rows.groupBy("fingerprint").agg(F.min("id").alias("low")), "distinct")
-    pairs = links(distinct.select("fingerprint"), distinct.count(), radius, mean_shard, max_shard)
-    roots = components(pairs).withColumnRenamed("node", "fingerprint")
-    of = written(
-        distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")), "roots"
-    )
-    least = written(of.groupBy("root").agg(F.min("low").alias("component_id")), "least")
-    classes = written(of.join(least, "root").select("fingerprint", "component_id"), "classes")
+
+    def classes() -> DataFrame:
+        distinct = written(rows.groupBy("fingerprint").agg(F.min("id").alias("low")), "distinct")
+        pairs = links(distinct.select("fingerprint"), distinct.count(), radius, mean_shard, max_shard)
+        roots = components(pairs).withColumnRenamed("node", "fingerprint")
+        of = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+        of = written(of, "roots")
+        least = written(of.groupBy("root").agg(F.min("low").alias("component_id")), "least")
+        return of.join(least, "root").select("fingerprint", "component_id")
+
+    classes = settled(classes, "classes")
     return rows.join(classes, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 

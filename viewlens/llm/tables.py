@@ -2,47 +2,50 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from viewlens.session import new_run_dir
+from viewlens.streaming import paths
+
 #: Bytes of text that a Python step works on at once; a longer text is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """What the cluster names in ``spark.checkpoint.dir``; else a folder below the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+#: Tables written and not yet removed.
+_tables: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, whatever reads it, and
     still there when an executor is lost. Its size is known to the planner, which then chooses
-    between broadcast and shuffle. Removed when the driver's Python ends."""
+    between broadcast and shuffle. Removed when the driver's Python ends, if not before."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_run_dir(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns as a written table; the tables it wrote on the way are removed."""
+    before = set(_tables)
+    out = written(make(), name)
+    for path in _tables[:-1]:
+        if path not in before:
+            paths.delete(out.sparkSession, path)
+            _tables.remove(path)
+    return out
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns an operator is about to add; names compare as Spark's do, by
     default in either case."""
