@@ -65,7 +65,22 @@ SELECT doc_id, source, CASE WHEN cuts THEN array_to_string(kept, chr(10)) ELSE t
 FROM judged
 """
 
+#: Base32 takes five bits a letter, so five hexadecimal digits are four letters.
+WARC = r"""
+WITH record AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest FROM pages
+)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((CAST('0x' || substr(digest, 1 + 5 * CAST(k // 4 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31),
+           1)), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM low THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM low THEN low END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY payload) AS low FROM record)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_decontaminate": DECONTAMINATE,
+    "op2_warc": WARC,
     "op4_line_dedup": LINE_DEDUP,
 }
