@@ -45,10 +45,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that hold no main text, and words in class, id or role that say so of any element.
 OTHER = frozenset("nav footer aside form menu select button dialog head search".split())
 OTHER_NAMES = frozenset(
-    "ad ads adsbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist "
-    "complementary contentinfo cookie cookies consent disqus footer form gdpr masthead menu menubar nav navbar "
-    "navigation newsletter notice pagination popup modal promo related respond search share sharing sidebar social "
-    "sponsor sponsored subscribe toolbar topbar widget".split()
+    "ad adbox ads adsbox adsense adslot adunit advert adverts advertisement advertising alert alertdialog banner "
+    "breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookiebanner "
+    "cookiebar cookies disqus footer form gdpr masthead menu menubar modal nav navbar navigation newsletter notice "
+    "notices pagination popup promo promoted promotion related replies respond responses search share sharing "
+    "sidebar sidebars social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 ARTICLE = frozenset(["article", "main"])
 

@@ -29,7 +29,7 @@ LOWER_DEVIATIONS, UPPER_DEVIATIONS, LEAST_WIDTH = 5.0, 5.0, 0.05
 #: A text of so many symbols scatters by the root of two times as much as a very long one.
 SHORT_SYMBOLS = 1000
 #: Characters of text that a block of the joined form has about.
-BLOCK_CHARS = 64 << 20
+BLOCK_CHARS = 16 << 20
 FEATURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 SCORES = "sum_log_p double, n_scored bigint"
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "perplexity", "base_failed", "kept")
