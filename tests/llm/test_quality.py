@@ -128,7 +128,7 @@ def test_unseen_texts_get_backed_off_probabilities(spark):
 
 def test_awkward_rows(spark):
     long = "\n".join(f"line {k % 5000} of a text with some words" for k in range(40_000))
-    rows = [(1, "en", None), (1, "en", ""), (None, None, "x"), (2, None, "a b " * 30), (2, None, "a b " * 30), (3, "en", long), (4, "zz", "\x0b \x0c\n\n\t"), (5, "en", "É" * 50)]
+    rows = [(1, "en", None), (1, "en", ""), (None, None, "x"), (2, None, "a b " * 30), (2, None, "a b " * 30), (3, "en", long), (4, "zz", "\x0b \x0c\n\n\t"), (5, "en", "É" * 50), (6, "en", "nul\0 \0\0 at\0 ends\0")]
     df = spark.createDataFrame([(*r, "old", 7) for r in rows], SCHEMA + ", kept string, N_Words int")
     got = quality.judge(df).collect()
     assert sorted(tuple(r[c] for c in quality.ADDED[:5]) for r in got) == sorted(plain_features(r[2]) for r in rows)
