@@ -186,6 +186,9 @@ def _stored(metric: Callable[[DataFrame], DataFrame], first_day: str | None = No
 #: Parts in which a replay's events land, each read by a run of its own that resumes the one before.
 PARTS = 3
 
+#: Files in which each batch of a published result lands.
+RESULT_FILES = 6
+
 Start = Callable[[DataFrame, str, str], continuous.ContinuousTable]
 
 
@@ -201,10 +204,12 @@ def _replay(spark: SparkSession, sf_dir: str, start: Start, late: Column | None
     return table
 
 
-def _start(metric: Callable[[DataFrame], DataFrame], key: tuple[str, ...], watermark: str | None = None) -> Start:
+def _start(
+    metric: Callable[[DataFrame], DataFrame], key: tuple[str, ...], watermark: str | None = None, files: int | None = None
+) -> Start:
     def start(stream: DataFrame, root: str, name: str) -> continuous.ContinuousTable:
         stream = with_watermark(stream, watermark) if watermark else stream
-        return continuous.maintain(metric(stream), key, root, name, replay=True, snapshot_every=2)
+        return continuous.maintain(metric(stream), key, root, name, replay=True, files=files, snapshot_every=2)
 
     return start
 
@@ -245,7 +250,7 @@ def _changelog_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result's changes as JSON keys and values, batch by batch: the newest value of each key."""
     result = lambda a: messages.encode_result(M.title_metrics_max(a, stamp=False), ("title",))
-    return _replay(spark, sf_dir, _start(result, ("key",))).read()
+    return _replay(spark, sf_dir, _start(result, ("key",), files=RESULT_FILES)).read()
 
 
 def _stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,9 +258,10 @@ def _stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.col("event_id") % 50 == 7
     key = ("title", "window_start")
     table = _replay(spark, sf_dir, _start(M.title_days_max, key, GRACE), late)
-    viewed = _viewed(spark, sf_dir).agg(F.count("*").alias("viewed"))
-    kept = table.read().agg(F.sum("total_views").alias("kept"))
-    return kept.join(viewed).select("kept", (F.col("viewed") - F.col("kept")).alias("dropped"))
+    viewed = _viewed(spark, sf_dir).select(F.lit(0).alias("kept"), F.lit(1).alias("viewed"))
+    both = table.read().select(F.col("total_views").alias("kept"), F.lit(0).alias("viewed")).unionByName(viewed)
+    kept = F.sum("kept")
+    return both.agg(kept.alias("kept"), (F.sum("viewed") - kept).alias("dropped"))
 
 
 QUERIES: dict[str, Query] = {
