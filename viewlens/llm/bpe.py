@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from viewlens.llm.tables import appended, pieces, without
 
-#: Chunks a worker remembers before it starts afresh (about 60 MB). Results don't depend on it.
-REMEMBERED = 300_000
+#: Chunks a worker remembers before it starts afresh (about 40 MB with their words). Results don't
+#: depend on it.
+REMEMBERED = 120_000
 #: Unicode's white space, as the model's patterns mean ``\s``.
 _SPACE = r"\t\n\x0b\f\r \x85\xa0  -     　"
 _NONE = np.iinfo(np.int64).max

@@ -13,11 +13,23 @@ from viewlens.session import new_run_dir
 from viewlens.streaming import paths
 
 #: Bytes of text that a Python step works on at once; a longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+
+
+#: Rows, and bytes, that Spark hands to Python at once: texts are large rows, and both sides hold a
+#: batch for each task.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Sets the session to batches fit for texts; it stays so."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 #: Tables written and not yet removed.
