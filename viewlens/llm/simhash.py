@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,11 +113,17 @@ def shards(distinct: DataFrame, masks: list[int], max_shard: int) -> DataFrame:
     any, are its queries."""
     choice = F.posexplode(F.array(*(F.col("fingerprint").bitwiseAND(F.lit(_signed(m))) for m in masks)))
     rows = distinct.select("fingerprint", choice.alias("choice", "bits"))
-    sizes = rows.groupBy("choice", "bits").count().filter(F.col("count") > max_shard)
-    parts = written(sizes.withColumn("parts", F.ceil(F.col("count") / max_shard).cast("int")).drop("count"), "shards")
-    parts = F.broadcast(parts) if parts.count() <= 10_000 else parts
-    rows = rows.join(parts, ["choice", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
+    return dealt(rows, ["choice", "bits"], F.ceil(F.count("*") / max_shard), F.xxhash64("fingerprint"), ["fingerprint"])
+
+
+def dealt(rows: DataFrame, keys: list[str], parts: Column, by: Column, carried: list[str]) -> DataFrame:
+    """Rows (keys, part, other, side, carried) of the cells of each key. A key's rows are cut into
+    so many ``parts`` (an aggregate) by the hash ``by``, and every two parts meet in a cell."""
+    sizes = rows.groupBy(*keys).agg(parts.cast("int").alias("parts")).filter("parts > 1")
+    many = written(sizes, "shards")
+    many = F.broadcast(many) if many.count() <= 10_000 else many
+    rows = rows.join(many, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(by, F.col("parts")).cast("int")
     cells = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda k: F.struct(
@@ -126,11 +132,19 @@ def shards(distinct: DataFrame, masks: list[int], max_shard: int) -> DataFrame:
             (F.col("own") > k).cast("int").alias("side"),
         ),
     )
-    return rows.withColumn("own", part).select("choice", "bits", F.inline(cells), "fingerprint")
-
-
-def linked(cells: np.ndarray, side: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and the one each hangs on, so that what the cells link stays linked."""
+    return rows.withColumn("own", part).select(*keys, F.inline(cells), *carried)
+
+
+def linked(
+    cells: np.ndarray,
+    side: np.ndarray,
+    values: np.ndarray,
+    radius: int,
+    names: np.ndarray | None = None,
+    near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints, or their ``names``, and the one each hangs on, so that what the cells link
+    stays linked. Of the pairs within the radius those count that ``near`` says are near."""
     tree = np.cumsum(np.diff(cells, prepend=cells[:1]) != 0)
     groups = Groups(len(values))
     inside = np.flatnonzero(side == 0)
@@ -143,36 +157,49 @@ def linked(cells: np.ndarray, side: np.ndarray, values: np.ndarray, radius: int)
     has[tree[inside]] = True
     queries = queries[has[tree[queries]]]
     for query, node in forest.near(values[queries], place[queries], radius):
-        groups.unite(queries[query], inside[node])
+        a, b = queries[query], inside[node]
+        if near is not None:
+            true = near(a, b)
+            a, b = a[true], b[true]
+        groups.unite(a, b)
+    names = values if names is None else names
     hangs = np.flatnonzero(groups.root != np.arange(len(values)))
-    return values[hangs], values[groups.root[hangs]]
+    return names[hangs], names[groups.root[hangs]]
 
 
-def link_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows of whole cells in, links out. A cell that goes on in the next batch waits for it."""
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def whole_cells(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole cells. A cell that goes on in the next batch waits for it."""
     waiting: list[pa.RecordBatch] = []
-
-    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        columns = [table.column(c).to_numpy() for c in CELL]
-        number = np.cumsum(np.append(0, np.any([x[1:] != x[:-1] for x in columns], axis=0)))
-        values = table.column("fingerprint").to_numpy().view(np.uint64)
-        found = linked(number, table.column("side").to_numpy(), values, radius)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], schema=kind)
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(c).to_numpy() for c in CELL]
+        columns = [batch.column(c).to_numpy() for c in cell]
         others = np.flatnonzero(np.any([x != x[-1] for x in columns], axis=0))
+        if waiting and any(x[0] != waiting[-1].column(c)[-1].as_py() for c, x in zip(cell, columns)):
+            yield pa.Table.from_batches(waiting)
+            waiting = []
         waiting.append(batch)
         if len(others):
             cut = int(others[-1]) + 1
-            yield links([*waiting[:-1], batch.slice(0, cut)])
+            yield pa.Table.from_batches([*waiting[:-1], batch.slice(0, cut)])
             waiting = [batch.slice(cut)]
     if waiting:
-        yield links(waiting)
+        yield pa.Table.from_batches(waiting)
+
+
+def cell_numbers(table: pa.Table, cell: list[str]) -> np.ndarray:
+    """0, 1, 2 ... for the cells in their order."""
+    columns = [table.column(c).to_numpy() for c in cell]
+    return np.cumsum(np.append(0, np.any([x[1:] != x[:-1] for x in columns], axis=0)))
+
+
+def link_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows of whole cells in, links out."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for table in whole_cells(batches, CELL):
+        values = table.column("fingerprint").to_numpy().view(np.uint64)
+        found = linked(cell_numbers(table, CELL), table.column("side").to_numpy(), values, radius)
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], schema=kind)
 
 
 def links(distinct: DataFrame, count: int, radius: int, mean_shard: int, max_shard: int) -> DataFrame:
