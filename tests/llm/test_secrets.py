@@ -131,3 +131,20 @@ def test_awkward_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("secrets", F.lit("old")).withColumn("_x", F.lit(1))
     check(df, rows)
     assert secrets.find_secrets(df.limit(0)).collect() == []
+
+
+def test_values_after_an_equals_sign_and_pieces_of_paths(spark):
+    rng = random.Random(11)
+    token = lambda: "".join(rng.choices(string.ascii_letters + string.digits, k=40))
+    forms = ["private_key={}", "/x?sig={}&a=1", "AWS_SECRET_ACCESS_KEY={}", "see /a-b/{}", "in 𝄞 /some-dir/b_c/{}/x-y", "{}=="]
+    rows, want = [], {}
+    for k in range(60):
+        value = token()
+        text = "é " + forms[k % len(forms)].format(value) + " end"
+        rows.append((k, text))
+        want[k] = (text.index(value), 3, text.index(value) + 40)
+    rows.append((60, "a-long/path-of/ordinary_words-only/in-small_letters/goes-here"))
+    got = {r["doc_id"]: [tuple(s) for s in r["secrets"]] for r in secrets.find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[60] == []
+    for k in range(60):
+        assert got[k] == [want[k]], rows[k]

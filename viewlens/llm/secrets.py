@@ -1,7 +1,7 @@
 """Secrets in texts: three fixed patterns, and strings that a battery of tests finds random.
 
 Only column functions. The battery takes runs of encoding characters. The smallest alphabet that
-covers a run is its encoding. Three tests ask whether the run could be random: the chi-squared
+covers a run is its encoding; a run that none covers is cut at '/', '-' and '_'. Three tests ask whether the run could be random: the chi-squared
 statistic of its alphabet's uniformity, the number of runs above and below the alphabet's middle,
 and the correlation of neighbours. A run that any of them refutes is dropped.
 
@@ -30,8 +30,10 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LENGTH = 8
 
-#: Runs that the battery takes, without padding.
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}"
+#: Runs that the battery takes, without padding. What follows '=' is a value, so a run may begin there.
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+#: Pieces that stand for a run no alphabet covers: those between its separators.
+PIECE = r"[A-Za-z0-9+]{20,}"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Name, alphabet, and how often two characters of an ordinary string in it are the same one.
 ENCODINGS = (
@@ -75,6 +77,18 @@ def spans(text: Column, matches: Column, pattern: str) -> Column:
     return F.when(F.size(matches) > 0, F.aggregate(lengths, start, step, lambda s: s["found"])).otherwise(none)
 
 
+def pieces_of(run: Column) -> Column:
+    """(run, at) of what the battery takes of one (run, at): itself, or, where no alphabet has all
+    its characters, its pieces."""
+    matches = F.regexp_extract_all(run["run"], F.lit(PIECE), F.lit(0))
+    begin = run["at"]["start"]
+    moved = lambda m, s: F.struct(
+        m.alias("run"), F.struct((begin + s["start"]).alias("start"), (begin + s["end"]).alias("end")).alias("at")
+    )
+    pieces = F.zip_with(matches, spans(run["run"], matches, PIECE), moved)
+    return F.when(encoding_of(run["run"]).isNull(), pieces).otherwise(F.array(run))
+
+
 # --- the battery --------------------------------------------------------------------------
 
 
@@ -205,7 +219,7 @@ def find_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
     base = F.concat(as_kind(assign, 0), as_kind(F.col("_access_at"), 1), as_kind(F.col("_hex_at"), 2))
     rows = rows.select(*names, base.alias("_base"), F.arrays_zip(F.col("_run").alias("run"), F.col("_run_at").alias("at")).alias("_runs"))
     free = F.filter(
-        "_runs",
+        F.flatten(F.transform("_runs", pieces_of)),
         lambda r: ~F.exists("_base", lambda b: (b["start"] < r["at"]["end"]) & (r["at"]["start"] < b["end"])),
     )
     rows = rows.select(*names, "_base", free.alias("_runs")).withColumn("_key", F.monotonically_increasing_id())
