@@ -77,3 +77,19 @@ def test_awkward_rows(spark):
     got = sorted(map(tuple, extract(df).collect()), key=str)
     assert got == sorted([(1, ""), (1, ""), (None, ""), (2, "\n".join(["x y"] * 50_000))], key=str)
     assert extract(df.limit(0)).collect() == []
+
+
+LINKS = "".join(f"<li><a href='/{k}'>Another story of the week, number {k}</a></li>" for k in range(5))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><h1><a href=1>T</a></h1><p>{LONG}<ul>{LINKS}</ul><p>Offer ends soon.</article>", f"T\n{LONG.strip()}"),
+        (f"<article><ul>{LINKS}</ul><p>{LONG}<p><a href=2>A source</a><p>{LONG}<p>End.</article>", f"{LONG.strip()}\nA source\n{LONG.strip()}\nEnd."),
+        (f"<main><p>{LONG}<div>{LINKS}</div><p>{LONG}</main>", f"{LONG.strip()}\n{LONG.strip()}"),
+        ("<article><p><a href=1>only a link</a></article>", "only a link"),
+    ],
+)
+def test_a_window_of_links_dives_in_an_article(page, want):
+    assert main_text(page) == want

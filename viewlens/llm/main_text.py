@@ -6,8 +6,10 @@ window of lines sliding down the page. Where the sum surges over a threshold, ma
 goes back to the first line after a blank window and ends where the sum dives to nothing. The
 threshold is never above the page's largest sum, so the largest part is found however short.
 
-Where a page marks its article, only lines of the article count, with no blanks between them.
-Elsewhere text inside links doesn't count, so that a list of links never surges.
+Text inside links doesn't count, so that a list of links never surges. Where a page marks its
+article, only lines of the article are searched, with no blanks for what was stripped. There a
+window dives at lines that are links; a link of fewer lines than a window stays where it stands
+between lines of main text, or before the article's first, as a heading does.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             in_links = len(" ".join(html.unescape("".join(links)).split()))
-            lines.append((text, len(text) if article else max(0, len(text) - 2 * in_links), article > 0))
+            lines.append((text, max(0, len(text) - 2 * in_links), article > 0))
         parts.clear()
         links.clear()
 
@@ -127,8 +129,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return lines, has_article
 
 
-def main_lines(lengths: np.ndarray) -> np.ndarray:
-    """Which lines lie between a surge and a dive."""
+def main_lines(lengths: np.ndarray, in_article: bool = False) -> np.ndarray:
+    """Which lines lie between a surge and a dive; lines of no length only in an article."""
     if not lengths.any():
         return np.zeros(len(lengths), bool)
     total = np.concatenate(([0], np.cumsum(lengths)))
@@ -139,15 +141,23 @@ def main_lines(lengths: np.ndarray) -> np.ndarray:
     highest = np.zeros(run[-1] + 1, np.int64)
     np.maximum.at(highest, run, block)
     surges = highest >= min(SURGE, block.max())
-    return surges[run] & (lengths > 0)
+    main = surges[run] & (lengths > 0)
+    if in_article:
+        before = np.maximum.accumulate(np.where(main, run, 0))
+        after = np.minimum.accumulate(np.where(main, run, run[-1] + 1)[::-1])[::-1]
+        main |= (after == run) & ((before == run) | (run == 1))
+    return main
 
 
 def main_text(page: str) -> str:
     lines, has_article = lines_of(page)
-    if has_article and any(inside and size for _, size, inside in lines):
-        lines = [line for line in lines if line[2] and line[1]]
+    in_article = has_article and any(inside and text for text, _, inside in lines)
+    if in_article:
+        lines = [line for line in lines if line[2] and line[0]]
     lengths = np.array([size for _, size, _ in lines], np.int64)
-    return "\n".join(text for (text, _, _), main in zip(lines, main_lines(lengths)) if main)
+    if in_article and not lengths.any():  # nothing but links
+        return "\n".join(text for text, _, _ in lines)
+    return "\n".join(text for (text, _, _), main in zip(lines, main_lines(lengths, in_article)) if main)
 
 
 def extract_batches(batches: Iterator[pa.RecordBatch], html_col: str) -> Iterator[pa.RecordBatch]:
