@@ -39,3 +39,15 @@ def test_empty_table_and_clashing_columns(spark):
     got = line_dedup.drop_boilerplate(df).collect()
     assert [r.asDict() for r in got] == [{"doc_id": 1, "source": "a", "text": "x", "host": "b", "n_lines": 1, "n_dropped": 0}]
     assert line_dedup.drop_boilerplate(df.limit(0)).collect() == []
+
+
+def test_a_page_of_boilerplate_alone_is_cut_where_the_caller_says_so(spark):
+    import corpus_pipeline
+
+    rows = [(k, "a", f"own {k}\nmenu\nfooter") for k in range(20)] + [(50, "a", "menu\n footer\t"), (51, "a", None), (52, "a", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    strict = {r["doc_id"]: tuple(r)[2:] for r in line_dedup.drop_boilerplate(df, keep_whole=False).collect()}
+    assert strict[50] == ("", 2, 2) and strict[0] == ("own 0", 3, 2)
+    assert strict[51] == (None, 0, 0) and strict[52] == ("", 1, 0)
+    staged = corpus_pipeline.without_boilerplate(spark, df.selectExpr("*", "length(text) AS n_chars"), "")
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in staged.collect()}[50] == ("", 0)

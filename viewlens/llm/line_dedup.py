@@ -49,12 +49,14 @@ def drop_boilerplate(
     text_col: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    keep_whole: bool = True,
 ) -> DataFrame:
     """``df`` with ``text_col`` less the boilerplate lines of the row's host, and with ``n_lines``
     and ``n_dropped`` (bigint; columns of these names are replaced).
 
     A null text stays null and has no lines; blank lines are kept. A text all of whose lines with
-    something on them are boilerplate stays whole: the share says nothing against it as a page.
+    something on them are boilerplate stays whole: the share says nothing against it as a page. Not so
+    with ``keep_whole`` false: then its lines go too, and what is left is empty or blank.
     A null host is a host of its own. Repeated rows count as one page and are all cut alike.
     """
     df = without(df, "n_lines", "n_dropped")
@@ -65,7 +67,7 @@ def drop_boilerplate(
     kept = F.filter(lines_of(text), lambda x: ~F.coalesce(F.array_contains("_keys", line_key(x)), F.lit(False)))
     rows = rows.withColumn("_kept", F.when(F.col("_keys").isNotNull(), kept))
     empty = ~F.exists("_kept", lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    cut = F.col("_kept").isNotNull() & ~empty
+    cut = F.col("_kept").isNotNull() & (~empty if keep_whole else F.lit(True))
     lines = F.coalesce(F.size(lines_of(text)), F.lit(0)).cast("bigint")
     lines = F.when(text.isNotNull(), lines).otherwise(0)
     dropped = F.when(cut, lines - F.size("_kept")).otherwise(0)
