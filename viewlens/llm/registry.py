@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlens.llm import bpe, decontaminate, hilbert, line_dedup, main_text, quality, secrets, simhash, token_counts, warc
+from viewlens.llm import bpe, decontaminate, hilbert, line_dedup, main_text, quality, secrets, simhash, token_counts, turn_repair, warc
 from viewlens.llm.oracle import ORACLE as ORACLE
 from viewlens.llm.tables import load
 from viewlens.session import new_run_dir
@@ -126,6 +126,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turn_repair.damage(load(spark, sf_dir, "conversations"))
+    return turn_repair.with_digest(rows, turn_repair.solve(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -137,4 +142,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
+    "op11_turn_repair": op11_turn_repair,
 }
