@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlens.llm import bpe, decontaminate, hilbert, line_dedup, main_text, quality, secrets, simhash, token_counts, turn_repair, warc
+from viewlens.llm import (
+    bpe,
+    chat_format,
+    decontaminate,
+    hilbert,
+    line_dedup,
+    main_text,
+    quality,
+    secrets,
+    simhash,
+    token_counts,
+    turn_repair,
+    warc,
+)
 from viewlens.llm.oracle import ORACLE as ORACLE
 from viewlens.llm.tables import load
 from viewlens.session import new_run_dir
@@ -131,6 +144,17 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.with_digest(rows, turn_repair.solve(rows))
 
 
+#: One more conversation, whose texts are made of control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)]
+    rows = rows.unionByName(spark.createDataFrame(more, rows.schema))
+    return chat_format.read_back(chat_format.segments(rows), in_order=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -143,4 +167,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
     "op11_turn_repair": op11_turn_repair,
+    "op12_chat_format": op12_chat_format,
 }
