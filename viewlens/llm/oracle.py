@@ -79,8 +79,78 @@ SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
 FROM (SELECT *, min(page_id) OVER (PARTITION BY payload) AS low FROM record)
 """
 
+#: Control strings by their pattern; each, and each escape sign, gets one more character. The state
+#: behind a turn is its role, or the start for one that the template doesn't know.
+CHAT_FORMAT = r"""
+WITH given AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k
+    FROM given
+), stated AS (
+    SELECT *, coalesce(lag(CASE WHEN role IN ('system', 'user', 'assistant') THEN role END)
+                       OVER (PARTITION BY conv_id ORDER BY k), 'start') || '>' || role
+              IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS legal,
+           length(text) + len(regexp_extract_all(text, '\\\\|</?s>|\[/?INST\]|<</?SYS>>|<</?ROLE>>|<<TEXT>>|<<SAY>>'))
+           + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 16 WHEN 'assistant' THEN 11
+             ELSE 25 + length(role) + len(regexp_extract_all(role, '\\\\|</?s>|\[/?INST\]|<</?SYS>>|<</?ROLE>>|<<TEXT>>|<<SAY>>')) END AS n
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars,
+       bool_and(legal) AND arg_max(role, k) = 'assistant' AS valid,
+       min(k) FILTER (WHERE NOT legal) AS first_illegal
+FROM stated GROUP BY conv_id
+"""
+
+#: Shares of every kept term in every source, then their differences.
+DIVERGENCE = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), word AS (
+    SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM doc) GROUP BY ALL
+), kept AS (
+    SELECT lang, term, sum(n) AS n FROM word GROUP BY ALL HAVING count(*) >= 30
+), vocabulary AS (
+    SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang
+), found AS (
+    SELECT lang, source, term, sum(n) AS n FROM word SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), origin AS (
+    SELECT lang, source, coalesce(t.n, 0) AS total, coalesce(v, 0) AS v, coalesce(o.n, 0) AS lang_total
+    FROM (SELECT DISTINCT lang, source FROM doc)
+    LEFT JOIN (SELECT lang, source, sum(n) AS n FROM found GROUP BY ALL) t USING (lang, source)
+    LEFT JOIN vocabulary o USING (lang)
+), share AS (
+    SELECT o.lang, o.source, k.term, coalesce(f.n, 0) AS n,
+           1 + (1000000000 * CAST(coalesce(f.n, 0) + 5 AS HUGEINT)) // (total + 5 * v) AS p,
+           1 + (1000000000 * CAST(k.n + 5 AS HUGEINT)) // (lang_total + 5 * v) AS q
+    FROM origin o JOIN kept k USING (lang) LEFT JOIN found f USING (lang, source, term)
+), both_parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+           CAST(coalesce((SELECT sum(abs(x.p - y.p)) FROM share x JOIN share y USING (lang, term)
+                          WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS BIGINT) AS value
+    FROM origin a JOIN origin b ON a.lang = b.lang AND a.source <> b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM share WHERE n > 0 AND p > q
+)
+SELECT * FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM both_parts
+) WHERE part = 'pair' OR rank <= 50
+"""
+
 ORACLE: dict[str, str] = {
     "op1_decontaminate": DECONTAMINATE,
     "op2_warc": WARC,
     "op4_line_dedup": LINE_DEDUP,
+    "op12_chat_format": CHAT_FORMAT,
+    "op13_divergence": DIVERGENCE,
 }

@@ -12,6 +12,7 @@ from viewlens.llm import (
     bpe,
     chat_format,
     decontaminate,
+    divergence,
     hilbert,
     line_dedup,
     main_text,
@@ -155,6 +156,10 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.segments(rows), in_order=True)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -168,4 +173,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_turn_repair": op11_turn_repair,
     "op12_chat_format": op12_chat_format,
+    "op13_divergence": op13_divergence,
 }
