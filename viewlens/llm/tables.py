@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Tables written and not yet removed.
-_tables: list[str] = []
+#: Where the ``settled`` call that is running in this thread keeps the paths that it wrote.
+_own: ContextVar[list[str] | None] = ContextVar("own", default=None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,18 +44,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_run_dir(spark, name)
     df.write.parquet(path)
-    _tables.append(path)
+    own = _own.get()
+    if own is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What ``make`` returns as a written table; the tables it wrote on the way are removed."""
-    before = set(_tables)
-    out = written(make(), name)
-    for path in _tables[:-1]:
-        if path not in before:
-            paths.delete(out.sparkSession, path)
-            _tables.remove(path)
+    """What ``make`` returns as a written table; the tables it wrote on the way are removed, and no
+    others, whatever else runs in this driver."""
+    outer, own = _own.get(), []
+    token = _own.set(own)
+    try:
+        out = written(make(), name)
+    finally:
+        _own.reset(token)
+    *gone, kept = own
+    for path in gone:
+        paths.delete(out.sparkSession, path)
+    if outer is not None:
+        outer.append(kept)
     return out
 
 
