@@ -234,9 +234,7 @@ FROM viewed GROUP BY day"""
     "daily_title_engagement": _viewed(_DAILY_TITLE_SELECT),
     "daily_engagement_documented": _DOCUMENTED,
     "stored_title_metrics_windowed": _TITLE_WINDOWED,
-    "stored_daily_title_engagement": _viewed(
-        _DAILY_TITLE_SELECT.replace("FROM viewed", "FROM viewed WHERE day BETWEEN '2024-01-08' AND '2024-01-14'")
-    ),
+    "stored_daily_title_engagement": _viewed(_DAILY_TITLE_SELECT),
     "stream_title_metrics": _titles(f"{_TITLE}, {_LATEST_ATTRIBUTES}, {_USERS} AS unique_viewers"),
     "stream_tumbling_day": _viewed(
         f"""SELECT "TITLE" AS title, {_TITLE}, {_MAX_ATTRIBUTES}, {_WINDOW_START} AS window_start

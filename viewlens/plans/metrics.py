@@ -96,8 +96,9 @@ def _watched_users() -> list[Column]:
 
 
 def _checked_users() -> list[Column]:
-    """Exact users, and whether the estimate of them is within four standard deviations."""
-    bound = 4 * A.APPROX_RSD * C.users()
+    """Exact users, and whether the estimate of them is within four standard deviations, or within
+    one user where those are less: two users of a few may share a register."""
+    bound = F.greatest(F.lit(1.0), 4 * A.APPROX_RSD * C.users())
     return [
         C.users().alias("total_unique_users"),
         (F.abs(A.approx_users() - C.users()) <= bound).alias("within_bound"),

@@ -170,13 +170,13 @@ def _tumbling_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _stored(metric: Callable[[DataFrame], DataFrame], first_day: str | None = None, last_day: str | None = None) -> Query:
-    """Over the activity table at rest, written by day, or a range of its days."""
+def _stored(metric: Callable[[DataFrame], DataFrame]) -> Query:
+    """Over the activity table at rest, written by day."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = new_run_dir(spark, "activity")
         write_activity_table(E.load_timed_activity(spark, sf_dir), path)
-        return metric(read_activity_table(spark, path, first_day, last_day))
+        return metric(read_activity_table(spark, path))
 
     return query
 
@@ -316,9 +316,7 @@ QUERIES: dict[str, Query] = {
     "daily_engagement_documented": _batch(lambda a: M.unstamped(M.daily_engagement_documented(a))),
     # over the stored activity table
     "stored_title_metrics_windowed": _stored(M.title_metrics_windowed),
-    "stored_daily_title_engagement": _stored(
-        lambda a: M.unstamped(M.daily_title_engagement(a)), "2024-01-08", "2024-01-14"
-    ),
+    "stored_daily_title_engagement": _stored(lambda a: M.unstamped(M.daily_title_engagement(a))),
     # the same on streams of several micro-batches
     "stream_title_metrics": _stream_users(M.title_metrics_with_viewers),
     "stream_tumbling_day": lambda spark, sf_dir: _replay(
