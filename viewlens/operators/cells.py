@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from viewlens.functions import aggregates as A
 from viewlens.functions.scalar import view_date
@@ -55,6 +56,18 @@ class Cells:
         cells = viewed.groupBy(*self.key).agg(*kept)
         return cells.withColumn(BUCKET, F.col(f"{BUCKET}.start")) if self.bucket and expire else cells
 
+    def from_state(self, state: DataFrame, schema: StructType) -> DataFrame:
+        """The cells from ``key`` and ``value`` in a query's state; ``schema`` is that of :meth:`of`.
+
+        Every value has one column there, in the order in which it is computed.
+        """
+        values = StructType([f for f in schema if f.name not in self.key])
+        key = state.schema["key"].dataType.fieldNames()
+        named = [F.col("key").getField(k).alias(n) for k, n in zip(key, self.key)]
+        if self.bucket and isinstance(state.schema["key"].dataType[0].dataType, StructType):
+            named[0] = F.col("key").getField(key[0]).getField("start").alias(BUCKET)
+        return state.select(*named, F.col("value").cast(values.simpleString()).alias("value")).select(*self.key, "value.*")
+
 
 def views() -> Column:
     return F.sum("views")

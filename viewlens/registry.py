@@ -22,7 +22,7 @@ from viewlens.session import new_run_dir
 from viewlens.sources import events as E
 from viewlens.sources import messages
 from viewlens.sources.files import read_activity_table, write_activity_table
-from viewlens.streaming import continuous, upsert
+from viewlens.streaming import continuous, savepoints, state_feed, upsert
 from viewlens.streaming.settings import GRACE, OUT_OF_ORDERNESS, with_watermark
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,6 +264,39 @@ def _stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(kept.alias("kept"), (F.sum("viewed") - kept).alias("dropped"))
 
 
+def _stream_from_savepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two parts; a savepoint that lies a part with its rows behind; the third part on the first
+    root; then the restored query, which reads the second part again, and the third."""
+    start = _start(M.title_metrics_windowed, RESULTS["title_metrics_windowed"].key, GRACE)
+    root = new_run_dir(spark, "savepoint")
+    landed = f"{root}/events"
+    stream = lambda: E.stream_timed_activity(spark, landed)
+    parts = E.in_order(E.read_events(spark, sf_dir), PARTS)
+    for number, part in enumerate(parts):
+        part.write.mode("append").parquet(landed)
+        table = start(stream(), f"{root}/table", f"{root.rsplit('/', 1)[-1]}").wait()
+        if number == 1:
+            # each part makes a batch of its rows and one that moves the watermark
+            savepoints.save(table, f"{root}/saved", continuous.committed(spark, table.root)[-3])
+    savepoints.restore(spark, f"{root}/saved", f"{root}/restored")
+    return start(stream(), f"{root}/restored", f"{root.rsplit('/', 1)[-1]}-restored").wait().read()
+
+
+def _state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result rebuilt from the state's changes, followed after each part."""
+    metric, feed = M.daily_title_engagement, new_run_dir(spark, "feed")
+    schema = metric.cells.of(E.load_timed_activity(spark, sf_dir)).schema
+
+    def start(stream: DataFrame, root: str, name: str) -> continuous.ContinuousTable:
+        table = continuous.maintain_cells(metric, stream, root, name, replay=True).wait()
+        state_feed.follow(spark, root, feed)
+        return table
+
+    _replay(spark, sf_dir, start)
+    state = state_feed.folded(state_feed.read_feed(spark, feed))
+    return M.unstamped(metric.finish(metric.cells.from_state(state, schema)))
+
+
 QUERIES: dict[str, Query] = {
     # sources, messages, sinks
     "activity_record": lambda spark, sf_dir: record.activity_record(E.raw_rows(E.read_events(spark, sf_dir))),
@@ -338,5 +371,7 @@ QUERIES: dict[str, Query] = {
         _stream_users(M.daily_engagement_documented, GRACE)(spark, sf_dir)
     ),
     "stream_json_changelog": _stream_json,
+    "stream_from_savepoint": _stream_from_savepoint,
+    "state_changes": _state_changes,
     "stream_late_rows": _stream_late_rows,
 }

@@ -82,9 +82,24 @@ def maintain_cells(
     return maintain(metric.cells.of(activity, expire), metric.cells.key, root, name, **options)
 
 
-def read_state(spark: SparkSession, root: str, operator_id: int = 0) -> DataFrame:
-    """Keys and values in the state of a query's newest committed batch."""
-    return spark.read.format("statestore").option("operatorId", operator_id).load(upsert.checkpoint_path(root))
+def committed(spark: SparkSession, root: str) -> list[int]:
+    """The batches that the query has committed and still has the progress of."""
+    names = [p.rsplit("/", 1)[1] for p in paths.matching(spark, f"{upsert.checkpoint_path(root)}/commits/*")]
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def read_state(
+    spark: SparkSession, root: str, operator_id: int = 0, batch: int | None = None, store: str | None = None
+) -> DataFrame:
+    """Keys and values in a query's state as of a committed batch, the newest if none is named.
+
+    Reading is on the checkpoint's files, so it does not disturb the query, and a read that names
+    its batch is not disturbed by batches that follow, as long as that batch is retained.
+    """
+    reader = spark.read.format("statestore").option("operatorId", operator_id)
+    reader = reader if batch is None else reader.option("batchId", batch)
+    reader = reader if store is None else reader.option("storeName", store)
+    return reader.load(upsert.checkpoint_path(root))
 
 
 def read_state_metadata(spark: SparkSession, root: str) -> DataFrame:

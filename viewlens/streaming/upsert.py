@@ -99,19 +99,27 @@ def latest_per_key(changes: DataFrame, key: tuple[str, ...], order: str = BATCH)
     return newest.select(*key, "newest.*").select(*[c for c in changes.columns if c != order])
 
 
-def _changes_since_snapshot(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+def _changes_since_snapshot(spark: SparkSession, root: str, schema: StructType, upto: int | None = None) -> DataFrame:
     snapshots = _complete(spark, snapshots_path(root))
-    if not snapshots:
+    newest = max((n for n in snapshots if upto is None or n <= upto), default=None)
+    if newest is None:
         return read_changelog(spark, root, schema)
-    newest = max(snapshots)
     snapshot = spark.read.schema(schema).parquet(snapshots[newest]).withColumn(BATCH, F.lit(newest).cast("bigint"))
     return snapshot.unionByName(read_changelog(spark, root, schema, after=newest))
 
 
-def read_table(spark: SparkSession, root: str, schema: StructType, key: tuple[str, ...]) -> DataFrame:
+def read_table(
+    spark: SparkSession, root: str, schema: StructType, key: tuple[str, ...], upto: int | None = None
+) -> DataFrame:
     """The current table: the newest snapshot with every later change applied. Before the first
-    batch it has no rows."""
-    return latest_per_key(_changes_since_snapshot(spark, root, schema), key)
+    batch it has no rows. ``upto`` reads it as of a batch, as long as that one's changes are kept."""
+    changes = _changes_since_snapshot(spark, root, schema, upto)
+    return latest_per_key(changes if upto is None else changes.filter(F.col(BATCH) <= upto), key)
+
+
+def start_from(spark: SparkSession, root: str, table: DataFrame, batch: int) -> None:
+    """Begin a table with what another one held as of a batch."""
+    table.write.mode("overwrite").parquet(f"{snapshots_path(root)}/{BATCH}={batch}")
 
 
 def compact(spark: SparkSession, root: str, schema: StructType, key: tuple[str, ...]) -> int | None:
