@@ -1,0 +1,154 @@
+"""Upsert tables in buckets: runs, merges, and what a batch writes."""
+
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
+from builders import record, rows
+from test_plans import plan
+from test_streams import Replay, three_days
+
+from viewlens.plans import metrics as M
+from viewlens.session import new_run_dir
+from viewlens.streaming import buckets, paths, savepoints
+
+SCHEMA = "k string, part int, v bigint"
+
+
+@pytest.fixture
+def table(spark):
+    schema = spark.createDataFrame([], SCHEMA).schema
+    return buckets.BucketedTable(spark, new_run_dir(spark, "buckets"), schema, ("k", "part"), 4)
+
+
+def batch(spark, n, keys=40):
+    """Every third key changes, and a null one; a batch without rows now and then."""
+    if n % 5 == 3:
+        return spark.createDataFrame([], SCHEMA)
+    names = [None, *(f"k{i}" for i in range(keys) if i % 3 == n % 3)]
+    return spark.createDataFrame([(k, n % 2, n) for k in names], SCHEMA)
+
+
+def newest(batches):
+    found = {}
+    for b in batches:
+        found.update({(r["k"], r["part"]): r["v"] for r in b.collect()})
+    return sorted(((*k, v) for k, v in found.items()), key=str)
+
+
+def test_runs_that_count():
+    runs = [(0, 0), (0, 3), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+    assert buckets.live_runs(runs) == [(0, 3), (4, 4), (5, 5)]
+    assert buckets.live_runs(runs, upto=2) == [(0, 0), (1, 1), (2, 2)]
+    assert buckets.live_runs([]) == []
+
+
+def test_newest_rows_through_batches_and_merges(spark, table):
+    batches, merged = [], []
+    for n in range(14):
+        batches.append(batch(spark, n))
+        table.write_run(batches[-1], (n, n))
+        merged += table.merge(fan=3)
+        if n in (0, 4, 8, 13):
+            assert rows(table.read()) == newest(batches)
+    assert merged == [(0, 2), (3, 5), (6, 8), (0, 8), (9, 11)]
+    assert buckets.live_runs(buckets.complete_runs(spark, table.root)) == [(0, 8), (9, 11), (12, 12), (13, 13)]
+
+
+def test_reading_moves_no_row(spark, table):
+    for n in range(3):
+        table.write_run(batch(spark, n), (n, n))
+    text = plan(table.read())
+    assert "Bucketed: true" in text and "Exchange" not in text
+    grouped = table.read().groupBy("k", "part").count()
+    assert "Exchange" not in plan(grouped)
+
+
+def test_a_read_lists_only_runs_that_count(spark, table):
+    for n in range(4):
+        table.write_run(batch(spark, n), (n, n))
+    table.merge(fan=4)
+
+    files = {f.split("run=")[1].split("/")[0] for f in table.read().inputFiles()}
+    assert files == {"0-3"}
+    # what was replaced stays for reads that began before, until the next merge
+    assert paths.exists(spark, f"{table.root}/buckets/run=0-0")
+    table.merge(fan=4)
+    assert not paths.exists(spark, f"{table.root}/buckets/run=0-0")
+    assert buckets.complete_runs(spark, table.root) == [(0, 3)]
+
+
+def test_a_repeated_batch_replaces_its_run_and_half_a_run_does_not_count(spark, table):
+    table.write_run(batch(spark, 0), (0, 0))
+    table.write_run(batch(spark, 1), (1, 1))
+    want = newest([batch(spark, 0), batch(spark, 1)])
+    table.write_run(batch(spark, 1), (1, 1))
+    assert rows(table.read()) == want
+    table.write_run(batch(spark, 2), (2, 2))
+    paths.delete(spark, f"{table.root}/runs/2-2")
+    assert rows(table.read()) == want
+
+
+def test_a_batch_writes_what_changed_and_no_more(spark, table):
+    big = spark.range(200_000).selectExpr("CAST(id AS STRING) AS k", "0 AS part", "id AS v")
+    size = lambda run: sum(n for f, n in paths.files(spark, f"{table.root}/buckets/run={run}").items() if f.endswith(".parquet"))
+    table.write_run(batch(spark, 1), (0, 0))
+    table.write_run(big, (1, 1))
+    table.write_run(batch(spark, 1), (2, 2))
+    assert size("2-2") == size("0-0") < size("1-1") / 50
+    table.merge(fan=3)
+    table.write_run(batch(spark, 1), (3, 3))
+    assert size("3-3") == size("0-0")
+
+
+def test_a_table_without_runs_has_no_rows(spark, table):
+    assert table.read().collect() == [] and table.merge() == []
+
+
+def test_as_of_a_batch(spark, table):
+    batches = [batch(spark, n) for n in range(4)]
+    for n, b in enumerate(batches):
+        table.write_run(b, (n, n))
+    assert rows(table.read(upto=1)) == newest(batches[:2])
+    table.merge(fan=4)
+    assert rows(table.read(upto=1)) == newest(batches[:2])
+    table.merge(fan=4)
+    with pytest.raises(ValueError, match="merged"):
+        table.read(upto=1)
+
+
+def test_stream_and_savepoint_in_buckets(spark):
+    replay = three_days(Replay(spark))
+    metric = M.daily_title_engagement
+    table = replay.cells(metric, buckets=3)
+    assert rows(M.unstamped(metric.finish(table.read()))) == rows(M.unstamped(metric(replay.batch())))
+    saved = savepoints.save(table, f"{replay.root}/saved", 1)
+    savepoints.restore(spark, saved.path, f"{replay.root}/again", like=table)
+    replay.add(record(time="2024-01-04 10:00:00"))
+    again = replay.run(metric.cells.of, metric.cells.key, table="again", buckets=3)
+    assert buckets.complete_runs(spark, again.root) == [(0, 1), (2, 2)]
+    assert rows(M.unstamped(metric.finish(again.read()))) == rows(M.unstamped(metric(replay.batch())))
+    with pytest.raises(ValueError, match="changelog"):
+        table.subscribe()
+
+
+def test_merges_beside_writes(spark, table):
+    """Batches are written while others are merged, in two threads."""
+    batches = [batch(spark, n) for n in range(12)]
+    done = threading.Event()
+    merged = []
+
+    def merge():
+        while not done.is_set():
+            merged.extend(table.merge(fan=2))
+
+    with ThreadPoolExecutor(1) as thread:
+        merging = thread.submit(merge)
+        try:
+            for n, b in enumerate(batches):
+                table.write_run(b, (n, n))
+        finally:
+            done.set()
+        merging.result()
+    assert len(merged) > 1
+    assert rows(table.read()) == newest(batches)

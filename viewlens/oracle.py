@@ -249,6 +249,7 @@ FROM viewed GROUP BY day, "TITLE\""""
     "stream_title_metrics_max": _TITLE_MAX,
     "stream_from_savepoint": _TITLE_WINDOWED,
     "state_changes": _viewed(_DAILY_TITLE_SELECT),
+    "upsert_bucketed": _viewed(_DAILY_TITLE_SELECT),
     "stream_json_changelog": f"""SELECT CAST(to_json({{'title': title}}) AS VARCHAR) AS key,
        CAST(to_json({{'title': title, 'total_views': total_views, 'avg_duration': avg_duration,
                       'total_duration': total_duration, 'genres': genres, 'release_date': release_date}}) AS VARCHAR) AS value

@@ -264,6 +264,18 @@ def _stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(kept.alias("kept"), (F.sum("viewed") - kept).alias("dropped"))
 
 
+def _upsert_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells kept by key in buckets, merged after each part, from which the result is finished."""
+    metric = M.daily_title_engagement
+
+    def start(stream: DataFrame, root: str, name: str) -> continuous.ContinuousTable:
+        table = continuous.maintain_cells(metric, stream, root, name, replay=True, buckets=RESULT_FILES).wait()
+        table.bucketed.merge(fan=2)
+        return table
+
+    return M.unstamped(metric.finish(_replay(spark, sf_dir, start).read()))
+
+
 def _stream_from_savepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two parts; a savepoint that lies a part with its rows behind; the third part on the first
     root; then the restored query, which reads the second part again, and the third."""
@@ -309,6 +321,7 @@ QUERIES: dict[str, Query] = {
     "param_query": _param_query,
     "upsert_latest": _stream(lambda a: M.title_metrics_max(a, stamp=False), "title_metrics_max"),
     "upsert_latest_rows": _upsert_rows,
+    "upsert_bucketed": _upsert_bucketed,
     "changelog_read": _changelog_read,
     # rows and scalars
     "event_time": _event_time,

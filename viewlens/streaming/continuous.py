@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from viewlens.operators.cells import UserMetric
 from viewlens.streaming import paths, upsert
+from viewlens.streaming.buckets import BucketedTable
 from viewlens.streaming.settings import active_query, start
 
 #: Where the queries started here keep their tables, by the query's id.
@@ -25,11 +26,30 @@ class ContinuousTable:
     schema: StructType
     key: tuple[str, ...]
     query: StreamingQuery
-
-    def read(self) -> DataFrame:
-        return upsert.read_table(self.spark, self.root, self.schema, self.key)
+    #: For a table in buckets, how many.
+    buckets: int | None = None
+
+    @property
+    def bucketed(self) -> BucketedTable:
+        return BucketedTable(self.spark, self.root, self.schema, self.key, self.buckets)
+
+    def read(self, upto: int | None = None) -> DataFrame:
+        """The current table, or as of a batch whose changes are kept."""
+        if self.buckets:
+            return self.bucketed.read(upto)
+        return upsert.read_table(self.spark, self.root, self.schema, self.key, upto)
+
+    def start_from(self, root: str, rows: DataFrame, batch: int) -> None:
+        """Begin a table of the same layout under another root."""
+        if self.buckets:
+            BucketedTable(self.spark, root, self.schema, self.key, self.buckets).start_from(rows, batch)
+        else:
+            upsert.start_from(self.spark, root, rows, batch)
 
     def subscribe(self) -> DataFrame:
+        """The table's changes as a stream. A table in buckets keeps none once its runs are merged."""
+        if self.buckets:
+            raise ValueError("a table in buckets has no changelog")
         return upsert.subscribe(self.spark, self.root, self.schema)
 
     def wait(self) -> ContinuousTable:
@@ -48,6 +68,7 @@ def maintain(
     files: int | None = None,
     state_partitions: int | None = None,
     snapshot_every: int = upsert.SNAPSHOT_EVERY,
+    buckets: int | None = None,
 ) -> ContinuousTable:
     """Start keeping ``result`` as an upsert table, unless a query of that name is running.
 
@@ -55,20 +76,27 @@ def maintain(
     otherwise a micro-batch starts every trigger interval. Starting again on the same root
     resumes from the stored progress and state. A running query of that name that keeps another
     root is an error.
+
+    With ``buckets`` the table is kept by key in so many of them, see :mod:`.buckets`: a batch then
+    writes its changes only, and ``table.bucketed.merge()`` is to be called now and then.
     """
     spark = result.sparkSession
     running = active_query(spark, name)
     if running is not None and _roots.get(running.id) != root:
         raise ValueError(f"query {name} keeps its table at {_roots.get(running.id)}, not at {root}")
-    paths.create(spark, upsert.changelog_path(root))
+    if buckets:
+        write = BucketedTable(spark, root, result.schema, key, buckets).writer()
+    else:
+        paths.create(spark, upsert.changelog_path(root))
+        write = upsert.changelog_writer(root, key, files, snapshot_every)
     writer = (
         result.writeStream.outputMode(output_mode)
-        .foreachBatch(upsert.changelog_writer(root, key, files, snapshot_every))
+        .foreachBatch(write)
         .option("checkpointLocation", upsert.checkpoint_path(root))
     )
     query = start(writer, spark, name, replay, state_partitions)
     _roots[query.id] = root
-    return ContinuousTable(spark, root, result.schema, key, query)
+    return ContinuousTable(spark, root, result.schema, key, query, buckets)
 
 
 def maintain_cells(

@@ -101,7 +101,7 @@ def save(table: continuous.ContinuousTable, path: str, batch: int | None = None)
     chosen += _state_files([f for f in files if f.startswith("state/") and not f.endswith(".crc")], batch + 1)
     source = _hashed(spark, checkpoint, chosen)
     paths.copy(spark, [(f"{checkpoint}/{f}", f"{path}/checkpoint/{f}") for f in chosen])
-    as_of = upsert.read_table(spark, table.root, table.schema, table.key, upto=batch)
+    as_of = table.read(upto=batch)
     as_of.write.parquet(f"{path}/table")
     written = [f for f in paths.files(spark, f"{path}/table") if f.endswith(".parquet")]
     manifest = source.withColumn("file", F.concat(F.lit("checkpoint/"), "file"))
@@ -130,16 +130,21 @@ def opened(spark: SparkSession, path: str) -> Savepoint:
     return Savepoint(path, manifest.first()["batch"])
 
 
-def restore(spark: SparkSession, path: str, root: str) -> Savepoint:
+def restore(spark: SparkSession, path: str, root: str, like: continuous.ContinuousTable | None = None) -> Savepoint:
     """Lay a savepoint out under a new root, for a query of the same plan to be started there.
 
     The query gets an id of its own, so the one that was saved may go on. Everything is checked
-    first; nothing is written where the savepoint is damaged or the root is in use.
+    first; nothing is written where the savepoint is damaged or the root is in use. The table is laid
+    out as that of ``like``, by default with a changelog.
     """
     if paths.exists(spark, upsert.checkpoint_path(root)):
         raise SavepointError(f"{root} has a checkpoint already")
     saved = opened(spark, path)
     files = [f for f in paths.files(spark, f"{path}/checkpoint") if not f.endswith(".crc")]
-    upsert.start_from(spark, root, spark.read.parquet(f"{path}/table"), saved.batch)
+    rows = spark.read.parquet(f"{path}/table")
+    if like is None:
+        upsert.start_from(spark, root, rows, saved.batch)
+    else:
+        like.start_from(root, rows, saved.batch)
     paths.copy(spark, [(f"{path}/checkpoint/{f}", f"{upsert.checkpoint_path(root)}/{f}") for f in files])
     return saved
