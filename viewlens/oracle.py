@@ -246,6 +246,7 @@ FROM viewed GROUP BY day, "TITLE\""""
     "stream_hourly_engagement": _HOURLY,
     "stream_daily_title_engagement": _viewed(_DAILY_TITLE_SELECT),
     "stream_daily_engagement_documented": _DOCUMENTED,
+    "stream_daily_documented_changes": _DOCUMENTED,
     "stream_title_metrics_max": _TITLE_MAX,
     "stream_from_savepoint": _TITLE_WINDOWED,
     "state_changes": _viewed(_DAILY_TITLE_SELECT),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from viewlens.functions import aggregates as A
 from viewlens.functions.scalar import format_time, processing_time
 from viewlens.operators import cells as C
-from viewlens.operators.popular import daily_favourites
+from viewlens.operators import facets as FC
 from viewlens.operators.record import keep_viewed
 from viewlens.schema import EVENT_TIME, RESULTS
 
@@ -251,24 +251,21 @@ daily_title_engagement = C.UserMetric(
 
 
 def _finish_daily_documented(cells: DataFrame, stamp: bool = True) -> DataFrame:
-    timed = cells.withColumn("view_date", C.day()).withColumn("hour", F.hour(C.BUCKET))
-    users = timed.groupBy("view_date").agg(C.users(finer=True).alias("total_unique_users"))
-    viewing = timed.groupBy("view_date", "hour", "TITLE", "GENRES").agg(
-        C.views().alias("views"), C.watch_time().alias("watch_time")
-    )
-    days = (
-        daily_favourites(viewing)
-        .withColumn("avg_watch_time", F.col("total_watch_time").cast("double") / F.col("total_views"))
-        .join(users, "view_date")
+    days = cells.groupBy(C.day().alias("view_date")).agg(
+        FC.users().alias("total_unique_users"),
+        FC.total("views").alias("total_views"),
+        FC.total("watch_time").alias("total_watch_time"),
+        FC.winner(FC.TITLE).alias("most_watched_title"),
+        FC.winner(FC.GENRE).alias("most_watched_genre"),
+        FC.peak_hour().alias("peak_hour"),
     )
+    days = days.withColumn("avg_watch_time", F.col("total_watch_time").cast("double") / F.col("total_views"))
     return RESULTS["daily_engagement_documented"].conform(_stamped(days, stamp))
 
 
 #: Per date: exact users, most watched title and genre, peak hour; stamped with processing time.
-#: Users and views come from the same cells, so on a stream from the same position of the log.
-daily_engagement_documented = C.UserMetric(
-    C.Cells(columns=("TITLE", "GENRES"), bucket="1 hour"), _finish_daily_documented
-)
+#: All come from the same facets, so on a stream from the same position of the log.
+daily_engagement_documented = C.UserMetric(FC.Facets(), _finish_daily_documented)
 
 
 def unstamped(result: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from viewlens.session import new_run_dir
 from viewlens.sources import events as E
 from viewlens.sources import messages
 from viewlens.sources.files import read_activity_table, write_activity_table
-from viewlens.streaming import continuous, savepoints, state_feed, upsert
+from viewlens.streaming import continuous, day_changes, savepoints, state_feed, upsert
 from viewlens.streaming.settings import GRACE, OUT_OF_ORDERNESS, with_watermark
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,6 +264,24 @@ def _stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(kept.alias("kept"), (F.sum("viewed") - kept).alias("dropped"))
 
 
+def _daily_documented_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets kept by one query, and after each part a second one that passes on the days whose
+    result has changed; the newest row of each day."""
+    metric, key = M.daily_engagement_documented, RESULTS["daily_engagement_documented"].key
+    root = new_run_dir(spark, "days")
+    days: list[continuous.ContinuousTable] = []
+
+    def start(stream: DataFrame, facets: str, name: str) -> continuous.ContinuousTable:
+        stream = with_watermark(stream, GRACE)
+        table = continuous.maintain_cells(metric, stream, facets, name, expire=True, replay=True).wait()
+        changes = day_changes.daily_documented_changes(table.subscribe())
+        days.append(continuous.maintain(changes, key, root, f"{name}-days", replay=True, output_mode="append").wait())
+        return table
+
+    _replay(spark, sf_dir, start)
+    return days[-1].read()
+
+
 def _upsert_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells kept by key in buckets, merged after each part, from which the result is finished."""
     metric = M.daily_title_engagement
@@ -383,6 +401,7 @@ QUERIES: dict[str, Query] = {
     "stream_daily_engagement_documented": lambda spark, sf_dir: M.unstamped(
         _stream_users(M.daily_engagement_documented, GRACE)(spark, sf_dir)
     ),
+    "stream_daily_documented_changes": _daily_documented_changes,
     "stream_json_changelog": _stream_json,
     "stream_from_savepoint": _stream_from_savepoint,
     "state_changes": _state_changes,
