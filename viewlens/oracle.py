@@ -122,6 +122,11 @@ _DAILY_WINDOWED = _viewed(
 FROM viewed GROUP BY day"""
 )
 
+_MERGEABLE = _viewed(
+    f"""SELECT day AS view_date, {_USERS} AS total_unique_users, {_DAY}, TRUE AS same_from_rows, TRUE AS within_bound
+FROM viewed GROUP BY day"""
+)
+
 _HOURLY = _viewed(
     f"""SELECT day_text AS view_date, {_USERS} AS total_unique_users, {_DAY}, {_LATEST_WATCHED},
        hour_text AS hour_of_day
@@ -210,6 +215,8 @@ FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN event_type
     "agg_approx_distinct_bound": _viewed(
         f"SELECT day AS view_date, {_USERS} AS exact_users, TRUE AS within_bound FROM viewed GROUP BY day"
     ),
+    "agg_approx_distinct_mergeable": _MERGEABLE,
+    "stream_daily_users_mergeable": _MERGEABLE,
     "agg_rowtime": _titles(f"{_ROW_TIME} AS update_time"),
     "agg_most_watched": _viewed(
         """SELECT d.day AS view_date, t.value AS most_watched_title, g.value AS most_watched_genre

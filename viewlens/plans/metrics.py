@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewlens.functions import aggregates as A
+from viewlens.functions import sketches as K
 from viewlens.functions.scalar import format_time, processing_time
 from viewlens.operators import cells as C
 from viewlens.operators import facets as FC
@@ -268,6 +269,36 @@ def _finish_daily_documented(cells: DataFrame, stamp: bool = True) -> DataFrame:
 daily_engagement_documented = C.UserMetric(FC.Facets(), _finish_daily_documented)
 
 
+def hourly_sketches(activity: DataFrame, expire: bool = False) -> DataFrame:
+    """Per hour: views, watch time and a sketch of the users, from one pass; batch or stream. With
+    ``expire`` a watermarked stream drops closed hours from its state."""
+    start = F.window(EVENT_TIME, "1 hour") if expire else F.date_trunc("HOUR", EVENT_TIME)
+    hours = (
+        keep_viewed(activity)
+        .groupBy(start.alias(C.BUCKET))
+        .agg(A.view_count().alias("views"), A.total_duration().alias("watch_time"), K.user_sketch().alias("users"))
+    )
+    return hours.withColumn(C.BUCKET, F.col(f"{C.BUCKET}.start")) if expire else hours
+
+
+def days_of_sketches(hours: DataFrame) -> DataFrame:
+    """Per date, merged from hours: estimated users, views, total and average watch time."""
+    days = hours.groupBy(C.day().alias("view_date")).agg(
+        K.estimate(K.merged("users")).alias("estimated_users"),
+        C.views().alias("total_views"),
+        C.watch_time().alias("total_watch_time"),
+    )
+    return days.withColumn("avg_watch_time", F.col("total_watch_time").cast("double") / F.col("total_views"))
+
+
+def users_of_days(activity: DataFrame) -> DataFrame:
+    """Per date: exact users, and their estimate from a sketch of the day's rows."""
+    cells = C.Cells(bucket="1 day").of(activity)
+    return cells.groupBy(C.day().alias("view_date")).agg(
+        C.users().alias("total_unique_users"), K.estimate(K.user_sketch()).alias("estimate_of_rows")
+    )
+
+
 def unstamped(result: DataFrame) -> DataFrame:
     """Without processing time, to compare results."""
     return result.drop("update_time")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from viewlens.functions import aggregates as A
 from viewlens.functions import scalar as S
+from viewlens.functions import sketches as K
 from viewlens.operators import record
 from viewlens.operators.cells import UserMetric
 from viewlens.plans import metrics as M
@@ -161,6 +162,30 @@ def _approx_distinct_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.withColumnRenamed("total_unique_users", "exact_users")
 
 
+def _checked_sketches(spark: SparkSession, sf_dir: str, hours: DataFrame) -> DataFrame:
+    """Days merged from hours, beside exact users and sketches of whole days."""
+    days = M.days_of_sketches(hours).join(M.users_of_days(E.load_timed_activity(spark, sf_dir)), "view_date")
+    return days.select(
+        "view_date",
+        "total_unique_users",
+        "total_views",
+        "total_watch_time",
+        "avg_watch_time",
+        (F.col("estimated_users") == F.col("estimate_of_rows")).alias("same_from_rows"),
+        K.within_bound(F.col("estimated_users"), F.col("total_unique_users")).alias("within_bound"),
+    )
+
+
+def _daily_users_mergeable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked_sketches(spark, sf_dir, M.hourly_sketches(E.load_timed_activity(spark, sf_dir)))
+
+
+def _stream_daily_users_mergeable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches kept by hour on a stream whose closed hours leave the state, merged to days on read."""
+    hours = _replay(spark, sf_dir, _start(lambda a: M.hourly_sketches(a, expire=True), ("bucket",), GRACE)).read()
+    return _checked_sketches(spark, sf_dir, hours)
+
+
 def _tumbling_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = _viewed(spark, sf_dir).groupBy(M.day_window().alias("day")).agg(A.view_count().alias("total_views"))
     return grouped.select(
@@ -360,6 +385,7 @@ QUERIES: dict[str, Query] = {
     "agg_count_distinct": _by_title(lambda: [F.count_distinct("USER_ID").alias("unique_viewers")]),
     "agg_approx_distinct": _batch(M.daily_users_checked),
     "agg_approx_distinct_bound": _approx_distinct_bound,
+    "agg_approx_distinct_mergeable": _daily_users_mergeable,
     "agg_rowtime": lambda spark, sf_dir: _text_time(
         _by_title(lambda: [A.row_time().alias("update_time")])(spark, sf_dir), "update_time"
     ),
@@ -394,6 +420,7 @@ QUERIES: dict[str, Query] = {
     "stream_daily_engagement_rowtime": lambda spark, sf_dir: _text_time(
         _stream_users(M.daily_engagement_rowtime, GRACE)(spark, sf_dir), "update_time"
     ),
+    "stream_daily_users_mergeable": _stream_daily_users_mergeable,
     "stream_hourly_engagement": _stream_users(M.hourly_engagement_exact, GRACE),
     "stream_daily_title_engagement": lambda spark, sf_dir: M.unstamped(
         _stream_users(M.daily_title_engagement, OUT_OF_ORDERNESS)(spark, sf_dir)
