@@ -7,11 +7,14 @@ from builders import activity, record, rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from viewlens.functions import avro
+from viewlens.functions.partitions import murmur2, partition_of
 from viewlens.functions.scalar import SPACE_FORMAT, T_FORMAT, epoch_roundtrip, parse_event_time
 from viewlens.operators.record import activity_record, with_event_time
 from viewlens.plans import metrics as M
-from viewlens.schema import ACTIVITY_COLUMNS, RESULTS, avro_schema
+from viewlens.schema import ACTIVITY_COLUMNS, RESULTS, avro_schema, columns
 from viewlens.session import new_run_dir
 from viewlens.sources import files, messages
 
@@ -121,14 +124,122 @@ def test_result_messages(spark):
         messages.encode_result(df, ("view_date", "title"), key_format="plain")
 
 
-def test_avro_schema_and_frame(spark):
+def test_avro_schema():
     schema = json.loads(avro_schema())
     assert [f["name"] for f in schema["fields"]] == ACTIVITY_COLUMNS
     assert all(f["type"][0] == "null" and f["default"] is None for f in schema["fields"])
-    framed = messages.frame_avro(F.encode(F.lit("payload"), "utf-8"), 258)
-    (row,) = spark.range(1).select(framed.alias("f"), messages.unframe_avro(framed).alias("p")).collect()
+
+
+FIELDS = columns("a string, n int, b string")
+
+
+def avro_bytes(*values):
+    """A record by the format's own words, in plain Python."""
+
+    def number(n):
+        z, out = (n << 1) ^ (n >> 63), bytearray()
+        while z > 127:
+            out.append(z & 127 | 128)
+            z >>= 7
+        return bytes([*out, z])
+
+    def field(v):
+        if v is None:
+            return b"\x00"
+        return b"\x02" + (number(v) if isinstance(v, int) else number(len(v.encode())) + v.encode())
+
+    return b"".join(map(field, values))
+
+
+RECORDS = [
+    ("hé", 5, None),
+    (None, None, None),
+    ("", 0, ""),
+    ("x" * 63, 63, "y" * 64),
+    ("z" * 9000, -1, "😀"),
+    ("\x00", 64, "q"),
+    ("w" * 70_000, 2**31 - 1, "q"),
+    (None, -(2**31), None),
+    (None, -65, "\n"),
+]
+
+
+def test_avro_bytes_and_back(spark):
+    assert avro_bytes("hé", 5, None) == bytes.fromhex("020668c3a9020a00")
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(RECORDS)], StructType([*columns("i int").fields, *FIELDS]))
+    coded = df.withColumn("payload", avro.encode(FIELDS))
+    assert {r.i: bytes(r.payload) for r in coded.collect()} == {i: avro_bytes(*r) for i, r in enumerate(RECORDS)}
+    read = avro.with_record(coded.select("i", "payload"), F.col("payload"), FIELDS, "record")
+    assert read.columns == ["i", "payload", "record"]
+    assert {r.i: tuple(r.record) for r in read.collect()} == dict(enumerate(RECORDS))
+    assert read.filter("record.n < 0").count() == 3
+
+
+def test_avro_bytes_that_are_no_record(spark):
+    whole = avro_bytes("hé" * 40, -70000, "end")
+    bad = [None, b"", whole + b"\x00", b"\x04" + whole, b"\x02\x01" + whole, b"\x02\x04\xff\xfe\x00\x00"]
+    bad += [b"\x00\x02\x80\x80\x80\x80\x80\x01\x00", b"\x00\x02\xff\xff\xff\xff\x7f\x00", b"\x02\xfe\xff\xff\xff\x0fab"]
+    bad += [whole[:k] for k in range(len(whole))]
+    df = spark.createDataFrame([(None if b is None else bytearray(b),) for b in [whole, *bad]], "payload binary")
+    read = avro.with_record(df, F.col("payload"), FIELDS, "record").collect()
+    assert [bytes(r.payload) for r in read if r.record is not None] == [whole]
+
+
+def test_registry_header(spark):
+    coded = avro.framed(F.encode(F.lit("payload"), "utf-8"), 258)
+    other = avro.unframed(coded, 259)
+    (row,) = spark.range(1).select(coded.alias("f"), avro.unframed(coded, 258).alias("p"), avro.unframed(coded).alias("q"), other.alias("o")).collect()
     assert bytes(row.f) == b"\x00\x00\x00\x01\x02payload"
-    assert bytes(row.p) == b"payload"
+    assert bytes(row.p) == bytes(row.q) == b"payload" and row.o is None
+    (row,) = spark.range(1).select(avro.unframed(F.unhex(F.lit("0100000007AA"))).alias("a"), avro.unframed(F.unhex(F.lit("0000"))).alias("b")).collect()
+    assert row.a is None and row.b is None
+
+
+def test_avro_messages_as_a_stream(spark):
+    path = new_run_dir(spark, "messages")
+    df = activity(spark, [record(user=f"u{i}", genres=None if i % 2 else "g") for i in range(5)])
+    headers = (F.lit(0).alias("partition"), F.col("arrival").alias("offset"), F.current_timestamp().alias("timestamp"))
+    messages.write_messages(messages.encode_activity(df, "avro", 7, headers), path)
+    out = f"{path}-out"
+    stream = messages.decode_activity(messages.read_messages(spark, path, streaming=True, binary=True), "avro", framed=True)
+    stream.writeStream.option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start(out).awaitTermination()
+    assert rows(spark.read.parquet(out).select(*ACTIVITY_COLUMNS)) == rows(df.select(*ACTIVITY_COLUMNS))
+
+
+# What producers' own tests expect of the hash, as signed numbers.
+HASHES = {
+    "21": -973932308,
+    "foobar": -790332482,
+    "a-little-bit-long-string": -985981536,
+    "a-little-bit-longer-string": -1486304829,
+    "lkjh234lh9fiuh90y23oiuhsafujhadof229phr9h19h89h8": -58897971,
+    "abc": 479470107,
+}
+
+
+def test_partition_of_a_key(spark):
+    df = spark.createDataFrame([(k,) for k in [*HASHES, "", None]], "key string")
+    got = {r.key: (r.h, r.p) for r in df.select("key", murmur2(F.col("key")).alias("h"), partition_of(F.col("key"), 6).alias("p")).collect()}
+    for key, signed in HASHES.items():
+        assert got[key] == (signed % 2**32, (signed % 2**31) % 6)
+    assert got[""][0] == 275646681 and got[None] == (None, 0)
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.9])
+def test_a_log_numbers_each_partition_without_gaps(spark, hot):
+    """Also with most messages in one partition, which several tasks then number."""
+    rows_ = spark.range(3000).selectExpr(f"CASE WHEN id % 100 < {hot * 100} THEN 'hot' ELSE CAST(id AS STRING) END AS key", "id * 7919 % 3001 AS at")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        log = messages.keyed_log(rows_, 3, ("at",), new_run_dir(spark, "log"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert log.groupBy("key").agg(F.count_distinct("partition").alias("n")).filter("n > 1").count() == 0
+    found = {}
+    for r in log.orderBy("partition", "at").collect():
+        found.setdefault(r.partition, []).append(r.offset)
+    assert set(found) == {0, 1, 2} and all(v == list(range(len(v))) for v in found.values())
 
 
 def test_unknown_formats_are_refused(spark):

@@ -17,7 +17,7 @@ activity AS (
         CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'genre_' || (event_id % 6) END AS "GENRES",
         strftime(DATE '2000-01-01' + CAST(event_id % 365 AS INTEGER), '%Y-%m-%d') AS "RELEASE_DATE",
         json_extract_string(props, '$.k') AS "MOVIE_ID",
-        (event_id * 7919) % 1000003 AS arrival,
+        event_id - event_id % 1024 + event_id % 1024 * 7919 % 1024 AS arrival,
         event_id
     FROM events
 )"""
@@ -144,20 +144,50 @@ FROM viewed GROUP BY day, "TITLE\""""
 
 _TITLE_MAX = _titles(f"{_TITLE}, {_MAX_ATTRIBUTES}")
 
+#: The key's Murmur2 hash, byte by byte from its hexadecimal form, and offsets in order of arrival.
+_M = "1540483477) % 4294967296"
+LOGGED = f""",
+logged AS (
+    SELECT * EXCLUDE (d, n, w, h), CAST((xor(h, h >> 15) & 2147483647) % 6 AS INTEGER) AS "partition"
+    FROM (SELECT * REPLACE (((xor(h, h >> 13) * {_M}) AS h) FROM (
+        SELECT * REPLACE (CASE WHEN n % 4 > 0 THEN (xor(h, CAST(list_sum(list_transform(range(n % 4),
+            lambda i: CAST('0x' || substr(d, 2 * (n - n % 4 + i) + 1, 2) AS BIGINT) << (8 * i))) AS BIGINT)) * {_M} ELSE h END AS h)
+        FROM (SELECT *, list_reduce(list_transform(w, lambda k: (xor(k, k >> 24) * {_M}), lambda h, k: xor((h * {_M}, k),
+                                    xor(2538058380, n)) AS h
+        FROM (SELECT *, list_transform(range(n // 4), lambda j: (CAST('0x' || substr(d, 8 * j + 7, 2) || substr(d, 8 * j + 5, 2)
+                   || substr(d, 8 * j + 3, 2) || substr(d, 8 * j + 1, 2) AS BIGINT) * {_M}) AS w
+        FROM (SELECT *, hex(encode("USER_ID")) AS d, octet_length(encode("USER_ID")) AS n FROM activity)))))
+), log AS (
+    SELECT *, row_number() OVER (PARTITION BY "partition" ORDER BY arrival) - 1 AS "offset" FROM logged
+)"""
+
+
+def _log(select: str) -> str:
+    return f"WITH {ACTIVITY}{LOGGED}\n{select}"
+
+
+def _avro_text(column: str) -> str:
+    return f"""'02' || printf('%02X', 2 * octet_length(encode("{column}"))) || hex(encode("{column}"))"""
+
+
 ORACLE: dict[str, str] = {
     "activity_record": _activity(
         f"""SELECT * REPLACE ('view' AS "ACTIVITY_TYPE") FROM (SELECT {_RECORD} FROM activity)"""
     ),
-    "activity_source": _activity(
-        f'SELECT {_RECORD}, CAST(event_id % 6 AS INTEGER) AS "partition", event_id AS "offset" FROM activity'
+    "activity_source": _log(f'SELECT {_RECORD}, "partition", "offset" FROM log'),
+    "avro_messages": _log(f'SELECT {_RECORD}, "partition", "offset" FROM log'),
+    "keyed_log": _log('SELECT event_id, "USER_ID" AS key, "partition", "offset" FROM log'),
+    # the header, then for each field its branch and its length doubled, as both are below 64
+    "avro_dead_letters": _log(
+        f"""SELECT "USER_ID" AS key, left('0000000007' || {" || ".join(map(_avro_text, ("USER_ID", "TIMESTAMP", "ACTIVITY_TYPE", "TITLE_ID")))}, 40) AS value,
+       "partition", "offset" FROM log WHERE "offset" % 13 = 0"""
     ),
     "keyed_messages": _activity(f'SELECT "USER_ID" AS key, CAST({_JSON_RECORD} AS VARCHAR) AS value FROM activity'),
     "log_replay": _TITLE_MAX,
     "latest_by_log_position": _titles(_LATEST_ATTRIBUTES),
-    "dead_letters": _activity(
-        f"""SELECT "USER_ID" AS key, left(CAST({_JSON_RECORD} AS VARCHAR), 20) AS value,
-       CAST(event_id % 6 AS INTEGER) AS "partition", event_id AS "offset"
-FROM activity WHERE event_id % 13 = 0"""
+    "dead_letters": _log(
+        f"""SELECT "USER_ID" AS key, left(CAST({_JSON_RECORD} AS VARCHAR), 20) AS value, "partition", "offset"
+FROM log WHERE "offset" % 13 = 0"""
     ),
     "metrics_json": _viewed(
         """SELECT CAST(to_json({'view_date': strftime(view_date, '%Y-%m-%d'), 'title': title}) AS VARCHAR) AS key,

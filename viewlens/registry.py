@@ -52,21 +52,40 @@ def _by_title(aggregates: Callable[[], list[Column]]) -> Query:
 # --- rows and messages --------------------------------------------------------------------
 
 
-def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Activity as messages of six partitions, whose broker times give the order of arrival."""
+#: Partitions of the log, and the number of the record's schema in the values' header.
+LOG_PARTITIONS, SCHEMA_ID = 6, 7
+
+
+def _logged(spark: SparkSession, sf_dir: str, value_format: str = "json") -> DataFrame:
+    """Activity as messages of a log: a partition for each key, and offsets in order of arrival."""
     activity = E.activity(E.read_events(spark, sf_dir), "event_id")
-    headers = {
-        "partition": F.pmod("event_id", F.lit(6)).cast("int"),
-        "offset": F.col("event_id"),
-        "timestamp": F.timestamp_micros(F.col(POSITION)),
-    }
-    return messages.encode_activity(activity, headers=tuple(c.alias(name) for name, c in headers.items()))
+    headers = (F.timestamp_micros(F.col(POSITION)).alias("timestamp"), F.col("event_id"))
+    sent = messages.encode_activity(activity, value_format, SCHEMA_ID if value_format == "avro" else None, headers)
+    return messages.keyed_log(sent, LOG_PARTITIONS, ("timestamp",), new_run_dir(spark, "log"))
+
 
+def _keyed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _logged(spark, sf_dir).select("event_id", "key", "partition", "offset")
 
-def _stored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _stored_messages(spark: SparkSession, sf_dir: str, value_format: str = "json") -> DataFrame:
     path = new_run_dir(spark, "messages")
-    messages.write_messages(_logged(spark, sf_dir), path)
-    return messages.read_messages(spark, path)
+    messages.write_messages(_logged(spark, sf_dir, value_format), path)
+    return messages.read_messages(spark, path, binary=value_format == "avro")
+
+
+def _avro_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activity through framed Avro values and back."""
+    decoded = messages.decode_activity(_stored_messages(spark, sf_dir, "avro"), "avro", framed=True)
+    return decoded.select(*ACTIVITY_COLUMNS, "partition", "offset")
+
+
+def _avro_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every thirteenth Avro value is cut short; those come back as they were."""
+    cut = F.expr("CASE WHEN offset % 13 = 0 THEN substring(value, 1, 20) ELSE value END")
+    stored = _stored_messages(spark, sf_dir, "avro").withColumn("value", cut)
+    dead = messages.undecodable(stored, "avro", framed=True)
+    return dead.select("key", F.hex("value").alias("value"), "partition", "offset")
 
 
 def _activity_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,6 +379,9 @@ QUERIES: dict[str, Query] = {
     "log_replay": _log_replay,
     "latest_by_log_position": _latest_by_log_position,
     "dead_letters": _dead_letters,
+    "keyed_log": _keyed_log,
+    "avro_messages": _avro_messages,
+    "avro_dead_letters": _avro_dead_letters,
     "metrics_json": _metrics_json,
     "param_query": _param_query,
     "upsert_latest": _stream(lambda a: M.title_metrics_max(a, stamp=False), "title_metrics_max"),

@@ -70,7 +70,8 @@ def raw_rows(events: DataFrame) -> DataFrame:
 
 
 def activity(events: DataFrame, *keep: str) -> DataFrame:
-    """Events as activity records with a log position that differs from event order.
+    """Events as activity records with a log position that differs from event order: each 1024 ids
+    arrive mixed, and no two at the same position.
 
     ``keep`` names event columns to carry along.
     """
@@ -86,7 +87,7 @@ def activity(events: DataFrame, *keep: str) -> DataFrame:
         f"{_GENRES} AS GENRES",
         f"{_RELEASE_DATE} AS RELEASE_DATE",
         f"{_TITLE_NUMBER} AS MOVIE_ID",
-        f"event_id * 7919 % 1000003 AS {POSITION}",
+        f"event_id - event_id % 1024 + event_id % 1024 * 7919 % 1024 AS {POSITION}",
         *keep,
     )
 

@@ -2,44 +2,36 @@
 
 A message has ``key`` and ``value``; read back from a log it also has ``partition``,
 ``offset`` and ``timestamp``. The Kafka functions are thin adapters over that contract.
-They need the Kafka package on the class path, and the Avro value format needs the Avro
-package; neither is bundled with PySpark, so in this repository both have not been run.
-The same contract over Parquet files (``write_messages``/``read_messages``) is what the tests run.
+They need the Kafka package on the class path, which is not bundled with PySpark, so in this
+repository they have not been run. The same contract over Parquet files
+(``write_messages``/``read_messages``), with JSON or Avro values, is what the tests run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from viewlens.schema import ACTIVITY_COLUMNS, ACTIVITY_SCHEMA, POSITION, avro_schema, columns
+from viewlens.functions import avro
+from viewlens.functions.partitions import partition_of
+from viewlens.schema import ACTIVITY_COLUMNS, ACTIVITY_SCHEMA, POSITION, columns
 from viewlens.streaming import settings
 
 MESSAGE_SCHEMA = columns("key STRING, value STRING, partition INT, offset BIGINT, timestamp TIMESTAMP")
+#: The same with values in binary form.
+BINARY_SCHEMA = StructType(
+    [StructField("value", BinaryType()) if f.name == "value" else f for f in MESSAGE_SCHEMA]
+)
 
 _BROKEN = "_broken"
 
-# A registry-framed Avro value starts with one zero byte and a four-byte schema id.
-FRAME_BYTES = 5
-
-
 def _json(columns: list[str]) -> Column:
     """JSON object keeping null fields, which ``to_json`` would silently leave out."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def frame_avro(payload: Column, schema_id: int) -> Column:
-    """Put the registry header before an Avro payload."""
-    return F.concat(F.unhex(F.lit(f"00{schema_id:08x}")), payload)
-
-
-def unframe_avro(value: Column) -> Column:
-    """Strip the registry header."""
-    return F.substring(value, FRAME_BYTES + 1, 2147483647)
-
-
 def encode_activity(
     activity: DataFrame,
     value_format: str = "json",
@@ -51,10 +43,8 @@ def encode_activity(
     if value_format == "json":
         value = _json(ACTIVITY_COLUMNS)
     elif value_format == "avro":
-        from pyspark.sql.avro.functions import to_avro
-
-        value = to_avro(F.struct(*ACTIVITY_COLUMNS), avro_schema())
-        value = value if schema_id is None else frame_avro(value, schema_id)
+        value = avro.encode(ACTIVITY_SCHEMA)
+        value = value if schema_id is None else avro.framed(value, schema_id)
     else:
         raise ValueError(f"unknown value format: {value_format}")
     return activity.select(F.col("USER_ID").alias("key"), value.alias("value"), *headers)
@@ -75,10 +65,8 @@ def _decoded(messages: DataFrame, value_format: str, framed: bool) -> DataFrame:
         fields = F.struct(*(F.col(f"parsed.{c}").alias(c) for c in ACTIVITY_COLUMNS))
         return messages.withColumn("record", F.when(F.col(f"parsed.{_BROKEN}").isNull() & F.col("parsed").isNotNull(), fields))
     if value_format == "avro":
-        from pyspark.sql.avro.functions import from_avro
-
-        payload = unframe_avro(F.col("value")) if framed else F.col("value")
-        return messages.withColumn("record", from_avro(payload, avro_schema(), {"mode": "PERMISSIVE"}))
+        payload = avro.unframed(F.col("value")) if framed else F.col("value")
+        return avro.with_record(messages, payload, ACTIVITY_SCHEMA, "record")
     raise ValueError(f"unknown value format: {value_format}")
 
 
@@ -114,14 +102,37 @@ def encode_result(result: DataFrame, key: tuple[str, ...], key_format: str = "js
 
 
 def write_messages(messages: DataFrame, path: str) -> None:
-    """Append messages with their log headers to a folder."""
-    messages.select(*(F.col(f.name).cast(f.dataType) for f in MESSAGE_SCHEMA)).write.mode("append").parquet(path)
+    """Append messages with their log headers to a folder; binary values stay binary."""
+    schema = BINARY_SCHEMA if isinstance(messages.schema["value"].dataType, BinaryType) else MESSAGE_SCHEMA
+    messages.select(*(F.col(f.name).cast(f.dataType) for f in schema)).write.mode("append").parquet(path)
 
 
-def read_messages(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+def read_messages(spark: SparkSession, path: str, streaming: bool = False, binary: bool = False) -> DataFrame:
     """All messages of a folder, and as a stream those to come."""
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(MESSAGE_SCHEMA).parquet(path)
+    return reader.schema(BINARY_SCHEMA if binary else MESSAGE_SCHEMA).parquet(path)
+
+
+def keyed_log(messages: DataFrame, partitions: int, order: tuple[str, ...], path: str) -> DataFrame:
+    """``messages`` with ``partition`` and ``offset``, as a log of so many partitions numbers them.
+
+    A key's messages are all in the partition that its hash names, and a partition's offsets are 0
+    to n - 1 in the order of ``order``, messages that tie there in any. Sorted ranges of partition and
+    order are written to ``path`` once, each row with its place in its task; a range knows how many
+    rows of a partition the ranges before it hold from their counts alone. So a partition with most
+    of the messages is spread over many tasks and no task numbers a whole one.
+    """
+    spark, place = messages.sparkSession, "_place"
+    by = ("partition", *order)
+    ranged = messages.withColumn("partition", partition_of(F.col("key"), partitions)).repartitionByRange(*by)
+    ranged.sortWithinPartitions(*by).withColumn(place, F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_task", F.shiftright(place, 33))
+    counts = rows.groupBy("partition", "_task").agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
+    before = Window.partitionBy("partition").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    numbered = rows.join(starts, ["partition", "_task"])
+    offset = F.col("_before") + F.col(place) - F.col("_first")
+    return numbered.withColumn("offset", offset).drop(place, "_task", "_before", "_first")
 
 
 # --- the log in Kafka (not run here) ------------------------------------------------------
