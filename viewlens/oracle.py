@@ -292,6 +292,18 @@ FROM viewed GROUP BY day, "TITLE\""""
        CAST(to_json({{'title': title, 'total_views': total_views, 'avg_duration': avg_duration,
                       'total_duration': total_duration, 'genres': genres, 'release_date': release_date}}) AS VARCHAR) AS value
 FROM ({_TITLE_MAX})""",
+    "stream_late_row_table": _viewed(
+        """SELECT event_id, "USER_ID", "TITLE", "DURATION", strftime(event_timestamp, '%Y-%m-%d %H:%M:%S') AS event_timestamp
+FROM (SELECT *, max(event_timestamp) FILTER (WHERE event_id % 50 <> 7) OVER () - INTERVAL 1 DAY AS mark FROM timed_days)
+WHERE event_id % 50 = 7 AND day + 1 <= mark""",
+        """,
+timed_days AS (SELECT * FROM viewed)""",
+    ),
+    "query_status": _viewed(
+        """SELECT 'titles' AS query, 'stopped' AS status, CAST(3 AS BIGINT) AS batches, (SELECT count(*) FROM events) AS input_rows,
+       count(DISTINCT "TITLE") AS state_rows, CAST(NULL AS BOOLEAN) AS broken FROM viewed
+UNION ALL SELECT 'failing', 'failed', 0, 0, 0, TRUE"""
+    ),
     # a late row is kept if its day ends after the watermark, a day behind the newest time in order
     "stream_late_rows": _viewed(
         """SELECT CAST(count(*) FILTER (WHERE NOT late OR day + 1 > mark) AS BIGINT) AS kept,

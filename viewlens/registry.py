@@ -23,7 +23,7 @@ from viewlens.session import new_run_dir
 from viewlens.sources import events as E
 from viewlens.sources import messages
 from viewlens.sources.files import read_activity_table, write_activity_table
-from viewlens.streaming import continuous, day_changes, savepoints, state_feed, upsert
+from viewlens.streaming import continuous, day_changes, late, pipeline, savepoints, state_feed, status, upsert
 from viewlens.streaming.settings import GRACE, OUT_OF_ORDERNESS, with_watermark
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,13 +236,13 @@ RESULT_FILES = 6
 Start = Callable[[DataFrame, str, str], continuous.ContinuousTable]
 
 
-def _replay(spark: SparkSession, sf_dir: str, start: Start, late: Column | None = None) -> continuous.ContinuousTable:
-    """The whole table as a stream of several micro-batches, in event-time order but for what is
-    late. ``start`` gets the stream, the table's root and the query's name."""
+def _replay(spark: SparkSession, sf_dir: str, start: Start, behind: Column | None = None) -> continuous.ContinuousTable:
+    """The whole table as a stream of several micro-batches, in event-time order but for what comes
+    behind. ``start`` gets the stream, the table's root and the query's name."""
     root = new_run_dir(spark, "stream")
     landed = f"{root}/events"
     table = None
-    for part in E.in_order(E.read_events(spark, sf_dir), PARTS, late):
+    for part in E.in_order(E.read_events(spark, sf_dir), PARTS, behind):
         part.write.mode("append").parquet(landed)
         table = start(E.stream_timed_activity(spark, landed), f"{root}/table", root.rsplit("/", 1)[-1]).wait()
     return table
@@ -299,15 +299,60 @@ def _stream_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows kept and rows dropped behind the watermark, when every fiftieth event lands last."""
-    late = F.col("event_id") % 50 == 7
     key = ("title", "window_start")
-    table = _replay(spark, sf_dir, _start(M.title_days_max, key, GRACE), late)
+    table = _replay(spark, sf_dir, _start(M.title_days_max, key, GRACE), F.col("event_id") % 50 == 7)
     viewed = _viewed(spark, sf_dir).select(F.lit(0).alias("kept"), F.lit(1).alias("viewed"))
     both = table.read().select(F.col("total_views").alias("kept"), F.lit(0).alias("viewed")).unionByName(viewed)
     kept = F.sum("kept")
     return both.agg(kept.alias("kept"), (F.sum("viewed") - kept).alias("dropped"))
 
 
+def _stream_late_row_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the query of ``stream_late_rows`` left out."""
+    read = lambda session, files: record.with_event_time(
+        E.activity(session.read.schema(E.EVENTS_SCHEMA).parquet(*files), "event_id")
+    )
+    schema = read(spark, [E.events_path(sf_dir)]).schema
+
+    def start(stream: DataFrame, root: str, name: str) -> continuous.ContinuousTable:
+        days = M.title_days_max(with_watermark(stream, GRACE))
+        wrap = lambda write: late.with_late_rows(write, root, read)
+        return continuous.maintain(days, ("title", "window_start"), root, name, replay=True, wrap=wrap)
+
+    table = _replay(spark, sf_dir, start, F.col("event_id") % 50 == 7)
+    rows = _text_time(late.read_late(spark, table.root, schema), EVENT_TIME)
+    return rows.select("event_id", "USER_ID", "TITLE", "DURATION", EVENT_TIME)
+
+
+def _query_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query over the whole stream and one that fails on its first row, as the status table tells."""
+    with status.StatusTable(spark, new_run_dir(spark, "status")) as table:
+        runs = []
+
+        def start(stream: DataFrame, root: str, name: str) -> continuous.ContinuousTable:
+            titles = continuous.maintain(
+                M.title_metrics_max(stream, stamp=False), ("title",), root, f"titles-{name}", replay=True
+            ).wait()
+            broken = M.title_metrics_max(stream, stamp=False).withColumn("genres", F.raise_error(F.lit("broken")).cast("string"))
+            failing = continuous.maintain(broken, ("title",), f"{root}-failing", f"failing-{name}", replay=True)
+            steps = pipeline.run_steps([("failing", failing.wait)])
+            runs.extend([titles.query.runId, failing.query.runId])
+            assert not steps[0].ok
+            return titles
+
+        _replay(spark, sf_dir, start)
+        table.wait_for(*runs)
+        told = status.summary(table.read().filter(F.col("run_id").isin(list(map(str, runs)))))
+        return told.select(
+            F.substring_index("query", "-", 1).alias("query"),
+            "status",
+            "batches",
+            "input_rows",
+            "state_rows",
+            F.col("error").contains("broken").alias("broken"),
+        )
+
+
 def _daily_documented_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facets kept by one query, and after each part a second one that passes on the days whose
     result has changed; the newest row of each day."""
@@ -455,4 +500,6 @@ QUERIES: dict[str, Query] = {
     "stream_from_savepoint": _stream_from_savepoint,
     "state_changes": _state_changes,
     "stream_late_rows": _stream_late_rows,
+    "stream_late_row_table": _stream_late_row_table,
+    "query_status": _query_status,
 }

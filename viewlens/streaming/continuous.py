@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,9 @@ from viewlens.streaming import paths, upsert
 from viewlens.streaming.buckets import BucketedTable
 from viewlens.streaming.settings import active_query, start
 
+#: Writes a micro-batch, given its number.
+Writer = Callable[[DataFrame, int], None]
+
 #: Where the queries started here keep their tables, by the query's id.
 _roots: dict[str, str] = {}
 
@@ -69,6 +73,7 @@ def maintain(
     state_partitions: int | None = None,
     snapshot_every: int = upsert.SNAPSHOT_EVERY,
     buckets: int | None = None,
+    wrap: Callable[[Writer], Writer] | None = None,
 ) -> ContinuousTable:
     """Start keeping ``result`` as an upsert table, unless a query of that name is running.
 
@@ -78,7 +83,8 @@ def maintain(
     root is an error.
 
     With ``buckets`` the table is kept by key in so many of them, see :mod:`.buckets`: a batch then
-    writes its changes only, and ``table.bucketed.merge()`` is to be called now and then.
+    writes its changes only, and ``table.bucketed.merge()`` is to be called now and then. ``wrap``
+    adds to what is written with each batch, such as :func:`.late.with_late_rows`.
     """
     spark = result.sparkSession
     running = active_query(spark, name)
@@ -91,7 +97,7 @@ def maintain(
         write = upsert.changelog_writer(root, key, files, snapshot_every)
     writer = (
         result.writeStream.outputMode(output_mode)
-        .foreachBatch(write)
+        .foreachBatch(wrap(write) if wrap else write)
         .option("checkpointLocation", upsert.checkpoint_path(root))
     )
     query = start(writer, spark, name, replay, state_partitions)
