@@ -242,3 +242,5 @@ def test_query_file_equals_the_same_metric(spark):
     records = [record(user=f"u{i % 3}", time=f"2024-01-01 {i % 5:02d}:00:00", title=f"t{i % 2}") for i in range(30)]
     got = run_query_file(spark, "hourly_engagement", activity(spark, records), time_format="yyyy-MM-dd HH:mm:ss")
     assert rows(got) == rows(M.hourly_engagement(timed(spark, *records)))
+    exact = run_query_file(spark, "hourly_engagement_exact", activity(spark, records), time_format="yyyy-MM-dd HH:mm:ss")
+    assert rows(exact) == rows(M.hourly_engagement_exact(timed(spark, *records)))

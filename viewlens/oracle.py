@@ -201,6 +201,7 @@ results AS ({_DAILY_TITLE_SELECT})""",
     "param_query": _viewed(
         f'SELECT "TITLE" AS title, {_TITLE}, {_LATEST_ATTRIBUTES} FROM viewed WHERE "DURATION" >= 1 GROUP BY "TITLE"'
     ),
+    "param_query_hourly": _HOURLY,
     "upsert_latest": _TITLE_MAX,
     "upsert_latest_rows": _activity(
         """SELECT "USER_ID", "TITLE", "DURATION", "GENRES" FROM (

@@ -151,6 +151,10 @@ def _param_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _param_query_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_query_file(spark, "hourly_engagement_exact", E.load_activity(spark, sf_dir), time_format=S.SPACE_FORMAT)
+
+
 def _metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = M.unstamped(M.daily_title_engagement(E.load_timed_activity(spark, sf_dir)))
     return messages.encode_result(result, RESULTS["daily_title_engagement"].key)
@@ -429,6 +433,7 @@ QUERIES: dict[str, Query] = {
     "avro_dead_letters": _avro_dead_letters,
     "metrics_json": _metrics_json,
     "param_query": _param_query,
+    "param_query_hourly": _param_query_hourly,
     "upsert_latest": _stream(lambda a: M.title_metrics_max(a, stamp=False), "title_metrics_max"),
     "upsert_latest_rows": _upsert_rows,
     "upsert_bucketed": _upsert_bucketed,
