@@ -253,11 +253,15 @@ def _replay(spark: SparkSession, sf_dir: str, start: Start, behind: Column | Non
 
 
 def _start(
-    metric: Callable[[DataFrame], DataFrame], key: tuple[str, ...], watermark: str | None = None, files: int | None = None
+    metric: Callable[[DataFrame], DataFrame],
+    key: tuple[str, ...],
+    watermark: str | None = None,
+    files: int | None = None,
+    snapshot_every: int = upsert.SNAPSHOT_EVERY,
 ) -> Start:
     def start(stream: DataFrame, root: str, name: str) -> continuous.ContinuousTable:
         stream = with_watermark(stream, watermark) if watermark else stream
-        return continuous.maintain(metric(stream), key, root, name, replay=True, files=files, snapshot_every=2)
+        return continuous.maintain(metric(stream), key, root, name, replay=True, files=files, snapshot_every=snapshot_every)
 
     return start
 
@@ -434,7 +438,9 @@ QUERIES: dict[str, Query] = {
     "metrics_json": _metrics_json,
     "param_query": _param_query,
     "param_query_hourly": _param_query_hourly,
-    "upsert_latest": _stream(lambda a: M.title_metrics_max(a, stamp=False), "title_metrics_max"),
+    "upsert_latest": lambda spark, sf_dir: _replay(
+        spark, sf_dir, _start(lambda a: M.title_metrics_max(a, stamp=False), ("title",), snapshot_every=2)
+    ).read(),
     "upsert_latest_rows": _upsert_rows,
     "upsert_bucketed": _upsert_bucketed,
     "changelog_read": _changelog_read,
