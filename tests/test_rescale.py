@@ -1,0 +1,52 @@
+"""A query moved to another number of state partitions."""
+
+import pytest
+from builders import SCHEMA, record, rows
+from test_streams import Replay, three_days
+
+from viewlens.operators.record import with_event_time
+from viewlens.plans import metrics as M
+from viewlens.streaming import continuous, rescale, savepoints
+
+METRICS = [
+    M.daily_engagement_rowtime,
+    M.daily_title_engagement,
+    M.title_metrics_with_viewers,
+    M.hourly_engagement_exact,
+]
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_merged_units_are_cells(spark, metric):
+    batch = three_days(Replay(spark)).batch()
+    cells = metric.cells
+    merged = cells.merged(cells.units(batch))
+    assert merged.columns == cells.of(batch).columns
+    assert rows(merged) == rows(cells.of(batch))
+    assert rows(cells.merged(cells.of(batch.limit(30)).union(cells.of(batch.exceptAll(batch.limit(30)))))) == rows(merged)
+
+
+@pytest.mark.parametrize(("before", "after"), [(2, 5), (5, 2)])
+def test_a_moved_query_ends_equal_to_the_batch(spark, before, after):
+    metric = M.daily_engagement_rowtime
+    replay = three_days(Replay(spark))
+    table = replay.cells(metric, state_partitions=before)
+    saved = savepoints.save(table, f"{replay.root}/saved", 1).path
+    root, name = f"{replay.root}/moved", f"{replay.root}-moved"
+    read = lambda path: replay.stream() if path == "live" else _empty(spark, path)
+    rescale.move(spark, saved, metric, read, root, name, after)
+    again = lambda: rescale.resume(spark, metric, read("live"), root, name, after, replay=True).wait()
+    moved = again()
+    # the third day only: the saved batches are not read again
+    assert sum(p["sources"][0]["numInputRows"] for p in moved.query.recentProgress) == 20
+    assert rows(metric.finish(moved.read())) == rows(metric(replay.batch()))
+    replay.add(record(user="u9", time="2024-01-02 10:00:00", arrival=999))
+    assert rows(metric.finish(again().read())) == rows(metric(replay.batch()))
+    (operator,) = continuous.read_state_metadata(spark, root).collect()
+    assert operator["numPartitions"] == after
+    with pytest.raises(savepoints.SavepointError, match="already"):
+        rescale.move(spark, saved, metric, read, root, name, after)
+
+
+def _empty(spark, path):
+    return with_event_time(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path))

@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 from viewlens.functions import aggregates as A
 from viewlens.functions.scalar import view_date
 from viewlens.operators.record import keep_viewed
-from viewlens.schema import EVENT_TIME
+from viewlens.schema import EVENT_TIME, POSITION
 
 USER, BUCKET = "USER_ID", "bucket"
 
@@ -56,6 +56,26 @@ class Cells:
         cells = viewed.groupBy(*self.key).agg(*kept)
         return cells.withColumn(BUCKET, F.col(f"{BUCKET}.start")) if self.bucket and expire else cells
 
+    def units(self, activity: DataFrame) -> DataFrame:
+        """A cell for each row, of the schema of :meth:`of` without expiry."""
+        viewed = keep_viewed(activity)
+        if self.bucket:
+            viewed = viewed.withColumn(BUCKET, F.date_trunc({"1 day": "DAY", "1 hour": "HOUR"}[self.bucket], EVENT_TIME))
+        newest = lambda c: F.when(
+            F.col(c).isNotNull(), F.struct(F.col(POSITION).alias("position"), F.col(c).alias("value"))
+        )
+        kept = [F.lit(1).cast("bigint").alias("views"), F.col("DURATION").cast("bigint").alias("watch_time")]
+        kept += [newest(c).alias(f"newest_{c}") for c in self.newest]
+        kept += [F.col(c).alias(f"largest_{c}") for c in self.largest]
+        kept += [F.col(EVENT_TIME).alias("row_time")] if self.row_time else []
+        return viewed.select(*self.key, *kept)
+
+    def merged(self, cells: DataFrame) -> DataFrame:
+        """Cells of equal keys, as from :meth:`units` or kept before, made one."""
+        values = [c for c in cells.columns if c not in self.key]
+        sums = ("views", "watch_time")
+        return cells.groupBy(*self.key).agg(*((F.sum if c in sums else F.max)(c).alias(c) for c in values))
+
     def from_state(self, state: DataFrame, schema: StructType) -> DataFrame:
         """The cells from ``key`` and ``value`` in a query's state; ``schema`` is that of :meth:`of`.
 

@@ -287,6 +287,7 @@ FROM viewed GROUP BY day, "TITLE\""""
     "stream_daily_documented_changes": _DOCUMENTED,
     "stream_title_metrics_max": _TITLE_MAX,
     "stream_from_savepoint": _TITLE_WINDOWED,
+    "stream_rescaled": _DAILY_ROWTIME,
     "state_changes": _viewed(_DAILY_TITLE_SELECT),
     "upsert_bucketed": _viewed(_DAILY_TITLE_SELECT),
     "stream_json_changelog": f"""SELECT CAST(to_json({{'title': title}}) AS VARCHAR) AS key,

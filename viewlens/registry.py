@@ -23,7 +23,7 @@ from viewlens.session import new_run_dir
 from viewlens.sources import events as E
 from viewlens.sources import messages
 from viewlens.sources.files import read_activity_table, write_activity_table
-from viewlens.streaming import continuous, day_changes, late, pipeline, savepoints, state_feed, status, upsert
+from viewlens.streaming import continuous, day_changes, late, pipeline, rescale, savepoints, state_feed, status, upsert
 from viewlens.streaming.settings import GRACE, OUT_OF_ORDERNESS, with_watermark
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,6 +409,22 @@ def _stream_from_savepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return start(stream(), f"{root}/restored", f"{root.rsplit('/', 1)[-1]}-restored").wait().read()
 
 
+def _stream_rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two parts with two state partitions, then a savepoint moved to five, which read the third."""
+    metric, root = M.daily_engagement_rowtime, new_run_dir(spark, "rescaled")
+    landed, name = f"{root}/events", root.rsplit("/", 1)[-1]
+    read = lambda path: E.stream_timed_activity(spark, path)
+    *before, last = E.in_order(E.read_events(spark, sf_dir), PARTS)
+    for part in before:
+        part.write.mode("append").parquet(landed)
+        table = continuous.maintain_cells(metric, read(landed), f"{root}/two", name, replay=True, state_partitions=2).wait()
+    savepoints.save(table, f"{root}/saved")
+    rescale.move(spark, f"{root}/saved", metric, read, f"{root}/five", f"{name}-five", 5)
+    last.write.mode("append").parquet(landed)
+    moved = rescale.resume(spark, metric, read(landed), f"{root}/five", f"{name}-five", 5, replay=True).wait()
+    return _text_time(metric.finish(moved.read()), "update_time")
+
+
 def _state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result rebuilt from the state's changes, followed after each part."""
     metric, feed = M.daily_title_engagement, new_run_dir(spark, "feed")
@@ -510,6 +526,7 @@ QUERIES: dict[str, Query] = {
     "stream_json_changelog": _stream_json,
     "stream_from_savepoint": _stream_from_savepoint,
     "state_changes": _state_changes,
+    "stream_rescaled": _stream_rescaled,
     "stream_late_rows": _stream_late_rows,
     "stream_late_row_table": _stream_late_row_table,
     "query_status": _query_status,

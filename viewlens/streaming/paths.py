@@ -61,6 +61,16 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file."""
+    fs, handle = _open(spark, path)
+    stream = fs.create(handle, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+
+
 def copy(spark: SparkSession, pairs: Iterable[tuple[str, str]], threads: int = 16) -> None:
     """Copy files, several at a time, through buffers of the file system's own client."""
     conf = spark._jsc.hadoopConfiguration()
