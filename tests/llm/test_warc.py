@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import re
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +73,42 @@ def test_the_data_are_a_warc_file(spark, tmp_path):
     assert sorted(bodies) == sorted(x.encode() for x in ("same", "same", "", ROWS[7][2], "alone", "WARC/1.1\r\n"))
 
 
+#: What every record must have, and a revisit besides.
+MANDATORY = {"WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type"}
+REVISIT = {"WARC-Profile", "WARC-Refers-To"}
+
+
+def strict_headers(archive):
+    """The headers of all records, by a reader that asks for what the format makes mandatory."""
+    out = []
+    for r in archive.filter("chunk = 0").collect():
+        version, *lines = bytes(r["data"]).partition(b"\r\n\r\n")[0].decode().split("\r\n")
+        names = [line.split(": ", 1)[0] for line in lines]
+        headers = dict(line.split(": ", 1) for line in lines)
+        assert version == "WARC/1.1" and len(names) == len(set(names)) and set(names) >= MANDATORY
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-8[0-9a-f]{3}-a[0-9a-f]{3}-[0-9a-f]{12}>", headers["WARC-Record-ID"])
+        datetime.strptime(headers["WARC-Date"], "%Y-%m-%dT%H:%M:%SZ")
+        if headers["WARC-Type"] == "revisit":
+            assert set(names) >= REVISIT
+        out.append(headers)
+    return out
+
+
+def test_mandatory_headers_and_references(spark, tmp_path):
+    headers = strict_headers(stored(spark, tmp_path / "a", ROWS))
+    ids = [h["WARC-Record-ID"] for h in headers]
+    assert len(set(ids)) == len(ROWS) == len(ids)
+    responses = {h["WARC-Record-ID"]: h for h in headers if h["WARC-Type"] == "response"}
+    revisits = [h for h in headers if h["WARC-Type"] == "revisit"]
+    assert revisits
+    for h in revisits:
+        to = responses[h["WARC-Refers-To"]]
+        assert to["X-Page-ID"] == h["X-Refers-To-Page-ID"] and to["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+    again = strict_headers(stored(spark, tmp_path / "b", ROWS, date=datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone.utc)))
+    assert not set(ids) & {h["WARC-Record-ID"] for h in again}
+    assert {h["WARC-Date"] for h in again} == {"2024-01-02T03:04:05Z"}
+
+
 def test_damage_is_found(spark, tmp_path):
     archive = stored(spark, tmp_path, [(1, "u", "x" * 5000)], chunk_bytes=1000)
     with pytest.raises(Exception, match="damaged chunk"):

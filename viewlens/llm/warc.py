@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -51,27 +53,41 @@ def header_value(name: str) -> Column:
 
 
 def first_of_equal(records: DataFrame, min_bytes: int) -> DataFrame:
-    """(sha256, first): the smallest id of records that share a payload with another id, or null."""
+    """(sha256, first, first_uri): the smallest id of records that share a payload with another id,
+    or null, and a URI that it has."""
     groups = records.filter(F.col("bytes") >= min_bytes).groupBy("sha256")
     some_null = F.max(F.col("id").isNull())
-    groups = groups.agg(F.min("id").alias("first"), F.max("id").alias("last"), some_null.alias("some_null"))
-    return groups.filter("first <> last OR some_null AND first IS NOT NULL").select("sha256", "first")
+    ends = F.min("id").alias("first"), F.max("id").alias("last")
+    groups = groups.agg(*ends, F.min_by("uri", "id").alias("first_uri"), some_null.alias("some_null"))
+    return groups.filter("first <> last OR some_null AND first IS NOT NULL").select("sha256", "first", "first_uri")
 
 
-def record_headers(refers_to: Column) -> Column:
+def record_uri(write: str, id_: Column, uri: Column, sha256: Column, number: Column) -> Column:
+    """A record's name, from the write, its id, URI and payload, so that whoever refers to it can name
+    it, and no other write has it. Without an id the row's number takes its place."""
+    of = F.coalesce(F.concat(F.lit("i"), id_.cast("string")), F.concat(F.lit("n"), number.cast("string")))
+    digits = F.sha2(F.concat_ws(" ", F.lit(write), sha256, of, F.coalesce(F.concat(F.lit("u"), uri), F.lit("-"))), 256)
+    parts = [F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
+    parts[2], parts[3] = F.concat(F.lit("8"), parts[2]), F.concat(F.lit("a"), parts[3])
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+
+
+def record_headers(refers_to: Column, write: str, date: datetime) -> Column:
     """Chunk 0 of the row's record, as text."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit("\r\n\r\n"))
     body = F.when(refers_to.isNull(), F.col("bytes")).otherwise(0)
+    response = record_uri(write, refers_to, F.col("first_uri"), F.col("sha256"), F.col("record"))
     optional = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "),
         F.when(refers_to.isNull(), "response").otherwise("revisit"),
-        F.lit("\r\nWARC-Record-ID: <urn:record:"),
-        F.col("record").cast("string"),
-        F.lit(">\r\n"),
+        F.lit("\r\nWARC-Record-ID: "),
+        record_uri(write, F.col("id"), F.col("uri"), F.col("sha256"), F.col("record")),
+        F.lit(f"\r\nWARC-Date: {date.astimezone(timezone.utc):%Y-%m-%dT%H:%M:%SZ}\r\n"),
         optional("WARC-Target-URI", header_value("uri")),
         optional("X-Page-ID", F.col("id").cast("string")),
-        optional("WARC-Refers-To", F.concat(F.lit("<urn:page:"), refers_to.cast("string"), F.lit(">"))),
+        optional("WARC-Refers-To", F.when(refers_to.isNotNull(), response)),
+        optional("X-Refers-To-Page-ID", refers_to.cast("string")),
         F.when(refers_to.isNotNull(), F.lit(f"WARC-Profile: {PROFILE}\r\n")).otherwise(""),
         F.lit("WARC-Payload-Digest: sha1:"),
         base32(F.col("sha1")),
@@ -108,26 +124,29 @@ def write_records(
     uri_col: str | None = None,
     min_bytes: int = 0,
     chunk_bytes: int = CHUNK_BYTES,
+    date: datetime | None = None,
 ) -> None:
-    """Writes a record for each row of ``df`` to an archive table at ``path``.
+    """Writes a record for each row of ``df`` to an archive table at ``path``, captured at ``date``,
+    by default now.
 
     The payload is a text, in UTF-8, or bytes; null is empty. Records below ``min_bytes`` are all
     responses. A null id never is the smallest; where all of a payload's ids are null, or the
-    smallest is that of several rows, each of those rows is a response. Other columns of ``df``
-    aren't stored.
+    smallest is that of several rows, each of those rows is a response; rows that are
+    equal are one record written more than once, under one name. Other columns of ``df`` aren't stored.
     """
+    write, date = uuid.uuid4().hex, date or datetime.now(timezone.utc)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     uri = F.col(uri_col).cast("string") if uri_col else F.lit(None).cast("string")
     rows = df.select(F.col(id_col).alias("id"), uri.alias("uri"), payload.alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("bigint"), "sha256": F.sha2("payload", 256)})
-    shared = written(first_of_equal(rows.select("id", "sha256", "bytes"), min_bytes), "shared")
+    shared = written(first_of_equal(rows.select("id", "uri", "sha256", "bytes"), min_bytes), "shared")
     rows = rows.join(shared.withColumnRenamed("sha256", "_of"), F.col("sha256") == F.col("_of"), "left")
     revisits = (F.col("bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("first"))
     refers_to = F.when(F.col("first").isNotNull() & revisits, F.col("first"))
     rows = rows.withColumns({"refers_to": refers_to, "sha1": F.sha1("payload"), "record": F.monotonically_increasing_id(), "archive": F.spark_partition_id()})
     stored = F.when(F.col("refers_to").isNull(), F.col("bytes")).otherwise(0)
     last = F.ceil(stored / chunk_bytes).cast("int")
-    rows = rows.withColumns({"head": record_headers(F.col("refers_to")), "last": last})
+    rows = rows.withColumns({"head": record_headers(F.col("refers_to"), write, date), "last": last})
     chunks = rows.select("archive", "record", "last", "head", "payload", F.explode(F.sequence(F.lit(0), "last")).alias("chunk"))
     part = F.when(F.col("chunk") == 0, F.lit(b"")).otherwise(
         F.substring("payload", (F.col("chunk") - 1) * chunk_bytes + 1, F.lit(chunk_bytes))
@@ -178,12 +197,12 @@ class RecordReader:
 
     def row(self) -> tuple:
         get = self.headers.get
-        refers = get("WARC-Refers-To")
+        refers = get("X-Refers-To-Page-ID")
         uri = get("WARC-Target-URI")
         for code, mark in (("%0A", "\n"), ("%0D", "\r"), ("%25", "%")):
             uri = uri and uri.replace(code, mark)
         size = int(get("X-Payload-Length")) if refers else self.payload_bytes
-        return get("X-Page-ID"), uri, get("WARC-Type"), refers and refers[10:-1], size, get("WARC-Payload-Digest")[5:]
+        return get("X-Page-ID"), uri, get("WARC-Type"), refers, size, get("WARC-Payload-Digest")[5:]
 
 
 def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
