@@ -37,7 +37,10 @@ def test_queries_equal_the_library_on_whole_tables(spark, library, sf):
     assert len(counts) == len(texts)
     for r in counts:
         n = len(ids[r["doc_id"]])
-        assert tuple(r)[1:] == (len(texts[r["doc_id"]].encode()), n, n > 2048)
+        assert tuple(r)[1:4] == (len(texts[r["doc_id"]].encode()), n, n > 2048)
+        # each text longer than a chunk is spliced, and no other
+        assert (r["n_splices"] > 0) == (len(texts[r["doc_id"]]) > token_counts.CHUNK_CHARS)
+    assert any(r["n_splices"] for r in counts)
     digests = registry.op9_bpe(spark, sf_dir).collect()
     assert len(digests) == len(texts)
     for r in digests:
@@ -72,6 +75,14 @@ def test_spliced_counts_equal_whole_ones(spark, library, chunk, overlap):
     assert token_counts.count_tokens(df.limit(0), PATH).collect() == []
 
 
+def test_overlaps_without_a_boundary_are_widened(library):
+    counter = token_counts.TokenCounter(open(PATH, "rb").read(), 100, 10)
+    spaced, glued = "ab cd ef " * 100, ("x" * 30 + " ") * 20 + "y" * 500
+    (n, splices, widened), (m, _, more) = counter.count([spaced, glued])
+    assert n == len(library.encode(spaced, add_special_tokens=False).ids) and splices >= 9 and not widened
+    assert m == len(library.encode(glued, add_special_tokens=False).ids) and more > 3
+
+
 def test_other_splitters_are_encoded_whole(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert not token_counts.splits_at_space(json.load(open(path)))

@@ -8,8 +8,8 @@ the overlap's first and last such boundary must agree in both encodings. If ther
 boundaries, or the tokens disagree, the overlap is widened; once it reaches back to the last
 splice, the chunk itself grows. A text without any white space so becomes one chunk.
 
-Other texts are counted by the same boundaries: each distinct chunk between white space is
-encoded by the library once and remembered.
+Texts no longer than a chunk are counted by the same boundaries: each distinct piece between white
+space is encoded by the library once and remembered.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from viewlens.llm.bpe import _schema, read_model
 from viewlens.llm.tables import appended, pieces, without
 
-#: Characters in a chunk of a huge text, and in the first overlap tried.
-CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 10
+#: Characters in a chunk, which a huge text is longer than, and in the first overlap tried. Counts
+#: don't depend on them.
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 13, 1 << 8
 #: Chunks between white space that a worker remembers before it starts afresh, and the longest.
 #: At most about 100 MB; results don't depend on it.
 REMEMBERED, REMEMBERED_CHARS = 800_000, 64
@@ -48,12 +49,12 @@ class TokenCounter:
         self._chunk, self._overlap = chunk_chars, overlap_chars
         self._known: dict[str, int] = {}
         self._by_space = splits_at_space(json.loads(model))
-        #: Overlaps tried, in the texts counted so far.
-        self.overlaps = 0
 
-    def count(self, texts: list[str]) -> list[int]:
+    def count(self, texts: list[str]) -> list[tuple[int, int, int]]:
+        """Of each text its tokens, the splices that its chunks took, and how often an overlap, or
+        the chunk itself, was widened for them."""
         if not self._by_space:
-            return [len(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return [(len(e.ids), 0, 0) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self._known) > REMEMBERED:
             self._known = {}
         known, chunks, new = self._known, [], {}
@@ -75,7 +76,7 @@ class TokenCounter:
         counts = [None if parts is None else sum(map(known.__getitem__, parts)) for parts in chunks]
         for x in long:
             del known[x]
-        return [self._huge(text) if n is None else n for text, n in zip(texts, counts)]
+        return [self._huge(text) if n is None else (n, 0, 0) for text, n in zip(texts, counts)]
 
     def _encoded(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and first and last offset in ``text`` of each token of a chunk."""
@@ -97,25 +98,28 @@ class TokenCounter:
         agree = np.array_equal(left_ids[a], right_ids[b]) and np.array_equal(left_at[a], right_at[b])
         return last if agree and a.any() else None
 
-    def _huge(self, text: str) -> int:
-        total, counted, start, end = 0, 0, 0, self._chunk
+    def _huge(self, text: str) -> tuple[int, int, int]:
+        total, splices, widened = 0, 0, 0
+        counted, start, end = 0, 0, self._chunk
         left = self._encoded(text, 0, end)
         while end < len(text):
             overlap, at = self._overlap, None
             while at is None and end - overlap > counted:
-                self.overlaps += 1
                 start = end - overlap
                 right = self._encoded(text, start, start + self._chunk + overlap)
                 at = self._splice(text, left, right, start, end)
                 overlap *= 2
+                widened += at is None
             if at is None:  # no boundary since the last splice
+                widened += 1
                 end += end - counted
                 left = self._encoded(text, counted, end)
                 continue
             offsets = left[1]
             total += int(((offsets[:, 0] >= counted) & (offsets[:, 1] <= at)).sum())
+            splices += 1
             left, counted, end = right, at, min(len(text), start + self._chunk + overlap // 2)
-        return total + int((left[1][:, 0] >= counted).sum())
+        return total + int((left[1][:, 0] >= counted).sum()), splices, widened
 
 
 #: Never part of a word, nor of a contraction.
@@ -143,6 +147,7 @@ def splits_at_space(spec: dict) -> bool:
     return plain and bool(dropped) and letters and not re.search(r"(?<!\^)\\s|(?<!\\)\.| ", pattern)
 
 
+ADDED = ("n_tokens", "n_splices", "n_widened")
 _loaded: dict[tuple, TokenCounter] = {}
 
 
@@ -152,7 +157,7 @@ def count_batches(batches: Iterator[pa.RecordBatch], text_col: str, model, *size
         _loaded[name] = TokenCounter(model.value, *sizes)
     for batch in pieces(batches, text_col):
         counts = _loaded[name].count([t or "" for t in batch.column(text_col).to_pylist()])
-        yield appended(batch, n_tokens=pa.array(counts, pa.int64()))
+        yield appended(batch, **{n: pa.array(x, pa.int64()) for n, x in zip(ADDED, zip(*counts))})
 
 
 def count_tokens(
@@ -162,14 +167,15 @@ def count_tokens(
     chunk_chars: int = CHUNK_CHARS,
     overlap_chars: int = OVERLAP_CHARS,
 ) -> DataFrame:
-    """``df`` with ``n_tokens`` (bigint), as the library gives them without special tokens added.
+    """``df`` with ``n_tokens``, as the library gives them without special tokens added, and with
+    ``n_splices`` and ``n_widened``, 0 for texts of one chunk (bigint).
 
     A null text counts as empty: 0. Every row is counted by itself, so repeated rows and null or
-    repeated ids don't matter. A column named ``n_tokens`` is replaced. A model whose splitter
+    repeated ids don't matter. Columns named as an added one are replaced. A model whose splitter
     keeps white space has no boundaries proven here, and its texts are encoded whole.
     """
-    df, model = without(df, "n_tokens"), read_model(df.sparkSession, path)
+    df, model = without(df, *ADDED), read_model(df.sparkSession, path)
     return df.mapInArrow(
         lambda batches: count_batches(batches, text_col, model, chunk_chars, overlap_chars),
-        _schema(df, "n_tokens bigint"),
+        _schema(df, ", ".join(f"{c} bigint" for c in ADDED)),
     )
