@@ -2,7 +2,11 @@
 
 import collections
 
+import duckdb
+import pyarrow as pa
+
 from viewlens.llm import line_dedup
+from viewlens.llm.oracle import ORACLE
 
 SCHEMA = "doc_id bigint, source string, text string"
 SPACE = " \t\x0b\x0c\r"
@@ -49,5 +53,8 @@ def test_a_page_of_boilerplate_alone_is_cut_where_the_caller_says_so(spark):
     strict = {r["doc_id"]: tuple(r)[2:] for r in line_dedup.drop_boilerplate(df, keep_whole=False).collect()}
     assert strict[50] == ("", 2, 2) and strict[0] == ("own 0", 3, 2)
     assert strict[51] == (None, 0, 0) and strict[52] == ("", 1, 0)
+    sql = duckdb.connect()
+    sql.register("documents", pa.Table.from_pylist([dict(zip(("doc_id", "source", "text"), r)) for r in rows]))
+    assert {r[0]: r[2:] for r in sql.execute(ORACLE["op4_line_dedup"]).fetchall()} == strict
     staged = corpus_pipeline.without_boilerplate(spark, df.selectExpr("*", "length(text) AS n_chars"), "")
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in staged.collect()}[50] == ("", 0)

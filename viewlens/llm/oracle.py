@@ -56,13 +56,11 @@ WITH page AS (
            list_filter(string_split(text, chr(10)),
                        lambda x: NOT coalesce(list_contains(bad, trim(x, concat(' ', chr(9), chr(11), chr(12), chr(13)))), false)) AS kept
     FROM documents d LEFT JOIN boilerplate b ON d.source IS NOT DISTINCT FROM b.source
-), judged AS (
-    SELECT *, len(list_filter(kept, lambda x: trim(x, concat(' ', chr(9), chr(11), chr(12), chr(13))) <> '')) > 0 AS cuts FROM cut
 )
-SELECT doc_id, source, CASE WHEN cuts THEN array_to_string(kept, chr(10)) ELSE text END AS text,
+SELECT doc_id, source, CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(kept, chr(10)), '') END AS text,
        CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines,
-       CAST(CASE WHEN cuts THEN len(ls) - len(kept) ELSE 0 END AS BIGINT) AS n_dropped
-FROM judged
+       CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_dropped
+FROM cut
 """
 
 #: Base32 takes five bits a letter, so five hexadecimal digits are four letters.

@@ -72,7 +72,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_boilerplate(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    documents = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(documents, keep_whole=False)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +128,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes")
     return token_counts.count_tokens(documents, MODEL).select(
-        "doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")
+        "doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "n_splices", "n_widened"
     )
 
 
