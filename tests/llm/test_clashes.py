@@ -1,0 +1,62 @@
+"""Columns of a caller that are named as an operator's helper columns."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from viewlens.llm import decontaminate, hilbert, line_dedup, near_copies, quality, secrets
+from viewlens.llm.tables import clear_of, free
+
+TEXT = " ".join(f"word{k} of a text that is long enough to be judged" for k in range(4))
+ROWS = [(k, "en", "host", f"{TEXT} {k}\nmenu\napi_key = 0123456789{k}") for k in range(8)]
+SCHEMA = "doc_id bigint, lang string, source string, text string"
+
+
+def with_columns(spark, names):
+    plain = spark.createDataFrame(ROWS, SCHEMA)
+    return plain, plain.select("*", *(F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names))
+
+
+def by_hilbert(df):
+    cells = {"lang": hilbert.category_cell(F.col("lang")), "size": hilbert.size_cell(F.length("text"))}
+    return hilbert.assign(df, cells, [F.col("doc_id")], shards=3)
+
+
+def by_several_sets(df):
+    items = df.sparkSession.createDataFrame([("a", TEXT), ("b", "menu api_key")], "item_id string, text string")
+    return decontaminate.find_benchmark(df, items, max_windows=10)
+
+
+@pytest.mark.parametrize(
+    ("operator", "names"),
+    [
+        (secrets.find_secrets, ["_text", "_runs", "_BASE", "_key", "_random", "_run", "_run_at", "_assign", "run", "bin"]),
+        (quality.judge, ["middle", "below", "Above", "_lang", "sum_log_p", "n_scored", "_block"]),
+        (lambda df: quality.judge(df, max_entries=1), ["middle", "_block", "n_scored"]),
+        (line_dedup.drop_boilerplate, ["_keys", "_host", "_Kept", "host", "keys"]),
+        (by_hilbert, ["_all", "_before", "_TASK", "_rank", "_at", "n"]),
+        (near_copies.one_of_each, ["_sha", "_ID", "count", "node", "root"]),
+        (by_several_sets, ["_Key", "text_key", "_key_"]),
+    ],
+)
+def test_they_keep_their_values_and_change_no_other(spark, operator, names):
+    plain, more = with_columns(spark, names)
+    want, got = operator(plain), operator(more)
+    assert sorted(got.columns) == sorted([*want.columns, *names])
+    same = lambda df: sorted(map(str, df.select(*want.columns).collect()))
+    assert same(got) == same(want)
+    for r in got.collect():
+        assert all(r[n] == f"{n} {r['doc_id']}" for n in names)
+
+
+def test_an_operators_own_column_may_be_named_so(spark):
+    rows = spark.createDataFrame(ROWS, SCHEMA)
+    want = line_dedup.drop_boilerplate(rows).collect()
+    got = line_dedup.drop_boilerplate(rows.withColumnsRenamed({"text": "_Keys", "source": "_host"}), "_HOST", text_col="_keys")
+    assert got.columns == ["doc_id", "lang", "_host", "_Keys", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+
+
+def test_free_names_and_plans_without_a_clash(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    assert free(df, "_x", "TEXT", "text_", "_X") == ["_x", "TEXT_", "text__", "_X_"]
+    assert clear_of("_x")(lambda d: d)(df) is df

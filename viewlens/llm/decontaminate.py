@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.tables import appended, pieces, without, written
+from viewlens.llm.tables import appended, free, pieces, without, written
 
 WINDOW_WORDS = 13
 #: Windows in one broadcast set: at about 150 bytes each, 75 MB on the driver at most.
@@ -208,6 +208,7 @@ def find_benchmark(
         one = written(scan(distinct, part, "text").drop("text"), "finds")
         found = one if found is None else found.unionByName(one)
     covered = F.flatten(F.collect_list(F.transform("hits", lambda h: F.sequence(h["first"], h["last"]))))
+    (own,) = free(texts, "_key")
     merged = found.groupBy("text_key").agg(
         F.first("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(covered))).alias("at"),
@@ -217,8 +218,8 @@ def find_benchmark(
     firsts = F.array_except("at", F.transform("at", lambda x: x + 1))
     lasts = F.array_except("at", F.transform("at", lambda x: x - 1))
     hits = F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
-    merged = merged.select(F.col("text_key").alias("_key"), "n_words", hits.alias("hits"), "items")
-    return texts.withColumn("_key", key).join(merged, "_key").drop("_key")
+    merged = merged.select(F.col("text_key").alias(own), "n_words", hits.alias("hits"), "items")
+    return texts.withColumn(own, key).join(merged, own).drop(own)
 
 
 def hit_words(hits: Column) -> Column:

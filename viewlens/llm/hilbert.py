@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from viewlens.llm.tables import appended, without, written
+from viewlens.llm.tables import appended, free, without, written
 
 SHARDS, BITS = 40, 6
 #: monotonically_increasing_id() has the partition above these bits and the row below.
@@ -67,7 +67,7 @@ def assign(
 ) -> DataFrame:
     """``df`` with a cell column for each of ``dimensions`` (its name ending in ``_cell``),
     ``hilbert``, ``shard`` (int) and ``slot`` (bigint, from 0 without gaps in each shard). Columns
-    of these names are replaced. Shards' row counts differ by one at most.
+    of these names are replaced; others stay, whatever their names. Shards' row counts differ by one at most.
 
     ``order`` decides among rows of one index, so that a hot cell is spread over tasks; rows that
     are equal in it are interchangeable. With fewer rows than shards some shards stay empty.
@@ -78,20 +78,20 @@ def assign(
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "hilbert bigint"])
     rows = rows.mapInArrow(lambda batches: index_batches(batches, names, bits), kinds)
     rows = rows.repartitionByRange(F.col("hilbert"), *order).sortWithinPartitions(F.col("hilbert"), *order)
-    rows = written(rows.withColumn("_at", F.monotonically_increasing_id()), "curve")
-    task = F.shiftright("_at", _ROW_BITS)
+    at, own, all_, before, rank = free(rows, "_at", "_task", "_all", "_before", "_rank")
+    rows = written(rows.withColumn(at, F.monotonically_increasing_id()), "curve")
+    task = F.shiftright(at, _ROW_BITS)
     # a row for each task that wrote; its running sums say where the task's rows begin
-    counts = rows.groupBy(task.alias("_task")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("_task")) - F.col("n")
-    starts = counts.select("_task", before.alias("_before"), F.sum("n").over(Window.partitionBy()).alias("_all"))
-    rows = rows.withColumn("_task", task).join(F.broadcast(starts), "_task")
-    rank = F.col("_before") + F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1)
-    rows = rows.withColumn("_rank", rank)
+    counts = rows.groupBy(task.alias(own)).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.orderBy(own)) - F.col("n")
+    starts = counts.select(own, so_far.alias(before), F.sum("n").over(Window.partitionBy()).alias(all_))
+    rows = rows.withColumn(own, task).join(F.broadcast(starts), own)
+    rows = rows.withColumn(rank, F.col(before) + F.col(at).bitwiseAND((1 << _ROW_BITS) - 1))
     # exact in whole numbers: the first rank of a shard
-    shard = F.expr(f"CAST(_rank * {shards} DIV _all AS INT)")
-    first = F.expr(f"(CAST(shard AS BIGINT) * _all + {shards - 1}) DIV {shards}")
-    rows = rows.withColumn("shard", shard).withColumn("slot", F.col("_rank") - first)
-    return rows.drop("_at", "_task", "_before", "_all", "_rank")
+    shard = F.expr(f"CAST({rank} * {shards} DIV {all_} AS INT)")
+    first = F.expr(f"(CAST(shard AS BIGINT) * {all_} + {shards - 1}) DIV {shards}")
+    rows = rows.withColumn("shard", shard).withColumn("slot", F.col(rank) - first)
+    return rows.drop(at, own, before, all_, rank)
 
 
 def manifest(assigned: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.tables import settled, without, written
+from viewlens.llm.tables import clear_of, settled, without, written
 
 #: Boilerplate stands on this share of a host's pages, and on this many at least.
 RATIO, MIN_PAGES = 0.05, 5
@@ -43,6 +43,7 @@ def boilerplate(df: DataFrame, host: Column, text: Column, ratio: float, min_pag
     return bad.groupBy(counts["host"].alias("host")).agg(F.collect_set("key").alias("keys"))
 
 
+@clear_of("_host", "_keys", "_kept")
 def drop_boilerplate(
     df: DataFrame,
     host_col: str = "source",
@@ -57,7 +58,7 @@ def drop_boilerplate(
     A null text stays null and has no lines; blank lines are kept. A text all of whose lines with
     something on them are boilerplate stays whole: the share says nothing against it as a page. Not so
     with ``keep_whole`` false: then its lines go too, and what is left is empty or blank.
-    A null host is a host of its own. Repeated rows count as one page and are all cut alike.
+    A null host is a host of its own. The caller's other columns stay, whatever their names. Repeated rows count as one page and are all cut alike.
     """
     df = without(df, "n_lines", "n_dropped")
     text = F.col(f"`{text_col}`")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewlens.llm import kneser_ney as K
-from viewlens.llm.tables import appended, pieces, settled, without, written
+from viewlens.llm.tables import appended, clear_of, pieces, settled, without, written
 from viewlens.llm.words import stretches, words
 
 MIN_WORDS, WINDOW_WORDS, REPEAT_PERCENT = 20, 8, 30
@@ -167,6 +167,7 @@ def bands(judged: DataFrame) -> DataFrame:
     )
 
 
+@clear_of("_lang", "_block", "middle", "below", "above", "sum_log_p", "n_scored")
 def judge(
     df: DataFrame,
     text_col: str = "text",
@@ -176,7 +177,7 @@ def judge(
 ) -> DataFrame:
     """``df`` with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``perplexity`` (null without words), ``base_failed`` and ``kept``. Columns
-    of these names are replaced.
+    of these names are replaced; others stay, whatever their names.
 
     A null or empty text has no words and fails. A null language is a language of its own. Rows are
     judged one by one, so repeated rows and null ids stay as they are; what all rows share is the

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from viewlens.llm.tables import without, written
+from viewlens.llm.tables import clear_of, without, written
 
 #: The kinds in their order, their patterns, and the least length of what each finds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -195,13 +195,14 @@ def limits(tested: DataFrame) -> DataFrame:
 # --- the operator -------------------------------------------------------------------------
 
 
+@clear_of(*(f"_{c}{at}" for c in ("assign", "access", "hex", "run") for at in ("", "_at")), "_text", "_base", "_runs", "_key", "_random")
 def find_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` without its text, with ``secrets``: an array of (start, kind, end) in their order,
     where ``kind`` is the place in ``KINDS``, and offsets are code points, the end exclusive.
 
     Random runs that overlap a pattern's span aren't listed again. A null text is empty. Rows are
     searched one by one; repeated rows add no runs to the procedure. A column named ``secrets`` is
-    replaced.
+    replaced; others stay, whatever their names.
     """
     df = without(df, "secrets")
     names = [c for c in df.columns if c != text_col]

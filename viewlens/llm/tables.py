@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
@@ -75,6 +76,39 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df if len(kept) == len(df.columns) else df.select(*(f"`{c}`" for c in kept))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names`` for helper columns beside those of ``df``, made longer where they clash."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def clear_of(*helpers: str) -> Callable:
+    """For an operator (df, names of its columns, ...): a caller's column that is named as one of
+    ``helpers`` bears another name while the operator works, and has its own again in the result."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def apply(df: DataFrame, *args, **named) -> DataFrame:
+            clash = [c for c in df.columns if c.lower() in helpers]
+            if not clash:
+                return operator(df, *args, **named)
+            aside = dict(zip(clash, free(df, *(f"{c}_" for c in clash))))
+            lower = {c.lower(): new for c, new in aside.items()}
+            of = lambda x: lower.get(x.lower(), x) if isinstance(x, str) else x
+            out = operator(df.withColumnsRenamed(aside), *map(of, args), **{k: of(x) for k, x in named.items()})
+            return out.withColumnsRenamed({new: c for c, new in aside.items()})
+
+        return apply
+
+    return wrap
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The batches cut to about ``PIECE_BYTES`` of ``column``, one row at least."""
     for batch in batches:
