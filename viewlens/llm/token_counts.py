@@ -21,9 +21,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from tokenizers import Encoding
 
 from viewlens.llm.bpe import _schema, read_model
 from viewlens.llm.tables import appended, pieces, without
@@ -78,25 +78,23 @@ class TokenCounter:
             del known[x]
         return [self._huge(text) if n is None else (n, 0, 0) for text, n in zip(texts, counts)]
 
-    def _encoded(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and first and last offset in ``text`` of each token of a chunk."""
+    def _encoded(self, text: str, start: int, end: int) -> tuple[int, Encoding, list[int]]:
+        """Where a chunk starts, its encoding, and its ids."""
         chunk = self._tokenizer.encode(text[start:end], add_special_tokens=False)
-        offsets = np.array(chunk.offsets, np.int64).reshape(-1, 2) + start
-        return np.array(chunk.ids, np.int64), offsets
+        return start, chunk, chunk.ids
 
     def _splice(self, text: str, left, right, start: int, end: int) -> int | None:
         """A boundary within the overlap up to which the left chunk counts and from which the
         right one does."""
-        spaces = [m.start() for m in _SPACE.finditer(text, start, end)]
-        spaces = [p for p in spaces if p > start]
+        spaces = [m.start() for m in _SPACE.finditer(text, start + 1, end)]
         if len(spaces) < 2:
             return None
-        first, last = spaces[0], spaces[-1]
-        (left_ids, left_at), (right_ids, right_at) = left, right
-        a = (left_at[:, 0] >= first) & (left_at[:, 1] <= last)
-        b = (right_at[:, 0] >= first) & (right_at[:, 1] <= last)
-        agree = np.array_equal(left_ids[a], right_ids[b]) and np.array_equal(left_at[a], right_at[b])
-        return last if agree and a.any() else None
+        inside = [(tokens_before(chunk, spaces[0]), tokens_before(chunk, spaces[-1])) for chunk in (left, right)]
+        (a, b), (c, d) = inside
+        # equal ids at equal offsets
+        agree = a < b and left[2][a:b] == right[2][c:d]
+        agree = agree and all(span(left, a + k) == span(right, c + k) for k in range(b - a))
+        return spaces[-1] if agree else None
 
     def _huge(self, text: str) -> tuple[int, int, int]:
         total, splices, widened = 0, 0, 0
@@ -115,11 +113,29 @@ class TokenCounter:
                 end += end - counted
                 left = self._encoded(text, counted, end)
                 continue
-            offsets = left[1]
-            total += int(((offsets[:, 0] >= counted) & (offsets[:, 1] <= at)).sum())
+            total += tokens_before(left, at) - tokens_before(left, counted)
             splices += 1
             left, counted, end = right, at, min(len(text), start + self._chunk + overlap // 2)
-        return total + int((left[1][:, 0] >= counted).sum()), splices, widened
+        return total + len(left[2]) - tokens_before(left, counted), splices, widened
+
+
+def span(chunk: tuple[int, Encoding, list[int]], token: int) -> tuple[int, int]:
+    """First and last offset in the text of a chunk's token."""
+    start, encoding, _ = chunk
+    first, last = encoding.token_to_chars(token)
+    return start + first, start + last
+
+
+def tokens_before(chunk: tuple[int, Encoding, list[int]], at: int) -> int:
+    """How many of a chunk's tokens begin before ``at``, a place in the text; they are in order."""
+    low, high = 0, len(chunk[2])
+    while low < high:
+        middle = (low + high) // 2
+        if span(chunk, middle)[0] < at:
+            low = middle + 1
+        else:
+            high = middle
+    return low
 
 
 #: Never part of a word, nor of a contraction.
