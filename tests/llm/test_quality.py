@@ -82,7 +82,8 @@ def test_query_equals_brute_force_on_the_whole_table(spark, documents):
     assert len(got) == len(rows)
     by_lang = collections.defaultdict(list)
     for r in rows:
-        by_lang[r["lang"]].append(symbols(r["text"]))
+        if 50 * len(re.findall(r"[#*$%&|<>]", r["text"])) <= len(r["text"]):
+            by_lang[r["lang"]].append(symbols(r["text"]))
     models = {lang: PlainModel(texts, K.ORDER) for lang, texts in by_lang.items()}
     logs, failed = {}, {}
     for r in rows:
@@ -108,6 +109,23 @@ def test_query_equals_brute_force_on_the_whole_table(spark, documents):
                 assert got[i]["kept"] == (not failed[i] and off <= width)
 
 
+def test_bands_part_labelled_junk_from_prose(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["quality"] for r in load(spark, sf_dir, "labels").collect()}
+    found = registry.op3_quality(spark, sf_dir).filter("not base_failed").collect()
+    kept = {q: [r["kept"] for r in found if labels.get(r["doc_id"]) == q] for q in (0, 1)}
+    assert len(kept[0]) > 200 and kept[0].count(False) >= 0.9 * len(kept[0])
+    assert kept[1].count(False) <= 0.01 * len(kept[1])
+
+
+def test_a_language_without_prose_keeps_what_passes_the_base_rules(spark):
+    prose = "one text of plain words follows another here and none of them has a sign in it at all so all is well"
+    rows = [(1, "en", prose), (2, "en", prose + " too"), (3, "xx", "a# b$ c% d& " * 2), (4, "yy", " ".join(f"{w}&&" for w in prose.split()))]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, lang string, text string")).collect()}
+    assert got[3]["base_failed"] and not got[3]["kept"]
+    assert got[4]["kept"] and got[4]["perplexity"] == pytest.approx(math.exp(-K.UNKNOWN))
+
+
 def test_blocks_give_the_broadcast_models_scores(spark, documents):
     one = {r["doc_id"]: r["perplexity"] for r in quality.judge(documents, keep_text=False).collect()}
     two = {r["doc_id"]: r["perplexity"] for r in quality.judge(documents, max_entries=0).collect()}

@@ -1,7 +1,8 @@
 """Quality rules: counts of words, symbols and repetitions, and perplexity bands.
 
 Texts that pass the base rules are judged by the perplexity that their language's character model
-gives them. The band of a language lies around the median of the logarithms, as wide on either
+gives them. The model counts every text that reads as prose, which is to say one with few symbols
+for its length: a model that had counted the junk too would expect it. The band of a language lies around the median of the logarithms, as wide on either
 side as so many median deviations, and never narrower than a fixed ratio. Short texts scatter
 more, so both the deviations and the band are in units that widen as a text gets shorter. The band
 is taken over distinct scores: copies of one text count once, however many there are.
@@ -24,6 +25,8 @@ from viewlens.llm.words import stretches, words
 
 MIN_WORDS, WINDOW_WORDS, REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
+#: A text that the model counts has a symbol in so many characters at most.
+CHARS_PER_SYMBOL = 50
 #: Half-widths of the band in median deviations, and the least, as a difference of logarithms.
 LOWER_DEVIATIONS, UPPER_DEVIATIONS, LEAST_WIDTH = 5.0, 5.0, 0.05
 #: A text of so many symbols scatters by the root of two times as much as a very long one.
@@ -146,6 +149,12 @@ def block_grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Re
             )
 
 
+def reads_as_prose(text: Column) -> Column:
+    """Whether the model counts a text; an empty one holds nothing to count."""
+    n_symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return CHARS_PER_SYMBOL * n_symbols <= F.length(text)
+
+
 def _scatter(n_scored: Column) -> Column:
     return F.sqrt(1 + SHORT_SYMBOLS / n_scored)
 
@@ -179,15 +188,16 @@ def judge(
     ``n_repeat_words``, ``perplexity`` (null without words), ``base_failed`` and ``kept``. Columns
     of these names are replaced; others stay, whatever their names.
 
-    A null or empty text has no words and fails. A null language is a language of its own. Rows are
-    judged one by one, so repeated rows and null ids stay as they are; what all rows share is the
-    model and the bands.
+    A null or empty text has no words and fails. A null language is a language of its own; one
+    without a text that reads as prose has no model, gives all its texts one perplexity, and keeps
+    those that pass the base rules. Rows are judged one by one, so repeated rows and null ids stay
+    as they are; what all rows share is the model and the bands.
     """
     df = without(df, *ADDED)
     texts = df.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
 
     def score() -> DataFrame:
-        model = K.train(texts.filter(F.col("text").isNotNull()))
+        model = K.train(texts.filter(reads_as_prose(F.col("text"))))
         rows = scored(df, model, text_col, lang_col, max_entries)
         return rows if keep_text else rows.drop(text_col)
 
