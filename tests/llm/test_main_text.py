@@ -1,6 +1,8 @@
 """Main text against a plain parser on the given pages, and on pages of other shapes."""
 
+import collections
 import html.parser
+import re
 
 import pytest
 
@@ -93,3 +95,31 @@ LINKS = "".join(f"<li><a href='/{k}'>Another story of the week, number {k}</a></
 )
 def test_a_window_of_links_dives_in_an_article(page, want):
     assert main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><h1>T</h1><div class='social-history'><p>{LONG}</div><section id='form-and-function'><p>{LONG}</section><p>End</article>", f"T\n{LONG.strip()}\n{LONG.strip()}\nEnd"),
+        (f"<article><p>{LONG}<div class='post-social'>Share this</div><p>End</article>", f"{LONG.strip()}\nEnd"),
+        (f"<article><p class='post-social'>Share this<p>{LONG}</article>", LONG.strip()),
+        (f"<div><p>{LONG}<div>Advertisement: buy {LONG}</div><p>{LONG}</div>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f"<div><h1>T</h1><p>{LONG}</p><div><h3>What readers say</h3><p>Bob: {LONG}</p></div></div>", f"T\n{LONG.strip()}"),
+        (f"<article><h2>Comments</h2><p>{LONG}<h2>More</h2><p>{LONG}</article>", f"More\n{LONG.strip()}"),
+        (f"<article><h1>Comments</h1><p>{LONG}</article>", f"Comments\n{LONG.strip()}"),
+        ("<div>Buy this and that and more of it.</div><div><h1>Short.</h1><p>Text.</div>", "Short.\nText."),
+    ],
+)
+def test_hints_and_labels(page, want):
+    assert main_text(page) == want
+
+
+def test_lengths_decide_where_pages_mark_neither_article_nor_adverts(spark):
+    n_ads = n_kept = 0
+    for r in load(spark, "/root/testdata/sf0.01", "pages").collect():
+        plain = re.sub(r"(</?)article\b", r"\1div", r["html"]).replace('class="ad"', 'class="zz"')
+        got, want = main_text(plain).split("\n"), main_text(r["html"]).split("\n")
+        assert not collections.Counter(want) - collections.Counter(got)
+        n_ads += plain.count('class="zz"')
+        n_kept += len(got) - len(want)
+    assert n_ads > 200 and n_kept <= 0.1 * n_ads

@@ -6,6 +6,12 @@ window of lines sliding down the page. Where the sum surges over a threshold, ma
 goes back to the first line after a blank window and ends where the sum dives to nothing. The
 threshold is never above the page's largest sum, so the largest part is found however short.
 
+A name that holds a listed word among others only hints: that part stays if a window of its own
+lines surges. So must what stands before a page's first ``h1``, which blank lines set apart; where nothing
+surges, the page begins there. A line
+that begins with an advert's label, and what follows a heading of reader comments up to the next
+heading as high, become blank lines too.
+
 Text inside links doesn't count, so that a list of links never surges. Where a page marks its
 article, only lines of the article are searched, with no blanks for what was stripped. There a
 window dives at lines that are links; a link of fewer lines than a window stays where it stands
@@ -41,8 +47,9 @@ BLOCKS = frozenset(
     "form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
     "search section select summary table tbody td tfoot th thead tr ul caption".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that end where the next block begins, if nothing ends them before.
-OPEN = frozenset("p dt dd h1 h2 h3 h4 h5 h6".split())
+OPEN = frozenset("p dt dd".split()) | HEADINGS
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no main text, and words in class, id or role that say so of any element.
 OTHER = frozenset("nav footer aside form menu select button dialog head search".split())
@@ -54,33 +61,87 @@ OTHER_NAMES = frozenset(
     "sidebar sidebars social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 ARTICLE = frozenset(["article", "main"])
+#: Words that may stand beside a listed one in a name without making it a mere hint.
+PLAIN_NAMES = frozenset(
+    "area bar block bottom box center container content global inner item items left links list main outer page "
+    "panel primary right secondary section site slot top unit wrap wrapper".split()
+)
+ADVERT = re.compile(r"(?:advertisement|sponsored(?: content| post)?|anzeige|werbung|publicité|publicidad)\s*(?:[:|–—-]|\Z)", re.IGNORECASE)
+READERS = re.compile(
+    r"(?:\d+\s+)?(?:(?:reader|readers'|user)\s+)?(?:comments?|replies|responses|what (?:our )?readers say|"
+    r"leave a (?:comment|reply)|join the discussion|kommentare|commentaires|comentarios)\s*(?:\(\d+\))?:?",
+    re.IGNORECASE,
+)
 
 
-def names_of(attributes: str) -> set[str]:
-    """The words of class, id and role: ``site-nav_top`` has three."""
-    found = (a or b or c for a, b, c in _NAMES.findall(attributes))
-    return {w for value in found for w in re.split(r"[^a-z0-9]+", value.lower())}
+def says_other(attributes: str) -> tuple[bool, bool]:
+    """Whether a name in class, id or role says that an element is other than the article, and
+    whether one hints at it: ``site-nav`` says so, ``social-history`` hints."""
+    says = hints = False
+    for a, b, c in _NAMES.findall(attributes):
+        for name in (a or b or c).lower().split():
+            named = [w for w in re.split(r"[^a-z]+", name) if w]
+            if not OTHER_NAMES.isdisjoint(named):
+                hints = True
+                says |= all(w in OTHER_NAMES or w in PLAIN_NAMES for w in named)
+    return says, hints
 
 
-def is_other(tag: str, attributes: str, in_article: bool) -> bool:
+def is_other(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is other than the article for certain, and whether it may be."""
     if tag in OTHER or tag == "header" and not in_article:
-        return True
+        return True, True
     if not attributes or tag in ("html", "body") or tag in ARTICLE and "comment" not in attributes.lower():
-        return False
-    return bool(_HIDDEN.search(attributes)) or not OTHER_NAMES.isdisjoint(names_of(attributes))
+        return False, False
+    says, hints = says_other(attributes)
+    return says or bool(_HIDDEN.search(attributes)), hints
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
+def window_sums(lengths: np.ndarray) -> np.ndarray:
+    """The characters of the window that begins at each line."""
+    total = np.concatenate(([0], np.cumsum(lengths)))
+    return total[np.minimum(np.arange(len(lengths)) + WINDOW, len(lengths))] - total[:-1]
+
+
+def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool, int]:
     """Lines as (text, length that counts, whether inside an article), blank ones for what is
-    stripped, and whether the page has an article."""
+    stripped; whether the page has an article; and the line of its first ``h1``, or 0."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     links: list[str] = []
     skipped, depth, article, in_link, has_article = "", 0, 0, 0, False
+    # the block being read; the level of the heading whose comments are left out; the line of the
+    # first h1; the element that a name hints at: its tag, how many of it are open, its first line
+    block, readers, titled, hinted = "", 0, 0, ("", 0, 0)
+
+    def blank() -> None:
+        lines.extend([("", 0, article > 0)] * WINDOW)
+
+    def unhint() -> None:
+        nonlocal hinted, titled
+        if hinted[0]:
+            own = np.array([size for _, size, _ in lines[hinted[2] :]], np.int64)
+            if len(own) and window_sums(own).max() < SURGE:
+                del lines[hinted[2] :]
+                titled = min(titled, hinted[2])
+                blank()
+            hinted = ("", 0, 0)
 
     def flush() -> None:
+        nonlocal readers, titled
         text = " ".join(html.unescape("".join(parts)).split())
-        if text:
+        level = int(block[1]) if block in HEADINGS else 0
+        if text and level:
+            if level <= readers:
+                readers = 0
+            if level > 1 and READERS.fullmatch(text):
+                readers = level
+            elif level == 1 and not readers and not has_article and not titled:
+                blank()
+                titled = len(lines)
+        if text and (readers or ADVERT.match(text)):
+            blank()
+        elif text:
             in_links = len(" ".join(html.unescape("".join(links)).split()))
             lines.append((text, max(0, len(text) - 2 * in_links), article > 0))
         parts.clear()
@@ -111,14 +172,26 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 continue
         if tag in BLOCKS:
             flush()
+            block = "" if closing else tag
         elif tag == "br":
             parts.append(" ")
-        if not closing and tag not in VOID and is_other(tag, attributes, article > 0):
+        other, hint = (False, False) if closing or tag in VOID else is_other(tag, attributes, article > 0)
+        if other:
             if tag in BLOCKS:
-                lines += [("", 0, article > 0)] * WINDOW
+                blank()
             skipped, depth = tag, 1
             continue
+        if hinted[0] in OPEN and tag in BLOCKS and not closing:
+            unhint()
+        if tag == hinted[0]:
+            hinted = (tag, hinted[1] + (-1 if closing else 1), hinted[2])
+            if not hinted[1]:
+                unhint()
+        elif hint and not hinted[0] and tag in BLOCKS:
+            hinted = (tag, 1, len(lines))
         if tag in ARTICLE:
+            unhint()
+            readers = 0
             article = max(0, article - 1) if closing else article + 1
             has_article |= not closing
         elif tag == "a":
@@ -126,16 +199,15 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     if not skipped and end < len(page):
         parts.append(page[end:])
     flush()
-    return lines, has_article
+    unhint()
+    return lines, has_article, titled
 
 
 def main_lines(lengths: np.ndarray, in_article: bool = False) -> np.ndarray:
     """Which lines lie between a surge and a dive; lines of no length only in an article."""
     if not lengths.any():
         return np.zeros(len(lengths), bool)
-    total = np.concatenate(([0], np.cumsum(lengths)))
-    after = np.minimum(np.arange(len(lengths)) + WINDOW, len(lengths))
-    block = total[after] - total[:-1]
+    block = window_sums(lengths)
     # a run lasts from one window without text to the next
     run = np.cumsum(np.append(True, (block[1:] > 0) & (block[:-1] == 0)))
     highest = np.zeros(run[-1] + 1, np.int64)
@@ -150,11 +222,13 @@ def main_lines(lengths: np.ndarray, in_article: bool = False) -> np.ndarray:
 
 
 def main_text(page: str) -> str:
-    lines, has_article = lines_of(page)
+    lines, has_article, titled = lines_of(page)
     in_article = has_article and any(inside and text for text, _, inside in lines)
     if in_article:
         lines = [line for line in lines if line[2] and line[0]]
     lengths = np.array([size for _, size, _ in lines], np.int64)
+    if not in_article and titled and lengths[titled:].any() and window_sums(lengths).max() < SURGE:
+        lines, lengths = lines[titled:], lengths[titled:]
     if in_article and not lengths.any():  # nothing but links
         return "\n".join(text for text, _, _ in lines)
     return "\n".join(text for (text, _, _), main in zip(lines, main_lines(lengths, in_article)) if main)
