@@ -6,7 +6,7 @@ from test_streams import Replay, three_days
 
 from viewlens.operators.record import with_event_time
 from viewlens.plans import metrics as M
-from viewlens.streaming import continuous, rescale, savepoints
+from viewlens.streaming import continuous, paths, rescale, savepoints, upsert
 
 METRICS = [
     M.daily_engagement_rowtime,
@@ -48,5 +48,26 @@ def test_a_moved_query_ends_equal_to_the_batch(spark, before, after):
         rescale.move(spark, saved, metric, read, root, name, after)
 
 
+def test_a_bulk_query_leaves_its_state_whole(spark):
+    metric = M.daily_engagement_rowtime
+    replay = three_days(Replay(spark))
+    table = replay.cells(metric, state_partitions=2, bulk=True)
+    state = [f for f in paths.files(spark, f"{upsert.checkpoint_path(table.root)}/state") if not f.endswith(".crc")]
+    assert not [f for f in state if f.endswith(".changelog")]
+    saved = savepoints.save(table, f"{replay.root}/saved", 1).path
+    kept = [f.rsplit("/", 1)[1] for f in paths.files(spark, f"{saved}/checkpoint/state")]
+    assert sorted(f for f in kept if f.endswith((".zip", ".changelog"))) == ["2.zip"] * 2
+    root, name = f"{replay.root}/moved", f"{replay.root}-moved"
+    read = lambda path: replay.stream() if path == "live" else _empty(spark, path)
+    rescale.move(spark, saved, metric, read, root, name, 5)
+    again = lambda **how: rescale.resume(spark, metric, read("live"), root, name, 5, replay=True, **how).wait()
+    assert rows(metric.finish(again(bulk=True).read())) == rows(metric(replay.batch()))
+    # started without bulk, it goes on from that state with changes, and counts all of it
+    replay.add(record(user="u9", time="2024-01-02 10:00:00", arrival=999))
+    moved = again()
+    assert rows(metric.finish(moved.read())) == rows(metric(replay.batch()))
+    assert moved.query.lastProgress["stateOperators"][0]["numRowsTotal"] == moved.read().count()
+
+
 def _empty(spark, path):
     return with_event_time(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path))

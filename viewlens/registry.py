@@ -417,11 +417,13 @@ def _stream_rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     *before, last = E.in_order(E.read_events(spark, sf_dir), PARTS)
     for part in before:
         part.write.mode("append").parquet(landed)
-        table = continuous.maintain_cells(metric, read(landed), f"{root}/two", name, replay=True, state_partitions=2).wait()
+        table = continuous.maintain_cells(
+            metric, read(landed), f"{root}/two", name, replay=True, state_partitions=2, bulk=True
+        ).wait()
     savepoints.save(table, f"{root}/saved")
     rescale.move(spark, f"{root}/saved", metric, read, f"{root}/five", f"{name}-five", 5)
     last.write.mode("append").parquet(landed)
-    moved = rescale.resume(spark, metric, read(landed), f"{root}/five", f"{name}-five", 5, replay=True).wait()
+    moved = rescale.resume(spark, metric, read(landed), f"{root}/five", f"{name}-five", 5, replay=True, bulk=True).wait()
     return _text_time(metric.finish(moved.read()), "update_time")
 
 

@@ -74,6 +74,7 @@ def maintain(
     snapshot_every: int = upsert.SNAPSHOT_EVERY,
     buckets: int | None = None,
     wrap: Callable[[Writer], Writer] | None = None,
+    bulk: bool = False,
 ) -> ContinuousTable:
     """Start keeping ``result`` as an upsert table, unless a query of that name is running.
 
@@ -84,7 +85,8 @@ def maintain(
 
     With ``buckets`` the table is kept by key in so many of them, see :mod:`.buckets`: a batch then
     writes its changes only, and ``table.bucketed.merge()`` is to be called now and then. ``wrap``
-    adds to what is written with each batch, such as :func:`.late.with_late_rows`.
+    adds to what is written with each batch, such as :func:`.late.with_late_rows`. ``bulk`` is for few
+    large micro-batches, see :func:`.settings.start`.
     """
     spark = result.sparkSession
     running = active_query(spark, name)
@@ -100,7 +102,7 @@ def maintain(
         .foreachBatch(wrap(write) if wrap else write)
         .option("checkpointLocation", upsert.checkpoint_path(root))
     )
-    query = start(writer, spark, name, replay, state_partitions)
+    query = start(writer, spark, name, replay, state_partitions, bulk)
     _roots[query.id] = root
     return ContinuousTable(spark, root, result.schema, key, query, buckets)
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from viewlens.operators.cells import UserMetric
 from viewlens.streaming import continuous, paths, savepoints, upsert
+from viewlens.streaming.settings import stream_settings
 
 
 def _seed(root: str) -> str:
@@ -53,11 +54,12 @@ def move(
     *_, at = paths.read_text(spark, progress).splitlines()
     empty = f"{root}/empty"
     paths.create(spark, empty)
-    state = spark.read.format("statestore").option("batchId", saved.batch).load(f"{path}/checkpoint")
-    metric.cells.from_state(state, metric.cells.units(read(empty)).schema).write.parquet(_seed(root))
+    with stream_settings(spark, bulk=True):
+        state = spark.read.format("statestore").option("batchId", saved.batch).load(f"{path}/checkpoint")
+        metric.cells.from_state(state, metric.cells.units(read(empty)).schema).write.parquet(_seed(root))
     # what the table held before is its beginning, behind which the first micro-batch comes
     upsert.start_from(spark, root, spark.read.parquet(f"{path}/table"), -1)
-    resume(spark, metric, read(empty), root, name, partitions, replay=True).wait()
+    resume(spark, metric, read(empty), root, name, partitions, replay=True, bulk=True).wait()
     if continuous.committed(spark, root) != [0]:
         raise savepoints.SavepointError(f"the state saved in {path} has no rows to move")
     sources = paths.files(spark, f"{path}/checkpoint/sources/0")
