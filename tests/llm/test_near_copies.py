@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from viewlens.llm import near_copies
+from viewlens.llm import bktree, near_copies
 
 SCHEMA = "doc_id bigint, text string"
 SF_DIR = "/root/testdata/sf0.001"
@@ -77,3 +79,44 @@ def test_rows_are_told_by_id_and_text(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, a), (3, b), (5, c), (7, None), (None, "one")], key=str)
     twice = spark.createDataFrame([(4, a), (4, b), (4, a), (9, a)], SCHEMA)
     assert sorted(map(tuple, near_copies.one_of_each(twice).collect())) == [(4, a), (4, b)]
+
+
+def prints(seed, count):
+    """Fingerprints about as far from a first one as the radius, the bits of some in one word only."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(count):
+        words = [0] * len(near_copies.WORDS)
+        for _ in range(rng.randint(0, 40)):
+            words[rng.randrange(len(words)) if k % 2 else k // 2 % len(words)] ^= 1 << rng.randrange(64)
+        out.append(words)
+    return np.array(out, np.uint64)
+
+
+@pytest.mark.parametrize("sides", [[0], [0, 0, 1], [1]])
+def test_trees_find_every_pair_within_the_radius_once(sides, monkeypatch):
+    searched = []
+    near = bktree.Forest.near
+    monkeypatch.setattr(bktree.Forest, "near", lambda *a: searched.append(a[-1]) or near(*a))
+    wide = prints(3, 120)
+    side = np.resize(sides, len(wide))
+    apart, a, b = near_copies.near_pairs(wide, side)
+    want = {}
+    for i in range(len(wide)):
+        for j in range(i):
+            bits = sum(int(x).bit_count() for x in wide[i] ^ wide[j])
+            if bits <= near_copies.RADIUS and (side[i] != side[j] if side.any() else True):
+                want[j, i] = bits
+    pairs = [(min(p), max(p)) for p in zip(a.tolist(), b.tolist())]
+    assert len(pairs) == len(set(pairs)) and dict(zip(pairs, apart.tolist())) == want
+    assert bool(want) == (0 in sides and bool(searched))
+
+
+def test_a_pair_apart_in_one_word_only_is_a_candidate():
+    for k, bits in enumerate([20, 30, 64, 40]):
+        wide = np.zeros((2, len(near_copies.WORDS)), np.int64)
+        wide[1, k] = -1 if bits == 64 else (1 << bits) - 1
+        cell = {c: pa.array([0, 0], pa.int64()) for c in [*near_copies.CELL, "side"]}
+        rows = pa.record_batch({**cell, "node": pa.array([7, 9]), **{w: pa.array(wide[:, n]) for n, w in enumerate(near_copies.WORDS)}})
+        (found,) = near_copies.candidate_batches(iter([rows]))
+        assert found.to_pylist() == [{"a": 9, "b": 7}]

@@ -144,24 +144,26 @@ def linked(
     near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints, or their ``names``, and the one each hangs on, so that what the cells link
-    stays linked. Of the pairs within the radius those count that ``near`` says are near."""
+    stays linked. Of the pairs within the radius those count that ``near`` says are near.
+    Fingerprints of several columns are searched by a tree of each."""
     tree = np.cumsum(np.diff(cells, prepend=cells[:1]) != 0)
     groups = Groups(len(values))
     inside = np.flatnonzero(side == 0)
-    forest = Forest(values[inside], tree[inside])
-    place = np.searchsorted(tree[inside][forest.roots], tree)
     crossing = np.bincount(tree, weights=side) > 0
     queries = np.flatnonzero((side == 1) | ~crossing[tree])
     # a cell of two parts may lack the first: then it has no tree to search
     has = np.zeros(tree[-1] + 1, bool)
     has[tree[inside]] = True
     queries = queries[has[tree[queries]]]
-    for query, node in forest.near(values[queries], place[queries], radius):
-        a, b = queries[query], inside[node]
-        if near is not None:
-            true = near(a, b)
-            a, b = a[true], b[true]
-        groups.unite(a, b)
+    for column in values.T if values.ndim > 1 else [values]:
+        forest = Forest(column[inside], tree[inside])
+        place = np.searchsorted(tree[inside][forest.roots], tree)
+        for query, node in forest.near(column[queries], place[queries], radius):
+            a, b = queries[query], inside[node]
+            if near is not None:
+                true = near(a, b)
+                a, b = a[true], b[true]
+            groups.unite(a, b)
     names = values if names is None else names
     hangs = np.flatnonzero(groups.root != np.arange(len(values)))
     return names[hangs], names[groups.root[hangs]]
