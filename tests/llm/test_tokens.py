@@ -83,6 +83,78 @@ def test_overlaps_without_a_boundary_are_widened(library):
     assert m == len(library.encode(glued, add_special_tokens=False).ids) and more > 3
 
 
+class Recorded:
+    """The library, with the characters that it encodes."""
+
+    def __init__(self, library):
+        self._library, self.placed, self.batched = library, 0, 0
+
+    def encode(self, text, **named):
+        self.placed += len(text)
+        return self._library.encode(text, **named)
+
+    def encode_batch_fast(self, texts, **named):
+        self.batched += sum(map(len, texts))
+        return self._library.encode_batch_fast(texts, **named)
+
+
+def test_long_texts_are_encoded_only_where_chunks_overlap(library):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeéßñ", k=rng.randint(1, 12))) + rng.choice([" ", " ", ", ", ".\n"]) for _ in range(9000)]
+    text = "".join(words)
+    counter = token_counts.TokenCounter(open(PATH, "rb").read(), token_counts.CHUNK_CHARS, token_counts.OVERLAP_CHARS)
+    counter._tokenizer = Recorded(counter._tokenizer)
+    (n, splices, widened), (m, _, _) = counter.count([text, text[:5000]])
+    assert n == len(library.encode(text, add_special_tokens=False).ids)
+    assert m == len(library.encode(text[:5000], add_special_tokens=False).ids)
+    assert splices == (len(text) - 1) // token_counts.CHUNK_CHARS > 5 and widened == 0
+    # both sides of an overlap, each with as much beside it; words of letters go to the model
+    assert counter._tokenizer.placed == 4 * token_counts.OVERLAP_CHARS * splices < len(text) / 6
+    assert counter._tokenizer.batched == 0
+
+
+def test_words_of_letters_equal_the_library(library):
+    letters = [c for c in map(chr, range(0x32000)) if c.isalpha()][::7]
+    texts = [form % c for c in letters for form in ("%s", "a%sB.", "É%s'S", "%s\u0301!", "x %s, y")]
+    counter = token_counts.TokenCounter(open(PATH, "rb").read(), 100, 10)
+    want = [len(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [n for n, _, _ in counter.count(texts)] == want
+    assert [n for n, _, _ in counter.count(texts)] == want  # remembered
+
+
+def test_pieces_of_any_length_and_forgetting_keep_counts(library, monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 20)
+    monkeypatch.setattr(token_counts, "REMEMBERED_CHARS", 6)
+    rng = random.Random(8)
+    pieces = ["abcdef", "abcdef.", "abcdefg", "abcdefg.", "abcdefg,", "été", "été!", "..", "...", "a.b", "straßenbahnen;", "--."]
+    texts = [" ".join(rng.choices([*pieces, *map(str, range(40))], k=30)) for _ in range(200)]
+    counter = token_counts.TokenCounter(open(PATH, "rb").read(), 100, 10)
+    want = [len(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [n for n, _, _ in counter.count(texts)] == want
+    assert all(len(x) <= 6 for x in counter._known)
+
+
+@pytest.mark.parametrize("change", ["special", "prefix", "order", "normal"])
+def test_words_that_the_model_sees_otherwise_are_encoded(change):
+    spec = json.load(open(PATH))
+    assert token_counts.spells_letters(spec)
+    splitters = spec["pre_tokenizer"]["pretokenizers"]
+    if change == "special":
+        spec["added_tokens"][0]["content"] = "the"
+    elif change == "prefix":
+        splitters[1]["add_prefix_space"] = True
+    elif change == "order":
+        splitters[0]["pattern"]["Regex"] = "th|" + splitters[0]["pattern"]["Regex"]
+    else:
+        spec["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": "e"}, "content": "ai"})
+    model = json.dumps(spec).encode()
+    assert not token_counts.spells_letters(spec)
+    whole = Tokenizer.from_buffer(model)
+    texts = ["the other thethe", "Eve", "weather bathes", ""]
+    want = [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [n for n, _, _ in token_counts.TokenCounter(model, 100, 10).count(texts)] == want
+
+
 def test_other_splitters_are_encoded_whole(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert not token_counts.splits_at_space(json.load(open(path)))
