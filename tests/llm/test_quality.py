@@ -5,6 +5,7 @@ import math
 import re
 import statistics
 
+import numpy as np
 import pytest
 
 from viewlens.llm import kneser_ney as K
@@ -152,3 +153,27 @@ def test_awkward_rows(spark):
     assert sorted(tuple(r[c] for c in quality.ADDED[:5]) for r in got) == sorted(plain_features(r[2]) for r in rows)
     assert [r["kept"] for r in got if not (r["text"] or "").strip()] == [False] * 3
     assert quality.judge(df.limit(0)).collect() == []
+
+
+def test_a_model_beyond_what_a_task_holds_moves_no_texts(spark, documents, monkeypatch):
+    model = K.train(documents.select("lang", "text"))
+    monkeypatch.setattr(K, "LEAST_PART", 1000)
+    parts, whole = K.broadcast_parts(model, 5000)
+    count = [len(x.value.keys) for p in parts.values() for x in p.arrays]
+    assert not whole and len(count) > 10 and sum(count) == model.count() and max(count) < 7500
+    small = quality.scored(documents, model, "text", "lang", 5000)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not re.search("Exchange|CoGroup", plan)
+    large = quality.scored(documents, model, "text", "lang", 10**9)
+    assert sorted(small.collect()) == sorted(large.collect())
+
+
+def test_a_process_drops_parts_beyond_what_it_may_hold(spark):
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 4000, np.uint64, endpoint=False))
+    number = K.part_number(keys, 4)
+    arrays = [spark.sparkContext.broadcast(K.HashArray(keys[number == k], np.arange(4000.0)[number == k], np.zeros(0))) for k in range(4)]
+    parts = K.Parts(arrays, 2500)
+    for _ in range(2):
+        known, found = parts.look_up(np.append(keys, keys[:5] + np.uint64(1)), "log_p")
+        assert known.tolist() == [True] * 4000 + [False] * 5 and found.tolist() == list(range(4000))
+    assert sum("_value" in vars(x) for x in arrays) == 2

@@ -31,8 +31,6 @@ CHARS_PER_SYMBOL = 50
 LOWER_DEVIATIONS, UPPER_DEVIATIONS, LEAST_WIDTH = 5.0, 5.0, 0.05
 #: A text of so many symbols scatters by the root of two times as much as a very long one.
 SHORT_SYMBOLS = 1000
-#: Characters of text that a block of the joined form has about.
-BLOCK_CHARS = 16 << 20
 FEATURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 SCORES = "sum_log_p double, n_scored bigint"
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "perplexity", "base_failed", "kept")
@@ -92,61 +90,31 @@ def feature_batches(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterato
 # --- perplexity ---------------------------------------------------------------------------
 
 
-def score_batches(batches: Iterator[pa.RecordBatch], text_col: str, lang_col: str, model) -> Iterator[pa.RecordBatch]:
-    """Adds ``SCORES``."""
-    for batch in pieces(batches, text_col):
+def score_batches(
+    batches: Iterator[pa.RecordBatch], text_col: str, lang_col: str, model, whole: bool = True
+) -> Iterator[pa.RecordBatch]:
+    """Adds ``SCORES``. Of a model that isn't ``whole`` in memory each batch reads every part once."""
+    for batch in pieces(batches, text_col) if whole else batches:
         texts = [t or "" for t in batch.column(text_col).to_pylist()]
         langs = [x or "" for x in batch.column(lang_col).to_pylist()]
-        sums, sizes = zip(*K.scores(texts, langs, model, K.ORDER))
-        yield appended(batch, sum_log_p=pa.array(sums, pa.float64()), n_scored=pa.array(sizes, pa.int64()))
-
-
-def _declared(df: DataFrame, added: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), added])
+        found = K.scores(texts, langs, model, K.ORDER, K.JOINED if whole else K.JOINED_LARGE)
+        yield appended(
+            batch,
+            sum_log_p=pa.array([x for x, _ in found], pa.float64()),
+            n_scored=pa.array([n for _, n in found], pa.int64()),
+        )
 
 
 def scored(df: DataFrame, model: DataFrame, text_col: str, lang_col: str, max_entries: int) -> DataFrame:
-    """``df`` with ``FEATURES`` and ``SCORES``. A model of up to ``max_entries`` is broadcast. A
-    larger one is not: the texts are dealt into blocks, and each block meets the n-grams of the
-    model that occur in it and no others."""
-    features = lambda batches: feature_batches(batches, text_col)
-    if model.count() <= max_entries:
-        arrays = df.sparkSession.sparkContext.broadcast(K.sorted_arrays(K.entries(model).toArrow()))
-        return df.mapInArrow(
-            lambda batches: score_batches(features(batches), text_col, lang_col, arrays.value),
-            _declared(df, f"{FEATURES}, {SCORES}"),
-        )
-    df = df.mapInArrow(features, _declared(df, FEATURES))
-    blocks = df.agg(F.sum(F.length(text_col))).first()[0] // BLOCK_CHARS + 1
-    block = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in (text_col, lang_col)), F.monotonically_increasing_id()), F.lit(blocks))
-    df = written(df.withColumn("_block", block), "blocks")
-    texts = df.select("_block", F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    grams = texts.mapInArrow(lambda b: block_grams(b, K.ORDER), "_block bigint, lang string, gram string").distinct()
-    own = written(K.entries(grams.join(model, ["lang", "gram"]), "_block"), "own")
-
-    def of_block(rows: pa.Table, entries: pa.Table) -> pa.Table:
-        out = score_batches(iter(rows.to_batches()), text_col, lang_col, K.sorted_arrays(entries))
-        return pa.Table.from_batches(list(out), schema=rows.schema.append(pa.field("sum_log_p", pa.float64())).append(pa.field("n_scored", pa.int64())))
-
-    scored = df.groupBy("_block").cogroup(own.groupBy("_block")).applyInArrow(of_block, _declared(df, SCORES))
-    return scored.drop("_block")
-
-
-def block_grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """The n-grams of each text, of every size down to the empty one."""
-    for batch in pieces(batches, "text"):
-        found: dict[tuple[int, str], set[str]] = {}
-        for block, lang, text in zip(*(batch.column(c).to_pylist() for c in ("_block", "lang", "text"))):
-            grams = found.setdefault((block, lang), {""})
-            for symbols in K.symbol_stretches(text, order):
-                plain = symbols.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                for size in range(1, order + 1):
-                    grams.update(map("".join, zip(*(plain[k:] for k in range(size)))))
-        for (block, lang), grams in found.items():
-            n = len(grams)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * n, pa.int64()), pa.array([lang] * n), pa.array(sorted(grams))], ["_block", "lang", "gram"]
-            )
+    """``df`` with ``SCORES`` and ``FEATURES``, in one pass over the texts, which stay where they
+    are. The model comes to them in parts; a process holds ``max_entries`` of it, and reads parts
+    again where that isn't all."""
+    parts, whole = K.broadcast_parts(model, max_entries)
+    added = f"{SCORES}, {FEATURES}"
+    declared = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), added])
+    return df.mapInArrow(
+        lambda batches: feature_batches(score_batches(batches, text_col, lang_col, parts, whole), text_col), declared
+    )
 
 
 def reads_as_prose(text: Column) -> Column:
@@ -176,7 +144,7 @@ def bands(judged: DataFrame) -> DataFrame:
     )
 
 
-@clear_of("_lang", "_block", "middle", "below", "above", "sum_log_p", "n_scored")
+@clear_of("_lang", "middle", "below", "above", "sum_log_p", "n_scored")
 def judge(
     df: DataFrame,
     text_col: str = "text",
