@@ -120,3 +120,62 @@ def test_a_pair_apart_in_one_word_only_is_a_candidate():
         rows = pa.record_batch({**cell, "node": pa.array([7, 9]), **{w: pa.array(wide[:, n]) for n, w in enumerate(near_copies.WORDS)}})
         (found,) = near_copies.candidate_batches(iter([rows]))
         assert found.to_pylist() == [{"a": 9, "b": 7}]
+
+
+def short_rows(seed, bases, words):
+    """Texts of few words, with one of them edited, taken off or added."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(bases):
+        base = rng.choices([f"w{k}" for k in range(500)], k=rng.randint(3, words))
+        rows.append(" ".join(base))
+        rows.append(" ".join([*base[1:], *rng.choices(["w1", "x"], k=rng.randint(0, 2))]))
+        rows.append(" ".join(base).upper())
+    return list(enumerate(rows))
+
+
+def agreeing_in_all_bits(count, mean_shard):
+    return [[(1 << 64) - 1] * len(near_copies.WORDS)]
+
+
+@pytest.mark.parametrize("rows", [edited_rows(4, 250, 1), edited_rows(5, 5, 40), short_rows(6, 120, 30)])
+@pytest.mark.parametrize("settings", [{}, {"part_texts": 3}])
+def test_no_link_is_lost_that_the_shards_leave_out(spark, monkeypatch, rows, settings):
+    monkeypatch.setattr(near_copies, "choices", agreeing_in_all_bits)
+    monkeypatch.setattr(near_copies, "COUNTED_LEAST", 100)
+    monkeypatch.setattr(near_copies, "MEAN_BUCKET", 500)
+    got = near_copies.one_of_each(spark.createDataFrame(rows, SCHEMA), **settings).collect()
+    want, pairs = plain(rows)
+    assert len(pairs) > 100 and sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("sides", [[0], [0, 0, 1]])
+def test_no_link_is_lost_that_the_trees_leave_out(monkeypatch, sides):
+    rows = [*edited_rows(7, 20, 6, 60), *short_rows(8, 40, 30)]
+    sets, side = [near_copies.shingles(t) for _, t in rows], np.resize(sides, len(rows))
+    monkeypatch.setattr(near_copies, "near_pairs", lambda wide, side: (np.zeros(0, np.uint8), *(np.zeros(0, np.int32),) * 2))
+    monkeypatch.setattr(near_copies, "PAIRS", 50)
+    wide = np.stack([near_copies.fingerprint(x) for x in sets]).view(np.uint64)
+    hangs, on = near_copies.similar_links(wide, side, [t for _, t in rows], 0.8)
+    groups = bktree.Groups(len(rows))
+    for j, i in plain(rows)[1]:
+        if len(sides) == 1 or side[i] != side[j]:
+            groups.unite(np.array([i]), np.array([j]))
+    want = groups.root.copy()
+    assert (want != np.arange(len(rows))).sum() > 50
+    got = np.arange(len(rows))
+    got[hangs] = on
+    assert got.tolist() == want.tolist()
+
+
+def test_first_shingles_are_shared_as_often_as_they_must():
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        size = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 1 << 62, size, np.uint64))
+        b = np.unique(np.append(rng.permutation(a)[: size - int(rng.integers(0, 2 + size // 8))], rng.integers(0, 1 << 62, int(rng.integers(0, 2 + size // 8)), np.uint64)))
+        common = np.unique(rng.permutation(np.append(a, b))[: size // 3])
+        order = common, rng.integers(4, 9, len(common))
+        if len(b) and near_copies.similar(a, b, 0.8):
+            first = [near_copies.from_bytes(near_copies.as_bytes(near_copies.first_shingles(x, 0.8, *order))) for x in (a, b)]
+            assert len(np.intersect1d(*first)) >= near_copies.shared_first(len(a), len(b), 0.8)
